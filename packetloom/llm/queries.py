@@ -9,20 +9,45 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import digest, suffix_dedup
 
     return digest(suffix_dedup(_documents(spark, sf_dir)))
 
 
+def op2_bpe(spark, sf_dir):
+    from .bpe import decode, digest, encode
+
+    path = _vocabulary("word_bpe_49k.json")
+    return digest(decode(encode(_documents(spark, sf_dir), path), path), path)
+
+
 def op3_substring_dedup(spark, sf_dir):
     from .substring_dedup import digest, substring_dedup
 
     return digest(substring_dedup(_documents(spark, sf_dir)))
 
 
+def op5_token_output(spark, sf_dir):
+    from .token_output import digest, token_output
+
+    return digest(token_output(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json")))
+
+
+def op8_token_counts(spark, sf_dir):
+    from .token_count import token_counts
+
+    return token_counts(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_substring_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_substring_dedup, op5_token_output, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
