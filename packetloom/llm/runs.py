@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .hashing import anchors, word_bounds, word_hashes
+from .hashing import anchors, mix, word_bounds, word_hashes
 from .shared import batch, blocks, bytes_of, ids_of
 
 RUNS = "anchor long, run long, doc_id long, first long, shape int"
@@ -25,7 +25,11 @@ REPEATED, OPEN = 0, 1
 def find_runs(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
     """Runs of all windows of ``length`` bytes (or words) of every document.
 
-    ``shape`` is the number of windows.
+    ``shape`` is the number of windows.  Runs that agree within one Arrow batch
+    are settled before the shuffle: the first goes on as itself, the others
+    under keys of their own, so a passage that stands in a third of all
+    documents adds one row for each batch to its key.  ``shape`` is 4 times the
+    number of windows, plus that state.
     """
 
     def scan(batches):
@@ -33,6 +37,7 @@ def find_runs(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
         for b in batches:
             buf, ends = bytes_of(b.column(1))
             ids = ids_of(b.column(0))
+            found = []
             for i, j, lo, hi in blocks(ends):
                 part, e = buf[lo:hi], ends[i:j] - lo
                 if words:
@@ -41,18 +46,46 @@ def find_runs(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
                 t, a, n, key, run = anchors(part, e, length, k)
                 if len(t):
                     start = np.concatenate([[0], e[:-1]])
-                    yield batch(_RUNS, key.view(np.int64), run.view(np.int64), ids[i:j][t], a - start[t], n.astype(np.int32))
+                    found.append((key, run, ids[i:j][t], a - start[t], n))
+            if found:
+                yield batch(_RUNS, *_combine(*(np.concatenate(c) for c in zip(*found, strict=True))))
 
     return docs.mapInArrow(scan, RUNS)
 
 
+PLAIN, HEAD, LATER = 0, 1, 2
+
+
+def _combine(key, run, doc, first, n):
+    """Settle runs that agree: the first is a HEAD, the others are LATER under a key of their own."""
+    both = mix(key) ^ run
+    order = np.argsort(both, kind="stable")
+    same = both[order[1:]] == both[order[:-1]]
+    some = np.zeros(len(order), bool)
+    some[1:] |= same
+    some[:-1] |= same
+    some = order[some]
+    state = np.full(len(key), PLAIN, np.int32)
+    if len(some):
+        some = some[np.lexsort([first[some], doc[some], run[some], key[some]])]
+        again = np.zeros(len(some), bool)
+        again[1:] = (key[some[1:]] == key[some[:-1]]) & (run[some[1:]] == run[some[:-1]])
+        head = some[np.maximum.accumulate(np.where(again, 0, np.arange(len(some))))]
+        again &= (doc[some] != doc[head]) | (first[some] != first[head])
+        later, head = some[again], head[again]
+        state[head], state[later] = HEAD, LATER
+        key = key.copy()
+        key[later] = mix(key[later] ^ mix(doc[later].view(np.uint64) * np.uint64(31) + first[later].astype(np.uint64)))
+    return key.view(np.int64), run.view(np.int64), doc, first, 4 * n.astype(np.int32) + state
+
+
 def compare_runs(runs: DataFrame, both: bool) -> DataFrame:
     """Settle whole runs; hand on those that need a look at single windows.
 
     Rows arrive sorted by anchor, run, doc_id, first and are read as a stream
     with a state of two rows, so a group of any size needs no memory.  A
     REPEATED row is a run of which each window starts earlier too (``both``:
-    anywhere else too).  An OPEN row is the first run of a class whose anchor
+    anywhere else too); ``shape`` is now the number of windows.  An OPEN row is the first run of a class whose anchor
     has other classes: its windows may be shared with those in part.
     Occurrences with the same doc_id and offset count as one.
     """
@@ -60,10 +93,15 @@ def compare_runs(runs: DataFrame, both: bool) -> DataFrame:
     def stream(batches):
         held: list[tuple] = []  # first run of the open group, first run of the open class
         for b in batches:
-            if not b.num_rows:
-                continue
             cols = [b.column(c).to_numpy() for c in range(5)]
-            pre = len(held)
+            state = cols[4] & 3
+            settled = np.flatnonzero((state == LATER) | ((state == HEAD) & both))
+            if len(settled):
+                yield batch(_HITS, np.full(len(settled), REPEATED, np.int32), cols[2][settled], cols[3][settled], cols[4][settled] >> 2, cols[0][settled])
+            cols = [c[state != LATER] for c in cols]
+            cols[4] = cols[4] >> 2
+            if not len(cols[0]):
+                continue
             cols = [np.concatenate([np.array([h[c] for h in held], x.dtype), x]) for c, x in enumerate(cols)]
             told = np.zeros((2, len(cols[0])), bool)  # already given out as REPEATED, OPEN
             for i, h in enumerate(held):

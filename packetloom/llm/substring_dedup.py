@@ -85,7 +85,7 @@ def _windows(window: int):
                 at = at[at + window <= len(h)]
                 if len(at):
                     one, two = (f.slices(f.prefix(h), at, at + window).view(np.int64) for f in (FIRST, SECOND))
-                    yield batch(_RUNS, one, two, np.full(len(at), doc), at, np.ones(len(at), np.int32))
+                    yield batch(_RUNS, one, two, np.full(len(at), doc), at, np.full(len(at), 4, np.int32))
 
     return cut
 
