@@ -34,6 +34,12 @@ def op3_substring_dedup(spark, sf_dir):
     return digest(substring_dedup(_documents(spark, sf_dir)))
 
 
+def op4_near_dedup(spark, sf_dir):
+    from .near_dedup import near_dedup
+
+    return near_dedup(_documents(spark, sf_dir))
+
+
 def op5_token_output(spark, sf_dir):
     from .token_output import digest, token_output
 
@@ -47,7 +53,7 @@ def op8_token_counts(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_substring_dedup, op5_token_output, op8_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_substring_dedup, op4_near_dedup, op5_token_output, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
