@@ -2,7 +2,7 @@
 
 Ids are numbered by falling frequency in the corpus, so common tokens take one
 byte.  Of each id the low 1 to 4 bytes are stored; the lengths stand apart, two
-bits each, in control bytes.  A reader looks up the lengths of four ids at once
+bits each, in control bytes; each document begins a new one.  A reader looks up the lengths of four ids at once
 in a table of 256 entries and gathers all bytes with numpy.
 
 File format: a folder of Parquet files, which Spark commits as a whole.  A row
@@ -19,25 +19,27 @@ order of their ids' bytes.  An empty table gives empty files.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import NULL_ID, batch, documents, ids_of, scratch, table
+from .shared import NULL_ID, batch, blocks, bytes_of, documents, ids_of, scratch, table
 
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
+REMEMBERED = 500_000
 #: Ids of a block; a longer document is a block of its own.
 BLOCK = 1 << 16
 
 
 class Tokenizer:
-    """The tokenizers library, asked once for each distinct pre-token.
+    """The tokenizers library, asked once for each distinct unit of text.
 
-    Byte-level pre-tokens are encoded independently of each other, so the ids
-    of a text are those of its pre-tokens.  Texts with a special token, control
-    characters or letters outside the Latin blocks go to the library whole.
+    Byte-level pre-tokens never go on after a character that is not white
+    space into white space, so the ids of a text are those of its units: a stretch without
+    white space with at most one space before it, or white space.  Texts with
+    a special token, control characters or letters outside the Latin blocks
+    go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -48,31 +50,29 @@ class Tokenizer:
         self._t.no_truncation()
         self._t.no_padding()
         self.size = self._t.get_vocab_size(with_added_tokens=True)
-        special = "|".join(regex.escape(t.content) for t in self._t.get_added_tokens_decoder().values())
-        self._whole = regex.compile("[^\x00-\x1b\x20-\x7e\xa1-ɏ]" + (f"|{special}" if special else ""))
-        self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        special = "|".join(re.escape(t.content) for t in self._t.get_added_tokens_decoder().values())
+        self._whole = re.compile("[^\x00-\x1b\x20-\x7e\xa1-ɏ]" + (f"|{special}" if special else "")).search
+        self._units = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
         self._known: dict[str, bytes] = {}
 
-    def _ask(self, text: str) -> bytes:
-        return np.array(self._t.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self._whole.search(text):
-            return self._ask(text)
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for s in self._split(text):
-            ids = known.get(s)
-            if ids is None:
-                ids = self._ask(s)
-                if len(s) <= LONGEST_REMEMBERED:
-                    known[s] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _ask(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self._t.encode_batch_fast(units, add_special_tokens=False)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian int32."""
+        whole = [bool(t) and self._whole(t) is not None for t in texts]
+        units = [self._units(t) if t and not w else () for t, w in zip(texts, whole, strict=True)]
+        new = list(set().union(*units) - self._known.keys())
+        if len(self._known) + len(new) > REMEMBERED:
+            self._known.clear()
+            new = list(set().union(*units))
+        if new:
+            self._known.update(zip(new, self._ask(new), strict=True))
+        get = self._known.__getitem__
+        out = [np.array(self._t.encode(t, add_special_tokens=False).ids, np.int32).tobytes() if w else b"".join(map(get, u)) for t, w, u in zip(texts, whole, units, strict=True)]
+        if len(self._known) > REMEMBERED:
+            self._known.clear()
+        return out
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -88,24 +88,42 @@ def tokenizer(path: str) -> Tokenizer:
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of non-negative 32-bit numbers."""
+def pack(values: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray, bytes, np.ndarray]:
+    """Control bytes and data bytes of 32-bit numbers, and where each document's end.
+
+    Each document begins a control byte of its own; unused places in its last
+    one are 0 and have no data.
+    """
     v = np.ascontiguousarray(values, dtype="<u4")
-    size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    codes[: len(v)] = size - 1
+    size = 1 + (v > 0xFF).astype(np.int64) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    width = -(-counts // 4)
+    codes = np.zeros(int(width.sum()) * 4, np.uint8)
+    codes[_places(counts)] = size - 1
     c = codes.reshape(-1, 4)
     control = c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
+    return control.tobytes(), np.cumsum(width), data.tobytes(), ends
+
 
+def _places(counts: np.ndarray) -> np.ndarray:
+    """Places of the documents' numbers when each takes a multiple of four."""
+    width = -(-counts // 4) * 4
+    return np.arange(int(counts.sum())) + np.repeat(np.cumsum(width) - width - np.cumsum(counts) + counts, counts)
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64)
-    out = np.zeros((n, 4), np.uint8)
+
+def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[_places(counts)]
+    out = np.zeros((len(size), 4), np.uint8)
     out[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
     return out.view("<u4").ravel()
 
 
+def _cut(raw: bytes, ends: np.ndarray) -> list[bytes]:
+    ends = ends.tolist()
+    return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
 _BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
 BLOCKS = "shard int, block long, start long, doc_ids binary, counts binary, control binary, data binary"
 _COUNTS = pa.schema([("id", pa.int32()), ("n", pa.int64())])
@@ -117,8 +135,7 @@ def count_ids(encoded: DataFrame, size: int) -> DataFrame:
     def run(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), np.int32), minlength=size)
+            total += np.bincount(bytes_of(b.column(0))[0].view(np.int32), minlength=size)
         seen = np.flatnonzero(total)
         yield batch(_COUNTS, seen.astype(np.int32), total[seen])
 
@@ -135,9 +152,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
     def encode(batches):
         t = tokenizer(path)
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                yield batch(schema, part.column(0), [t.encode(x.as_py()) + end for x in part.column(1)])
+            for i, j, _, _ in blocks(bytes_of(b.column(1))[1], 1 << 21):
+                yield batch(schema, b.column(0).slice(i, j - i), [x + end for x in t.encode(b.column(1).slice(i, j - i).to_pylist())])
 
     encoded = table(documents(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode, "doc_id long, ids binary"), "ids")
     # At most one row for each entry of the vocabulary, whatever the corpus.
@@ -151,9 +167,10 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
 
     def shrink(batches):
         for b in batches:
-            ids = [np.frombuffer(x.as_py(), np.int32) for x in b.column(1)]
-            both = [pack(shared.value[x]) for x in ids]
-            yield batch(packed, b.column(0), [len(x) for x in ids], [c for c, _ in both], [d for _, d in both])
+            raw, ends = bytes_of(b.column(1))
+            n = np.diff(np.concatenate([[0], ends])) // 4
+            control, c, data, d = pack(shared.value[raw.view(np.int32)], n)
+            yield batch(packed, b.column(0), n, _cut(control, c), _cut(data, d))
 
     def fill(batches):
         from pyspark import TaskContext
@@ -163,8 +180,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
         size = 0
 
         def close():
-            values = np.concatenate([unpack(c, d, n) for _, n, c, d in held])
-            return batch(_BLOCKS, [shard], [number], [before], [np.array([x for x, *_ in held], "<i8").tobytes()], [np.array([n for _, n, _, _ in held], "<i8").tobytes()], *([x] for x in pack(values)))
+            ids, counts, control, data = zip(*held, strict=True)
+            return batch(_BLOCKS, [shard], [number], [before], [np.array(ids, "<i8").tobytes()], [np.array(counts, "<i8").tobytes()], [b"".join(control)], [b"".join(data)])
 
         for b in batches:
             ids = ids_of(b.column(0))
@@ -196,9 +213,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             for shard, _, start, docs, counts, control, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 docs, counts = np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<i8")
-                values = ids.value[unpack(control, data, int(counts.sum()))]
-                at = np.cumsum(counts) - counts
-                yield batch(_DOCS, np.full(len(docs), shard, np.int32), docs, start + at, [values[a : a + n].tobytes() for a, n in zip(at, counts, strict=True)])
+                values = ids.value[unpack(control, data, counts)]
+                end = np.cumsum(counts)
+                yield batch(_DOCS, np.full(len(docs), shard, np.int32), docs, start + end - counts, _cut(values.tobytes(), end * 4))
 
     # One row for each shard, that is for each partition of the writer.
     shards = blocks.groupBy("shard").agg(F.max_by("start", "block").alias("last"), F.max_by("counts", "block").alias("tail"))

@@ -39,11 +39,16 @@ def test_bpe_query_rows(spark):
     assert bpe.digest(bpe.decode(bpe.encode(docs.limit(0), path), path), path).count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
-def test_variable_length_code_round_trip(n):
+@pytest.mark.parametrize("counts", [[], [0], [1], [3, 0, 4, 5], [1000, 1, 7]])
+def test_variable_length_code_round_trip(counts):
+    counts = np.array(counts, np.int64)
+    n = int(counts.sum())
     r = np.random.default_rng(n)
     v = (r.integers(0, 1 << 32, n, dtype=np.uint64) >> r.integers(0, 32, n, dtype=np.uint64)).astype(np.uint32)
-    assert token_output.unpack(*token_output.pack(v), n).tolist() == v.tolist()
+    control, c, data, d = token_output.pack(v, counts)
+    assert token_output.unpack(control, data, counts).tolist() == v.tolist()
+    parts = zip(token_output._cut(control, c), token_output._cut(data, d), counts, np.split(v, np.cumsum(counts)[:-1]) if len(counts) else [])
+    assert all(token_output.unpack(x, y, np.array([k])).tolist() == w.tolist() for x, y, k, w in parts)
 
 
 def test_token_files(spark):
