@@ -117,13 +117,14 @@ def anchors(symbols: np.ndarray, ends: np.ndarray, length: int, k: int):
     The leftmost k-gram of least hash in a window is its anchor, so equal
     windows have their anchor at the same offset wherever they stand.  Returns
     for each run of windows with one anchor: text, first window (offset in
-    the block), number of windows, key of the anchor, key of the whole run.
+    the block), number of windows, place of the anchor in the first window, key
+    of the anchor, key of the whole run.
     """
     n = len(symbols)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(_U), z.astype(_U)
+        return z, z, z, z, z.astype(_U), z.astype(_U)
     p1, p2 = FIRST.prefix(symbols), SECOND.prefix(symbols)
     i = np.arange(n - k + 1)
     grams = FIRST.slices(p1, i, i + k)
@@ -134,11 +135,11 @@ def anchors(symbols: np.ndarray, ends: np.ndarray, length: int, k: int):
     at, text, chosen = at[ok], text[ok], chosen[ok]
     if not len(at):
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(_U), z.astype(_U)
+        return z, z, z, z, z.astype(_U), z.astype(_U)
     new = np.ones(len(at), bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])
     f = np.flatnonzero(new)
     count = np.diff(np.append(f, len(at)))
     a, t, c = at[f], text[f], chosen[f]
     run = SECOND.slices(p2, a, a + count - 1 + length) ^ mix((c - a).astype(_U) * _U(1000003) + count.astype(_U))
-    return t, a, count, grams[c], run
+    return t, a, count, c - a, grams[c], run

@@ -28,8 +28,9 @@ def find_runs(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
     ``shape`` is the number of windows.  Runs that agree within one Arrow batch
     are settled before the shuffle: the first goes on as itself, the others
     under keys of their own, so a passage that stands in a third of all
-    documents adds one row for each batch to its key.  ``shape`` is 4 times the
-    number of windows, plus that state.
+    documents adds one row for each batch to its key.  ``shape`` is the number
+    of windows plus PLACE times the anchor's place in the first one, all times 4,
+    plus that state.
     """
 
     def scan(batches):
@@ -43,20 +44,21 @@ def find_runs(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
                 if words:
                     s, t, text = word_bounds(part, e)
                     part, e = word_hashes(part, s, t), np.searchsorted(text, np.arange(j - i), side="right")
-                t, a, n, key, run = anchors(part, e, length, k)
+                t, a, n, place, key, run = anchors(part, e, length, k)
                 if len(t):
                     start = np.concatenate([[0], e[:-1]])
-                    found.append((key, run, ids[i:j][t], a - start[t], n))
+                    found.append((key, run, ids[i:j][t], a - start[t], n + PLACE * place))
             if found:
-                yield batch(_RUNS, *_combine(*(np.concatenate(c) for c in zip(*found, strict=True))))
+                yield batch(_RUNS, *combine(*(np.concatenate(c) for c in zip(*found, strict=True))))
 
     return docs.mapInArrow(scan, RUNS)
 
 
 PLAIN, HEAD, LATER = 0, 1, 2
+PLACE = 256
 
 
-def _combine(key, run, doc, first, n):
+def combine(key, run, doc, first, shape):
     """Settle runs that agree: the first is a HEAD, the others are LATER under a key of their own."""
     both = mix(key) ^ run
     order = np.argsort(both, kind="stable")
@@ -76,7 +78,7 @@ def _combine(key, run, doc, first, n):
         state[head], state[later] = HEAD, LATER
         key = key.copy()
         key[later] = mix(key[later] ^ mix(doc[later].view(np.uint64) * np.uint64(31) + first[later].astype(np.uint64)))
-    return key.view(np.int64), run.view(np.int64), doc, first, 4 * n.astype(np.int32) + state
+    return key.view(np.int64), run.view(np.int64), doc, first, 4 * shape.astype(np.int32) + state
 
 
 def compare_runs(runs: DataFrame, both: bool) -> DataFrame:
@@ -85,7 +87,8 @@ def compare_runs(runs: DataFrame, both: bool) -> DataFrame:
     Rows arrive sorted by anchor, run, doc_id, first and are read as a stream
     with a state of two rows, so a group of any size needs no memory.  A
     REPEATED row is a run of which each window starts earlier too (``both``:
-    anywhere else too); ``shape`` is now the number of windows.  An OPEN row is the first run of a class whose anchor
+    anywhere else too); ``shape`` is without the
+    state now.  An OPEN row is the first run of a class whose anchor
     has other classes: its windows may be shared with those in part.
     Occurrences with the same doc_id and offset count as one.
     """
@@ -131,6 +134,15 @@ def compare_runs(runs: DataFrame, both: bool) -> DataFrame:
     return runs.repartition("anchor").sortWithinPartitions(*order).mapInArrow(stream, HITS)
 
 
+def windows_of(shape):
+    return shape % PLACE
+
+
+def ranges_of(hits: DataFrame, length: int) -> DataFrame:
+    """The symbols that REPEATED runs cover."""
+    return hits.where(F.col("kind") == REPEATED).select("doc_id", "first", (F.col("first") + windows_of(F.col("shape")) + (length - 1)).alias("last"))
+
+
 def spans_by_document(ranges: DataFrame) -> DataFrame:
     """One row for each document with the [first, last) ranges to remove, unmerged.
 

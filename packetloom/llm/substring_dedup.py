@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .hashing import FIRST, SECOND, word_bounds, word_hashes
-from .runs import OPEN, REPEATED, RUNS, _RUNS, compare_runs, covered, find_runs, spans_by_document
+from .runs import OPEN, RUNS, _RUNS, combine, compare_runs, covered, find_runs, ranges_of, spans_by_document, windows_of
 from .shared import NULL_ID, batch, documents, scratch, table
 
 WINDOW, GRAM, FANOUT = 35, 8, 4
@@ -77,15 +77,17 @@ def _windows(window: int):
     def cut(batches):
         np.seterr(over="ignore")
         for b in batches:
+            found = []
             for doc, text, asked in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 buf = np.frombuffer(text or b"", np.uint8)
                 s, e, _ = word_bounds(buf, np.array([len(buf)]))
                 h = word_hashes(buf, s, e)
-                at = np.unique(np.concatenate([np.arange(r["first"], r["first"] + r["shape"]) for r in asked]))
+                at = np.unique(np.concatenate([np.arange(r["first"], r["first"] + windows_of(r["shape"])) for r in asked]))
                 at = at[at + window <= len(h)]
                 if len(at):
-                    one, two = (f.slices(f.prefix(h), at, at + window).view(np.int64) for f in (FIRST, SECOND))
-                    yield batch(_RUNS, one, two, np.full(len(at), doc), at, np.full(len(at), 4, np.int32))
+                    found.append((*(f.slices(f.prefix(h), at, at + window) for f in (FIRST, SECOND)), np.full(len(at), doc), at, np.ones(len(at), np.int32)))
+            if found:
+                yield batch(_RUNS, *combine(*(np.concatenate(c) for c in zip(*found, strict=True))))
 
     return cut
 
@@ -121,7 +123,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fan
     by_id = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("binary").alias("bytes")).repartition("doc_id")
     asked = hits.where(F.col("kind") == OPEN).groupBy("doc_id").agg(F.collect_set(F.struct("first", "shape")).alias("asked"))
     single = by_id.join(asked, "doc_id").select("doc_id", "bytes", "asked").mapInArrow(_windows(window), RUNS)
-    ranges = hits.union(compare_runs(single, both=True)).where(F.col("kind") == REPEATED).select("doc_id", "first", (F.col("first") + F.col("shape") + (window - 1)).alias("last"))
+    ranges = ranges_of(hits.union(compare_runs(single, both=True)), window)
     out = by_id.join(spans_by_document(ranges), "doc_id", "left").select("doc_id", "bytes", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 

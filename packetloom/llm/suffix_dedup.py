@@ -1,8 +1,8 @@
 """Suffix-array dedup by difference-cover blockwise construction.
 
 The suffixes of all documents are dealt into buckets and one bucket at a time
-is sorted.  A bucket holds the suffixes whose first 100 bytes have the same
-anchor, so strings of 100 equal bytes always meet.  Whole runs of suffixes
+is sorted.  A bucket holds suffixes that share the anchor of their first 100
+bytes and what stands around it, so strings of 100 equal bytes always meet.  Whole runs of suffixes
 that agree are settled by comparing keys; the rest is sorted as text: by the
 first V bytes, then ties by the ranks of a difference-cover sample.  For any
 two positions i, j some shift d < V puts both i+d and j+d in the sample, so a
@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .runs import OPEN, REPEATED, compare_runs, covered, find_runs, spans_by_document
+from .hashing import FIRST, SECOND
+from .runs import OPEN, PLACE, RUNS, _RUNS, combine, compare_runs, covered, find_runs, ranges_of, spans_by_document, windows_of
 from .shared import NULL_ID, batch, documents, table
 
 LENGTH, GRAM = 100, 32
@@ -148,24 +149,66 @@ def repeated_starts(text: np.ndarray, left: np.ndarray, starts: np.ndarray, leng
     return suffix[suffix != least]
 
 
-_CONTEXT = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary())])
-CONTEXT = "anchor long, doc_id long, first long, bytes binary"
+_BUCKET = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary())])
+BUCKET = "bucket long, doc_id long, first long, bytes binary"
 _RANGE = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 RANGE = "doc_id long, first long, last long"
+#: A run's suffixes are dealt into this many buckets by the anchor's place in them.
+PARTS = 3
+#: Buckets of more strings than this are settled by keys of single windows.
+HOT = 10_000
 
 
-def _cut(length: int):
+def _cut(length: int, gram: int):
+    """The asked runs as strings.
+
+    Suffixes with the anchor at nearly the same place share more than the
+    anchor; the key of all they share is their bucket, so a common short line
+    does not gather all its neighbourhoods in one.
+    """
+    step = -(-(length - gram + 1) // PARTS)
+    shared = length - step + 1
+
     def cut(batches):
+        np.seterr(over="ignore")
         for b in batches:
-            rows = [[], [], [], []]
+            out = [[], [], [], []]
             for doc, text, asked in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                text = b"" if text is None else text
-                for r in asked:
-                    piece = text[r["first"] : r["first"] + r["shape"] - 1 + length]
-                    if len(piece) >= length:
-                        for c, x in zip(rows, (r["anchor"], doc, r["first"], piece), strict=True):
-                            c.append(x)
-            yield batch(_CONTEXT, *rows)
+                buf = np.frombuffer(text or b"", np.uint8)
+                first, shape = (np.array([r[c] for r in asked], np.int64) for c in ("first", "shape"))
+                n, anchor = windows_of(shape), first + shape // PLACE
+                fits = first + n - 1 + length <= len(buf)
+                first, n, anchor = first[fits], n[fits], anchor[fits]
+                prefix = FIRST.prefix(buf)
+                for part in range(PARTS):
+                    last = np.minimum(first + n - 1, anchor - part * step)
+                    begin = np.maximum(first, anchor - part * step - step + 1)
+                    x = np.flatnonzero(begin <= last)
+                    at = anchor[x] - part * step
+                    key = FIRST.slices(prefix, at, at + shared) + np.uint64(part)
+                    out[0].append(key.view(np.int64))
+                    out[1].append(np.full(len(x), doc))
+                    out[2].append(begin[x])
+                    out[3].extend(text[i : j + length] for i, j in zip(begin[x].tolist(), last[x].tolist(), strict=True))
+            if out[0]:
+                yield batch(_BUCKET, *(np.concatenate(c) for c in out[:3]), out[3])
+
+    return cut
+
+
+def _single(length: int):
+    """Each window of the strings as a run of one window, keyed by its two hashes."""
+
+    def cut(batches):
+        np.seterr(over="ignore")
+        for b in batches:
+            found = []
+            for doc, first, piece in zip(*(b.column(c).to_pylist() for c in range(1, 4)), strict=True):
+                buf = np.frombuffer(piece, np.uint8)
+                at = np.arange(len(buf) - length + 1)
+                found.append((*(f.slices(f.prefix(buf), at, at + length) for f in (FIRST, SECOND)), np.full(len(at), doc), first + at, np.ones(len(at), np.int32)))
+            if found:
+                yield batch(_RUNS, *combine(*(np.concatenate(c) for c in zip(*found, strict=True))))
 
     return cut
 
@@ -173,8 +216,14 @@ def _cut(length: int):
 def _settle(length: int, block: int):
     """Sort buckets, one block at a time; a bucket is never split between blocks."""
 
-    def sort(anchor, doc, first, pieces):
-        order = np.lexsort([first, doc])
+    def sort(bucket, doc, first, pieces):
+        many = np.zeros(len(bucket), bool)
+        many[1:] = bucket[1:] == bucket[:-1]
+        many[:-1] |= many[1:].copy()
+        order = np.flatnonzero(many)
+        if not len(order):
+            return None
+        order = order[np.lexsort([first[order], doc[order]])]
         doc, first = doc[order], first[order]
         fresh = np.ones(len(doc), bool)
         fresh[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])
@@ -225,11 +274,15 @@ def _settle(length: int, block: int):
 def repeated_ranges(docs: DataFrame, by_id: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     """Byte ranges covered by ``length``-byte strings that start earlier too."""
     hits = table(compare_runs(find_runs(docs, length, gram, words=False), both=False), "runs")
-    whole = hits.where(F.col("kind") == REPEATED).select("doc_id", "first", (F.col("first") + F.col("shape") + (length - 1)).alias("last"))
-    asked = hits.where(F.col("kind") == OPEN).groupBy("doc_id").agg(F.collect_list(F.struct("first", "shape", "anchor")).alias("asked"))
-    pieces = by_id.join(asked, "doc_id").select("doc_id", "bytes", "asked").mapInArrow(_cut(length), CONTEXT)
-    sorted_ = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle(length, block), RANGE)
-    return whole.union(sorted_)
+    asked = hits.where(F.col("kind") == OPEN).groupBy("doc_id").agg(F.collect_list(F.struct("first", "shape")).alias("asked"))
+    buckets = table(by_id.join(asked, "doc_id").select("doc_id", "bytes", "asked").mapInArrow(_cut(length, gram), BUCKET), "buckets")
+    out = ranges_of(hits, length)
+    hot = table(buckets.groupBy("bucket").count().where(F.col("count") > HOT).select("bucket"), "hot")  # at most one of each HOT rows
+    if not hot.isEmpty():
+        single = buckets.join(hot, "bucket", "left_semi").select(*buckets.columns).mapInArrow(_single(length), RUNS)
+        out = out.union(ranges_of(compare_runs(single, both=False), length))
+        buckets = buckets.join(hot, "bucket", "left_anti").select(*buckets.columns)
+    return out.union(buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length, block), RANGE))
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept", pa.binary())])

@@ -69,7 +69,9 @@ def check(got, want):
     assert sorted(Counter(r[0] for r in got).items(), key=str) == sorted(Counter([*want, 9]).items(), key=str)
 
 
-def test_suffix_dedup(case):
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_suffix_dedup(case, hot, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", hot)
     check(suffix.digest(suffix.suffix_dedup(case[1], block=5000)).collect(), brute_bytes(case[0], 100))
 
 
