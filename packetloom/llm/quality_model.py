@@ -10,10 +10,11 @@ look-ups of one occurrence share; every shard is small enough to be sent to the
 executors, where each block of documents joins its distinct n-grams with it.
 The text itself is not shuffled.
 
-Decision: a document's perplexity must lie between two quantiles of the trusted
-documents of its language and size class (too high: garbled, too low:
-repetitive).  A class with few trusted documents takes its language's
-quantiles, a language without any those of all.
+Decision: a document's perplexity must lie between two quantiles of trusted
+documents of its language and size class that had no part in training (too
+high: garbled, too low: repetitive).  A class with few such documents takes its
+language's quantiles, a language with few their extremes with some slack, and
+one without any the extremes of all.
 
 Cases: an empty or null text has perplexity 1 and is kept, as there is nothing
 to judge; a null lang is a language of its own; null and repeated doc_ids are
@@ -28,14 +29,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import blocks, bytes_of, ship, table
 
 ORDER, SYMBOLS, START = 5, 256, 2
 LOW, HIGH = 0.001, 0.995
-#: A stratum needs this many trusted documents for quantiles of its own.
-ENOUGH = 400
+#: One trusted document in so many (by the hash of its text) is held out of training for the quantiles.
+HELD_OUT = 4
+#: A stratum needs this many held-out documents for quantiles; with fewer it has their extremes times SLACK.
+ENOUGH, SLACK = 400, 1.5
 #: Rows of a model shard (12 bytes each).
 SHARD = 4_000_000
 _U = np.uint64
@@ -250,16 +253,25 @@ def score(docs: DataFrame, model: list) -> DataFrame:
 STEPS = 2000.0
 
 
-def _quantiles(scored: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
-    """Least and greatest log perplexity to accept in each stratum, from counts per 1/2000."""
-    from pyspark.sql import Window
+def _quantiles(scored: DataFrame, by: list[str], low: float, high: float, enough: float) -> DataFrame:
+    """Least and greatest log perplexity to accept in each stratum, from counts per 1/2000.
 
+    A stratum of fewer than ``enough`` has its extremes, widened by SLACK.
+    """
     # At most one row for each stratum and step.
     bins = scored.withColumn("bin", F.round(F.log("perplexity") * STEPS).cast("long")).groupBy(*by, "bin").count()
-    up = Window.partitionBy(*by).orderBy("bin")
-    all_ = Window.partitionBy(*by)
-    run = bins.select(*by, "bin", F.sum("count").over(up).alias("below"), F.col("count"), F.sum("count").over(all_).alias("all"))
-    return run.groupBy(*by).agg(F.min(F.when(F.col("below") > F.floor(F.col("all") * low), F.col("bin"))).alias("low"), F.min(F.when(F.col("below") >= F.ceil(F.col("all") * high), F.col("bin"))).alias("high"), F.max("all").alias("trusted"))
+    up, all_ = Window.partitionBy(*by).orderBy("bin"), Window.partitionBy(*by)
+    run = bins.select(*by, "bin", F.sum("count").over(up).alias("below"), F.sum("count").over(all_).alias("all"))
+    few = F.col("trusted") < F.lit(float(enough))
+    out = run.groupBy(*by).agg(
+        F.max("all").alias("trusted"),
+        F.min(F.when(F.col("below") > F.floor(F.col("all") * low), F.col("bin"))).alias("l"),
+        F.min(F.when(F.col("below") >= F.ceil(F.col("all") * high), F.col("bin"))).alias("h"),
+        F.min("bin").alias("first"),
+        F.max("bin").alias("last"),
+    )
+    slack = int(math.log(SLACK) * STEPS)
+    return out.select(*by, "trusted", F.when(few, F.col("first") - slack).otherwise(F.col("l")).alias("low"), F.when(few, F.col("last") + slack).otherwise(F.col("h")).alias("high"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH) -> DataFrame:
@@ -270,18 +282,19 @@ def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     trusted = table(only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), ids), "trusted")
     if trusted.isEmpty():
         return docs.withColumns({"perplexity": F.lit(1.0), "accepted": F.lit(True)})
-    model = shards(train(trusted))
+    held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    model = shards(train(trusted.where(~held)))
     strata = lambda df: df.withColumns({"_lang": F.coalesce("lang", F.lit("")), "_size": F.least(F.floor(F.log2(F.greatest(F.octet_length("text"), F.lit(1)))), F.lit(14)).cast("int")})
-    known = table(strata(score(trusted, model).where("octet_length(text) > 0")).select("_lang", "_size", "perplexity"), "known")
-    fine = _quantiles(known, ["_lang", "_size"], low, high).where(F.col("trusted") >= enough)
-    coarse = _quantiles(known, ["_lang"], low, high)
-    every = _quantiles(known.withColumn("_all", F.lit(1)), ["_all"], low, high).first()
+    known = table(strata(score(trusted.where(held), model).where("octet_length(text) > 0")).select("_lang", "_size", "perplexity"), "known")
+    fine = _quantiles(known, ["_lang", "_size"], low, high, enough).where(F.col("trusted") >= enough)
+    coarse = _quantiles(known, ["_lang"], low, high, enough)
+    every = _quantiles(known.withColumn("_all", F.lit(1)), ["_all"], 0, 1, math.inf).first()
     out = strata(score(docs, model))
     # One row for each language (and size class): a few dozen.
     for name, t, by in (("f", fine, ["_lang", "_size"]), ("c", coarse, ["_lang"])):
         t = table(t.select(*by, F.col("low").alias(f"_{name}low"), F.col("high").alias(f"_{name}high")), "limits")
         out = out.join(t, by, "left")
-    low_, high_ = (F.coalesce(f"_f{x}", f"_c{x}", F.lit(every[x])) for x in ("low", "high"))
-    bin_ = F.round(F.log("perplexity") * STEPS)
-    ok = (F.octet_length("text") <= 0) | F.col("text").isNull() | bin_.between(low_, high_)
+    low_, high_ = (F.coalesce(f"_f{x}", f"_c{x}", F.lit(every[x] if every else None).cast("long")) for x in ("low", "high"))
+    bin_ = F.round(F.log("perplexity") * STEPS).cast("long")
+    ok = (F.octet_length("text") <= 0) | F.col("text").isNull() | F.coalesce(bin_.between(low_, high_), F.lit(True))
     return out.withColumn("accepted", ok).select(*docs.columns, "perplexity", "accepted")

@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import NULL_ID, batch, blocks, bytes_of, documents, ids_of, scratch, table
 
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Bytes of text, and units, that are encoded at a time.
+STEP, ASKED = 1 << 20, 10_000
 #: Ids of a block; a longer document is a block of its own.
 BLOCK = 1 << 16
 
@@ -56,7 +58,7 @@ class Tokenizer:
         self._known: dict[str, bytes] = {}
 
     def _ask(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self._t.encode_batch_fast(units, add_special_tokens=False)]
+        return [np.array(e.ids, np.int32).tobytes() for i in range(0, len(units), ASKED) for e in self._t.encode_batch_fast(units[i : i + ASKED], add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian int32."""
@@ -152,7 +154,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
     def encode(batches):
         t = tokenizer(path)
         for b in batches:
-            for i, j, _, _ in blocks(bytes_of(b.column(1))[1], 1 << 21):
+            for i, j, _, _ in blocks(bytes_of(b.column(1))[1], STEP):
                 yield batch(schema, b.column(0).slice(i, j - i), [x + end for x in t.encode(b.column(1).slice(i, j - i).to_pylist())])
 
     encoded = table(documents(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode, "doc_id long, ids binary"), "ids")

@@ -2,7 +2,7 @@
 
 Rules decide where one fits.  The other URLs are judged by two Markov models of
 characters, one of accepted and one of rejected URLs (those that the rules
-decide).  Each model mixes the orders 0 to 3: the weight of an order falls with the
+decide, without the parts that the rules look at).  Each model mixes the orders 0 to 3: the weight of an order falls with the
 number of different successors its history has (Witten-Bell), so histories of little
 evidence lean on shorter ones.  The score is the difference of the two log
 likelihoods per character.  A held-out part of the accepted URLs calibrates the
@@ -22,7 +22,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import blocks, bytes_of, ship
 
@@ -61,6 +61,16 @@ def by_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.withColumns({"rule": none if rule is None else rule, "ruled": none if ruled is None else ruled})
 
 
+def essence(url: str = "url") -> Column:
+    """What the models read: the host without its top-level label, the path after its first segment, and the rest.
+
+    Rules look at the parts left out; with them the models would only learn the rules again.
+    """
+    host = F.regexp_replace("host", r"\.?[^.]*$", "")
+    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(?:/[^/?#]*)?(.*)$", 1)
+    return F.concat(host, F.lit(" "), rest)
+
+
 def cells(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each character, the cell of its three predecessors and itself; and its text."""
     size = np.diff(np.concatenate([[0], ends]))
@@ -93,7 +103,7 @@ def url_filter(pages: DataFrame, rules=RULES, false_rejects: float = FALSE_REJEC
     spark = pages.sparkSession
     ship(spark)
     # A held-out URL is one in HELD_OUT by the hash of its text, so copies stay together.
-    known = by_rules(parts(pages.select("page_id", "url")), rules).withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0)
+    known = by_rules(parts(pages.select("page_id", "url")), rules).withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0).withColumn("url", essence())
     counted = pa.schema([("ruled", pa.string()), ("cell", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
