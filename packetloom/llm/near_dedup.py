@@ -11,9 +11,11 @@ missed by all BANDS with probability (1 - 0.8**5)**32, about 3e-6.
 
 Groups: documents of equal shingle sets are one class with one representative.
 A bucket (one band, one value) isn't expanded into pairs: its members are first
-compared with a leader only, then links within one component are needless, and
-only members outside a bucket's largest component are compared with all the
-others.  So no link between two components that a bucket holds is lost, and a
+compared with a leader only, then links within one component are needless.  For
+buckets with several components the shingles that a document shares with no other
+one are counted; they bound its similarity with all of them and leave many out.  The rest is
+compared block by block: the intersections of two blocks are one matrix product,
+and only pairs that join components come out of it, at most one for a member.  So no link between two components that a bucket holds is lost, and a
 group of thousands of near copies costs a few comparisons for each.  Every link is
 confirmed on the full shingle sets.
 
@@ -29,16 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import FIRST, SECOND, mix, word_bounds, word_hashes
-from .shared import NULL_ID, batch, blocks, bytes_of, documents, ids_of, table
+from .shared import NULL_ID, batch, bits_of, blocks, bloom, bytes_of, documents, ids_of, in_bloom, table
 
 WORDS, SHARE = 4, 80
 BANDS, ROWS = 32, 5
 T = BANDS * ROWS
 _U = np.uint64
-#: Rounds of comparing with leaders before all remaining pairs are compared.
-ROUNDS = 4
-#: The rounds end early when comparing all the rest costs at most this for each row.
-FEW = 8
+#: Members of a block, and of a set of buckets that is compared as one.
+BLOCK, UNIT = 400, 20_000
 
 
 def shingles(buf: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,10 +108,52 @@ def scan(docs: DataFrame, words: int) -> DataFrame:
 
 #: Members that are compared with one copy of their leader's set.
 PART = 500
-_SETS = pa.schema([("leader", pa.int64()), ("part", pa.int32()), ("member", pa.int64()), ("grams", pa.binary())])
+_SETS = pa.schema([("member", pa.int64()), ("grams", pa.binary())])
 _LINKS = pa.schema([("leader", pa.int64()), ("member", pa.int64())])
 
 
+def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """member, grams (sorted distinct hashes) of the documents in ``ids``, and of few others.
+
+    A bit table of bounded size picks them during the scan; no text is shuffled.
+    """
+    bits, table_ = bloom(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(table_)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("member"), "text").withColumns(bits_of("member"))
+
+    def run(batches):
+        np.seterr(over="ignore")
+        for b in batches:
+            b = b.filter(pa.array(in_bloom(b, bits, shared.value)))
+            buf, ends = bytes_of(b.column(1))
+            for i, j, lo, hi in blocks(ends, 1 << 20):
+                text, grams = shingles(buf[lo:hi], ends[i:j] - lo, words)
+                stop = np.cumsum(np.bincount(text, minlength=j - i)) * 8
+                raw = grams.tobytes()
+                yield batch(_SETS, b.column(0).slice(i, j - i), [raw[x:y] for x, y in zip([0, *stop.tolist()], stop.tolist(), strict=False)])
+
+    return docs.mapInArrow(run, "member long, grams binary")
+
+
+def possible(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """rep, alone: how many shingles of each member no other member has.
+
+    They are in no intersection, which bounds the similarity with any member.
+    """
+    schema = pa.schema([("rep", pa.int64()), ("gram", pa.int64())])
+    ids = members.select("rep").distinct()
+
+    def spread(batches):
+        for b in batches:
+            raw, ends = bytes_of(b.column(1))
+            n = np.diff(np.concatenate([[0], ends])) // 8
+            yield batch(schema, np.repeat(b.column(0).to_numpy(), n), raw.view(np.int64))
+
+    sets = sets_of(docs, ids, words).join(ids.withColumnRenamed("rep", "member"), "member", "left_semi").distinct()
+    once = sets.mapInArrow(spread, "rep long, gram long").groupBy("gram").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1")
+    return once.groupBy("rep").agg(F.count("*").alias("alone"))
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFrame:
     """Those (leader, member) pairs whose full sets have 100 * intersection >= share * union.
 
@@ -121,19 +163,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFr
     parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     salted = pairs.join(parts, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
     heads = parts.select("leader", F.col("leader").alias("member"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    asked = salted.union(heads).groupBy("member").agg(F.collect_set(F.struct("leader", "part")).alias("leaders"))
-    asked = table(asked, "asked")  # its true size lets Spark choose how to join
-
-    def sets(batches):
-        np.seterr(over="ignore")
-        for b in batches:
-            for member, text, leaders in zip(*(b.column(c) for c in range(3)), strict=True):
-                text = np.frombuffer(text.as_py() or b"", np.uint8)
-                grams = shingles(text, np.array([len(text)]), words)[1].tobytes()
-                leaders = leaders.as_py()
-                for i in range(0, len(leaders), 64):
-                    part = leaders[i : i + 64]
-                    yield batch(_SETS, [x["leader"] for x in part], [x["part"] for x in part], [member.as_py()] * len(part), [grams] * len(part))
+    asked = table(salted.union(heads), "asked")
+    shipped = sets_of(docs, asked.select("member").distinct(), words).distinct().join(asked, "member").select("leader", "part", "member", "grams")
 
     def compare(batches):
         held, own = None, None
@@ -150,33 +181,128 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFr
                         out.append((leader, member))
             yield batch(_LINKS, [x for x, _ in out], [x for _, x in out])
 
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("member"), F.col("text").cast("binary").alias("bytes"))
-    shipped = text.join(asked, "member").select("member", "bytes", "leaders").mapInArrow(sets, "leader long, part int, member long, grams binary")
     return shipped.repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("member") != F.col("leader"), "member").mapInArrow(compare, "leader long, member long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (least node reachable) of an undirected graph.
+def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """node, component (least node reachable) of an undirected graph; ``before``: the result without ``links``.
 
     Each round contracts the graph along every node's least neighbour, with
     pointer doubling, until no link joins two components.
     """
-    both = links.toDF("a", "b")
-    label = table(both.select("a").union(both.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("component")), "labels")
-    cross = table(both, "links")
+    cross = links.toDF("a", "b")
+    new = cross.select("a").union(cross.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("component"))
+    if before is None:
+        label = new
+    else:
+        label = table(before.union(new.join(before, "node", "left_anti")), "labels")
+        for c in ("a", "b"):
+            cross = cross.join(label.toDF(c, "to"), c).select(*(F.col("to").alias(x) if x == c else x for x in ("a", "b")))
+    cross = table(cross.where("a <> b").distinct(), "links")
     while not cross.isEmpty():
         way = cross.union(cross.select("b", "a")).groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to"))
         way = table(way, "way")
-        for _ in range(2):
-            way = table(way.join(way.select(F.col("a").alias("to"), F.col("to").alias("next")), "to", "left").select("a", F.coalesce("next", "to").alias("to")), "way")
-        label = table(label.join(way.select(F.col("a").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        way = table(way.join(way.toDF("to", "next"), "to", "left").select("a", F.coalesce("next", "to").alias("to")), "way")
+        label = table(label.join(way.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
         for c in ("a", "b"):
-            cross = cross.join(way.select(F.col("a").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to").select("a", "b")
+            cross = cross.join(way.toDF(c, "to"), c, "left").withColumn(c, F.coalesce("to", c)).select("a", "b")
         cross = table(cross.where("a <> b").distinct(), "links")
     return label
 
 
-def near_dedup(docs: DataFrame, words: int = WORDS, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def similar_sizes(a: str, b: str, share: int):
+    return (F.col(a) * share <= 100 * F.col(b)) & (F.col(b) * share <= 100 * F.col(a))
+
+
+def unsettled(docs: DataFrame, members: DataFrame, label: DataFrame, words: int, share: int) -> DataFrame:
+    """unit, rep, component of the members of buckets that hold several components.
+
+    Documents that, without the shingles no other one has, cannot reach the
+    share with any other are left out.  A unit is a set of buckets that have
+    members in common, or a single bucket where such a set would be large.
+    """
+    now = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    def mixed(df):
+        several = df.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+        return df.join(several, "band", "left_semi").select("band", "rep", "n", "component")
+
+    now = table(mixed(now), "mixed")
+    alone = table(possible(docs, now, words), "alone")
+    can = now.join(alone, "rep", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= share * F.col("n"))
+    now = table(mixed(table(can, "possible")), "mixed")
+    near = now.groupBy("band").agg(F.min("rep").alias("a"))
+    unit = components(table(now.join(near, "band").where("rep > a").select("a", F.col("rep").alias("b")).distinct(), "together"))
+    size = unit.groupBy(F.col("component").alias("unit")).count()
+    now = now.join(unit.toDF("rep", "unit"), "rep").join(size, "unit")
+    return now.select(F.when(F.col("count") > UNIT, F.xxhash64("band")).otherwise(F.col("unit")).alias("unit"), "rep", "component").distinct()
+
+
+def compare_all(docs: DataFrame, rest: DataFrame, words: int, share: int) -> DataFrame:
+    """(a, b): pairs that connect the components of each unit which confirmed links join.
+
+    A unit is dealt into blocks, each two blocks (or one with itself) are one
+    piece of work, and what leaves it is at most one pair for each member.
+    """
+    rest = table(rest, "rest")
+    size = rest.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(size, "unit").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+    sets = sets_of(docs, rest.select("rep").distinct(), words).distinct()
+    work = sets.join(dealt.withColumnRenamed("rep", "member"), "member").select("unit", "i", "j", "own", "member", "component", "grams")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(rows):
+        own, member, component = (np.array([r[c] for r in rows]) for c in (3, 4, 5))
+        i, j = rows[0][1:3]
+        if i != j and not (len(set(own.tolist())) == 2):
+            return []
+        sets_ = [np.frombuffer(r[6], _U) for r in rows]
+        n = np.array([len(x) for x in sets_], np.int64)
+        _, which, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+        common = times > 1
+        place = np.cumsum(common) - 1
+        of = np.repeat(np.arange(len(rows)), n)[common[which]]
+        which = place[which[common[which]]]
+        met = np.zeros((len(rows), len(rows)), np.float32)
+        for low in range(0, int(common.sum()), 4096):
+            part = (which >= low) & (which < low + 4096)
+            m = np.zeros((len(rows), 4096), np.float32)
+            m[of[part], which[part] - low] = 1
+            met += m @ m.T
+        linked = 100 * met >= share * (n[:, None] + n[None, :] - met)
+        linked &= (own[:, None] != own[None, :]) | (i == j)
+        linked |= component[:, None] == component[None, :]
+        at = np.arange(len(rows))
+        while True:
+            least = np.where(linked, at[None, :], len(rows)).min(axis=1)
+            least = np.minimum(at, least)
+            if (least == at).all():
+                break
+            at = least
+        out = {}
+        for x in np.argsort(member):
+            out.setdefault((at[x], component[x]), member[x])
+        heads = {}
+        return [(heads[g], x) for (g, _), x in out.items() if heads.setdefault(g, x) != x]
+
+    def compare(batches):
+        held: list = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    if out := links(held):
+                        yield batch(schema, [x for x, _ in out], [x for _, x in out])
+                    held = []
+                held.append(row)
+        if held and (out := links(held)):
+            yield batch(schema, [x for x, _ in out], [x for _, x in out])
+
+    return work.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "member").mapInArrow(compare, "a long, b long")
+
+
+def near_dedup(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     docs = documents(docs)
     rows = table(scan(docs, words), "sets")
@@ -187,36 +313,15 @@ def near_dedup(docs: DataFrame, words: int = WORDS, share: int = SHARE, rounds:
     shared = band.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band")
     members = table(band.join(shared, "band"), "members")
 
-    near = (F.col("n") * share <= 100 * F.col("m")) & (F.col("m") * share <= 100 * F.col("n"))
-    label = links = None
-    for r in range(rounds + 1):
-        if label is None:
-            now = members.withColumn("component", F.col("rep"))
-        else:
-            now = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            mixed = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-            now = table(now.join(mixed, "band"), "mixed")
-        sizes = now.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.sum("count").alias("all"), F.max("count").alias("most"))
-        last = r == rounds
-        if r and not last:
-            sizes = table(sizes, "buckets")
-            cost = sizes.agg(F.sum(F.col("all") * (F.col("all") - F.col("most")))).first()[0] or 0
-            last = cost <= FEW * now.count()
-        if last:
-            lead = now.join(sizes, "band").where("component <> major").select("band", F.col("rep").alias("leader"), F.col("n").alias("m"), F.col("component").alias("other"))
-        else:
-            order = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
-            lead = now.groupBy("band").agg(F.min_by(F.struct(F.col("rep").alias("leader"), F.col("n").alias("m"), F.col("component").alias("other")), order).alias("l")).select("band", "l.*")
-        pairs = now.join(lead, "band").where((F.col("component") != F.col("other")) & near)
-        pairs = table(pairs.select(F.least("leader", "rep").alias("leader"), F.greatest("leader", "rep").alias("member")).distinct(), "pairs")
-        if not pairs.isEmpty():
-            found = table(confirm(docs, pairs, words, share), "confirmed")
-            links = found if links is None else links.union(found)
-            label = components(links)
-        if last or label is None:
-            break
+    # First the leaders: the least member of each bucket.
+    lead = members.groupBy("band").agg(F.min_by(F.struct(F.col("rep").alias("leader"), F.col("n").alias("m")), "rep").alias("l")).select("band", "l.*")
+    pairs = members.join(lead, "band").where((F.col("rep") != F.col("leader")) & similar_sizes("n", "m", share)).select("leader", F.col("rep").alias("member")).distinct()
+    label = components(table(confirm(docs, table(pairs, "pairs"), words, share), "confirmed"))
+    # Then whatever a bucket holds of several components.
+    rest = unsettled(docs, members, label, words, share)
+    label = components(table(compare_all(docs, rest, words, share), "links"), label)
     part = classes.select("k1", "k2", "rep")
-    part = part.withColumn("component", F.col("rep")) if label is None else part.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    part = part.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = rows.join(part.select("k1", "k2", "component"), ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     real = lambda c: F.when(c != NULL_ID, c)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import blocks, bytes_of, ship, table
+from .shared import bits_of, blocks, bloom, bytes_of, in_bloom, ship, table
 
 ORDER, SYMBOLS, START = 5, 256, 2
 LOW, HIGH = 0.001, 0.995
@@ -60,37 +60,17 @@ def ngrams(buf: np.ndarray, ends: np.ndarray, order: int = ORDER) -> tuple[np.nd
     return key, text
 
 
-def bloom(ids: DataFrame, most: int = 1 << 28):
-    """A function that is true for all ids of a one-column frame and for few others.
-
-    The bits are a fixed number however many ids there are (32 MB at most).
-    """
-    n = ids.count()
-    bits = min(most, max(1 << 12, 1 << (16 * n).bit_length()))
-    c = F.col(ids.columns[0])
-    places = [F.pmod(F.xxhash64(c, F.lit(s)), F.lit(bits)) for s in (1, 2)]
-    word = ids.select(F.explode(F.array(*places)).alias("b")).selectExpr("shiftright(b, 5) w", "shiftleft(1L, cast(b & 31 as int)) m")
-    rows = word.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    table_ = np.zeros(bits // 32 + 1, np.uint32)
-    table_[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).astype(np.uint32)
-    return bits, table_
-
-
 def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs whose key is in ids (distinct).  A bit table drops most others before the shuffle."""
     spark = docs.sparkSession
     bits, words = bloom(ids)
     shared = spark.sparkContext.broadcast(words)
-    marked = docs.withColumns({"_a": F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits)), "_b": F.pmod(F.xxhash64(key, F.lit(2)), F.lit(bits))})
 
     def run(batches):
-        w = shared.value
         for b in batches:
-            a, c = b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()
-            hit = (w[a >> 5] >> (a & 31).astype(np.uint32)) & (w[c >> 5] >> (c & 31).astype(np.uint32)) & 1
-            yield b.filter(pa.array(hit.astype(bool))).select(range(b.num_columns - 2))
+            yield b.filter(pa.array(in_bloom(b, bits, shared.value))).select(range(b.num_columns - 2))
 
-    return marked.mapInArrow(run, docs.schema).join(ids.toDF(key), key, "left_semi")
+    return docs.withColumns(bits_of(key)).mapInArrow(run, docs.schema).join(ids.toDF(key), key, "left_semi")
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _PACKAGE = Path(__file__).resolve().parent.parent
 
@@ -94,3 +94,33 @@ def ids_of(column: pa.Array) -> np.ndarray:
 
 
 NULL_ID = -(1 << 63)
+
+
+def bloom(ids: DataFrame, most: int = 1 << 28):
+    """Number of bits and words of a bit table that has two bits for each id of a one-column frame.
+
+    It is at most ``most`` bits (32 MB) however many ids there are; with more it lets more others pass.
+    """
+    n = ids.count()
+    bits = min(most, max(1 << 12, 1 << (16 * n).bit_length()))
+    c = F.col(ids.columns[0])
+    places = [F.pmod(F.xxhash64(c, F.lit(s)), F.lit(bits)) for s in (1, 2)]
+    word = ids.select(F.explode(F.array(*places)).alias("b")).selectExpr("shiftright(b, 5) w", "shiftleft(1L, cast(b & 31 as int)) m")
+    rows = word.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    table_ = np.zeros(bits // 32 + 1, np.uint32)
+    table_[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).astype(np.uint32)
+    return bits, table_
+
+
+def bits_of(key: str) -> dict:
+    """The columns that ``in_bloom`` looks up, to be added last."""
+    return {"_a": F.xxhash64(key, F.lit(1)), "_b": F.xxhash64(key, F.lit(2))}
+
+
+def in_bloom(b: pa.RecordBatch, bits: int, words: np.ndarray) -> np.ndarray:
+    """Which rows of a batch may be among the ids; its last two columns are bits_of the key."""
+    hit = np.ones(b.num_rows, np.uint32)
+    for c in (2, 1):
+        at = b.column(b.num_columns - c).to_numpy() & (bits - 1)
+        hit &= words[at >> 5] >> (at & 31).astype(np.uint32)
+    return (hit & 1).astype(bool)

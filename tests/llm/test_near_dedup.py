@@ -58,9 +58,10 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("few", [8, -1])
-def test_near_dedup_equals_all_pairs(spark, seed, few, monkeypatch):
-    monkeypatch.setattr(near, "FEW", few)
+@pytest.mark.parametrize(("block", "unit"), [(400, 20_000), (7, 20_000), (7, 1)])
+def test_near_dedup_equals_all_pairs(spark, seed, block, unit, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "UNIT", unit)
     docs = corpus(seed)
     rows = [(i, t, 3, "x") for i, t in docs.items()] + [(5, docs[5], 9, "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n long, component string").repartition(6)
