@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +28,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import NULL_ID, batch, blocks, bytes_of, documents, ids_of, scratch, table
 
-REMEMBERED = 200_000
-#: Bytes of text, and units, that are encoded at a time.
+REMEMBERED = 300_000
+#: Bytes of text, and pre-tokens, that are encoded at a time.
 STEP, ASKED = 1 << 20, 10_000
 #: Ids of a block; a longer document is a block of its own.
 BLOCK = 1 << 16
 
 
+class _Known(dict):
+    """Ids of pre-tokens; those of the batch at hand that it has no room for are in ``extra``."""
+
+    extra: dict = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.extra[piece]
+
+
 class Tokenizer:
-    """The tokenizers library, asked once for each distinct unit of text.
+    """The tokenizers library, asked once for each distinct pre-token of a batch.
 
-    Byte-level pre-tokens never go on after a character that is not white
-    space into white space, so the ids of a text are those of its units: a stretch without
-    white space with at most one space before it, or white space.  Texts with
-    a special token, control characters or letters outside the Latin blocks
-    go to the library whole.
+    Byte-level pre-tokens are encoded independently of each other, so the ids
+    of a text are those of its pre-tokens.  Texts with a special token, control
+    characters, fractions or letters outside the Latin blocks go to the library
+    whole.  When the memory of pre-tokens is full it stays as it is, since
+    frequent ones come early, until it has missed too often.
     """
 
     def __init__(self, path: str):
@@ -53,27 +63,38 @@ class Tokenizer:
         self._t.no_padding()
         self.size = self._t.get_vocab_size(with_added_tokens=True)
         special = "|".join(re.escape(t.content) for t in self._t.get_added_tokens_decoder().values())
-        self._whole = re.compile("[^\x00-\x1b\x20-\x7e\xa1-ɏ]" + (f"|{special}" if special else "")).search
-        self._units = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
-        self._known: dict[str, bytes] = {}
-
-    def _ask(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for i in range(0, len(units), ASKED) for e in self._t.encode_batch_fast(units[i : i + ASKED], add_special_tokens=False)]
+        self._whole = re.compile("[^\x00-\x1b\x20-\x7e\xa1-ɏ]|[¹²³¼½¾]" + (f"|{special}" if special else "")).search
+        self._split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        self._known = _Known()
+        self._missed = 0
+
+    def _ask(self, pieces: list[str], dtype: str) -> list[bytes]:
+        out = []
+        for i in range(0, len(pieces), ASKED):
+            part = pieces[i : i + ASKED]
+            found = self._t.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, dtype)
+            ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)) * ids.itemsize)
+            out += _cut(ids.tobytes(), ends)
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian int32."""
+    def encode(self, texts: list[str | None], dtype: str) -> list[bytes]:
+        """Ids of each text as little-endian integers."""
+        known = self._known
         whole = [bool(t) and self._whole(t) is not None for t in texts]
-        units = [self._units(t) if t and not w else () for t, w in zip(texts, whole, strict=True)]
-        new = list(set().union(*units) - self._known.keys())
-        if len(self._known) + len(new) > REMEMBERED:
-            self._known.clear()
-            new = list(set().union(*units))
+        pieces = [self._split(t) if t and not w else () for t, w in zip(texts, whole, strict=True)]
+        new = list(dict.fromkeys(filterfalse(known.__contains__, chain.from_iterable(pieces))))
         if new:
-            self._known.update(zip(new, self._ask(new), strict=True))
-        get = self._known.__getitem__
-        out = [np.array(self._t.encode(t, add_special_tokens=False).ids, np.int32).tobytes() if w else b"".join(map(get, u)) for t, w, u in zip(texts, whole, units, strict=True)]
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
+            known.extra = dict(zip(new, self._ask(new, dtype), strict=True))
+            if len(known) < REMEMBERED:
+                known.update(known.extra)
+            else:
+                self._missed += len(new)
+        get = known.__getitem__
+        out = [np.array(self._t.encode(t, add_special_tokens=False).ids, dtype).tobytes() if w else b"".join(map(get, p)) for t, w, p in zip(texts, whole, pieces, strict=True)]
+        if self._missed > 8 * REMEMBERED:
+            known.clear()
+            self._missed = 0
         return out
 
 
@@ -131,13 +152,13 @@ BLOCKS = "shard int, block long, start long, doc_ids binary, counts binary, cont
 _COUNTS = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
 
-def count_ids(encoded: DataFrame, size: int) -> DataFrame:
+def count_ids(encoded: DataFrame, size: int, dtype: str) -> DataFrame:
     """id, n over the whole corpus; one partial row for each id and task."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(bytes_of(b.column(0))[0].view(np.int32), minlength=size)
+            total += np.bincount(bytes_of(b.column(0))[0].view(dtype), minlength=size)
         seen = np.flatnonzero(total)
         yield batch(_COUNTS, seen.astype(np.int32), total[seen])
 
@@ -148,18 +169,19 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
     """Encode every whole text, end it with ``end_id`` and write the files to ``folder``."""
     spark = docs.sparkSession
     size = max(tokenizer(path).size, end_id + 1)
-    end = np.array([end_id], np.int32).tobytes()
+    dtype = "<u2" if size <= 1 << 16 else "<i4"
+    end = np.array([end_id], dtype).tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches):
         t = tokenizer(path)
         for b in batches:
             for i, j, _, _ in blocks(bytes_of(b.column(1))[1], STEP):
-                yield batch(schema, b.column(0).slice(i, j - i), [x + end for x in t.encode(b.column(1).slice(i, j - i).to_pylist())])
+                yield batch(schema, b.column(0).slice(i, j - i), [x + end for x in t.encode(b.column(1).slice(i, j - i).to_pylist(), dtype)])
 
     encoded = table(documents(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode, "doc_id long, ids binary"), "ids")
     # At most one row for each entry of the vocabulary, whatever the corpus.
-    counts = count_ids(encoded, size).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    counts = count_ids(encoded, size, dtype).toPandas().sort_values(["n", "id"], ascending=[False, True])
     rank = np.zeros(size, np.uint32)
     by_rank = counts["id"].to_numpy(np.int32)
     rank[by_rank] = np.arange(len(by_rank))
@@ -170,8 +192,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
     def shrink(batches):
         for b in batches:
             raw, ends = bytes_of(b.column(1))
-            n = np.diff(np.concatenate([[0], ends])) // 4
-            control, c, data, d = pack(shared.value[raw.view(np.int32)], n)
+            ids = raw.view(dtype)
+            n = np.diff(np.concatenate([[0], ends])) // ids.itemsize
+            control, c, data, d = pack(shared.value[ids], n)
             yield batch(packed, b.column(0), n, _cut(control, c), _cut(data, d))
 
     def fill(batches):
