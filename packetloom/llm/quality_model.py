@@ -40,7 +40,7 @@ HELD_OUT = 4
 #: A stratum needs this many held-out documents for quantiles; with fewer it has their extremes times SLACK.
 ENOUGH, SLACK = 400, 1.5
 #: Rows of a model shard (12 bytes each).
-SHARD = 4_000_000
+SHARD = 1_500_000
 _U = np.uint64
 #: Tags above the five bytes of a key: n for an n-gram, 8 + n for the weight of an n-byte history.
 TAG = 40
@@ -146,11 +146,11 @@ def train(docs: DataFrame) -> DataFrame:
 
 
 def shards(model: DataFrame, most: int = SHARD) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes before the last that it serves, sorted keys, values) for each shard.
+    """Broadcast (bytes before the last that it serves, sorted keys, values) for each shard.
 
     Keys of single bytes and of the empty history belong to every shard.
     """
-    key = F.col("key")
+    spark, key = model.sparkSession, F.col("key")
     tag = F.shiftrightunsigned(key, TAG)
     byte = F.when((tag == 1) | (tag == 8), -1).when(tag >= 8, key.bitwiseAND(F.lit(255))).otherwise(F.shiftrightunsigned(key, 8).bitwiseAND(F.lit(255)))
     rows = model.withColumn("byte", byte)
@@ -166,15 +166,18 @@ def shards(model: DataFrame, most: int = SHARD) -> list[tuple[np.ndarray, np.nda
         size += n
     out = []
     for g in groups:
-        t = rows.where(F.col("byte").isin([-1, *g])).select("key", F.col("value").cast("float").alias("value")).toPandas().sort_values("key")
+        t = rows.where(F.col("byte").isin([-1, *g])).select("key", F.col("value").cast("float").alias("value")).toArrow()
         serves = np.zeros(256, bool)
         serves[g] = True
-        out.append((serves, t["key"].to_numpy(np.int64), t["value"].to_numpy(np.float32)))
+        key_, value = t.column(0).to_numpy(), t.column(1).to_numpy()
+        del t
+        order = np.argsort(key_)
+        out.append((serves, key_[order], value[order]))
     seen = np.zeros(256, bool)
     for s, _, _ in out:
         seen |= s
     out[0][0][~seen] = True
-    return out
+    return [spark.sparkContext.broadcast(x) for x in out]
 
 
 def log_probabilities(keys: np.ndarray, shard) -> np.ndarray:
@@ -202,12 +205,10 @@ def log_probabilities(keys: np.ndarray, shard) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: list) -> DataFrame:
-    """docs with ``perplexity``; every other column is passed through."""
-    spark = docs.sparkSession
+    """docs with ``perplexity``; every other column is passed through.  ``model``: broadcast shards."""
     docs = docs.drop("perplexity").withColumn("_ll", F.lit(0.0))
     place = docs.columns.index("text")
-    for shard in model:
-        shared = spark.sparkContext.broadcast(shard)
+    for shared in model:
 
         def run(batches, shared=shared):
             serves = shared.value[0]
