@@ -109,14 +109,18 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
+#: Discounts stay this far from 0 and from the count, so every probability is positive.
+LEAST = 0.05
+
+
 def discounts(counts: DataFrame) -> list[float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more."""
     n = dict(counts.where("c <= 4").groupBy("c").count().collect())
     n1, n2, n3, n4 = (n.get(i, 0) for i in range(1, 5))
     if not (n1 and n2 and n3 and n4):
-        return [0.5, 0.5, 0.5]
+        return [0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
-    return [min(max(x, 0.0), k) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+    return [min(max(x, LEAST), k - LEAST) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
 def train(docs: DataFrame) -> DataFrame:

@@ -131,9 +131,9 @@ def brute_kneser_ney(texts, queries, order=5):
         k = Counter(c.values())
         if all(k[i] for i in range(1, 5)):
             y = k[1] / (k[1] + 2 * k[2])
-            d[n] = [min(max(i - (i + 1) * y * k[i + 1] / k[i], 0), i) for i in (1, 2, 3)]
+            d[n] = [min(max(i - (i + 1) * y * k[i + 1] / k[i], 0.05), i - 0.05) for i in (1, 2, 3)]
         else:
-            d[n] = [0.5] * 3
+            d[n] = [0.5, 1.0, 1.5]
         history[n], left[n] = Counter(), defaultdict(float)
         for g, x in c.items():
             history[n][g[:-1]] += x
