@@ -1,9 +1,514 @@
-"""All registered queries of the packet engine."""
+"""All registered queries of the packet engine, each with its SQL oracle where SQL can state the result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..dissect import fixed
+from ..dissect.pointers import dissect, ja3
+from ..functions.bytes import be, raw
+from ..operators import attribution, decode, events, filters, flows, intel, reports, tcp
+from ..operators.filters import Filters
+from ..plans import config, determinism, engine
+from ..sources import payloads
+from ..sources.packets import encode_frames, load_packets
+from . import sql
+
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Whole numbers as BIGINT, so both engines agree on types."""
+    return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes))
+
+
+def read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Flows
+
+def gap_sessions(spark, sf_dir):
+    return flows.sessions_by_gap(flows.with_flow_key(load_packets(spark, sf_dir)))
+
+
+def sweep_sessions(spark, sf_dir):
+    return flows.sessions_by_sweep(flows.with_flow_key(load_packets(spark, sf_dir)))
+
+
+@query(sql.GAP + sql.SUMMARY)
+def flow_summary(spark, sf_dir):
+    return longs(flows.summaries(gap_sessions(spark, sf_dir)))
+
+
+@query(sql.SWEEP + sql.SUMMARY)
+def flow_sessions_sweep(spark, sf_dir):
+    return longs(flows.summaries(sweep_sessions(spark, sf_dir)))
+
+
+@query(sql.GAP + sql.RUNNING)
+def flow_running(spark, sf_dir):
+    return longs(flows.running_counters(gap_sessions(spark, sf_dir)).select("packet_id", "session_id", "is_new", "flow_packets", "flow_tx_bytes", "flow_rx_bytes"))
+
+
+@query(sql.GAP + ", running AS (SELECT packet_id, row_number() OVER r = 1 AS is_new, count(*) OVER r AS flow_packets FROM sessions WINDOW r AS (PARTITION BY ip1, port1, ip2, port2, session_id ORDER BY packet_id ROWS UNBOUNDED PRECEDING))" + """
+SELECT packet_id, timestamp_us, CASE WHEN is_new THEN 'flow.new' ELSE 'flow.update' END AS event_type, protocol,
+  src_ip || ':' || CAST(src_port AS VARCHAR) || '-' || dst_ip || ':' || CAST(dst_port AS VARCHAR) || '-' || protocol AS flow_id, CAST(flow_packets AS VARCHAR) AS flow_packets, CAST(packet_size AS VARCHAR) AS packet_size
+FROM packets JOIN running USING (packet_id)""")
+def flow_events(spark, sf_dir):
+    e = events.flow_events(flows.running_counters(gap_sessions(spark, sf_dir)))
+    return e.select("packet_id", "timestamp_us", "event_type", "protocol", "flow_id", F.col("attributes")["flow_packets"].alias("flow_packets"), F.col("attributes")["packet_size"].alias("packet_size"))
+
+
+@query(sql.GAP + """, n AS (SELECT packet_id, row_number() OVER (PARTITION BY ip1, port1, ip2, port2, session_id ORDER BY packet_id) AS n FROM sessions)
+SELECT packet_id FROM n WHERE n = 1""")
+def flow_new_only(spark, sf_dir):
+    return events.flow_events(flows.running_counters(gap_sessions(spark, sf_dir)), updates=False).select("packet_id")
+
+
+@query(sql.PACKETS + """ SELECT ip1, port1, ip2, port2, count(*) AS packets, count(DISTINCT protocol) AS protocols FROM packets GROUP BY ip1, port1, ip2, port2""")
+def flow_keys(spark, sf_dir):
+    p = flows.with_flow_key(load_packets(spark, sf_dir))
+    return longs(p.groupBy(*flows.KEY).agg(F.count("*").alias("packets"), F.countDistinct("protocol").alias("protocols")))
+
+
+# Filters
+
+def _filter(name: str, f: Filters, where: str) -> None:
+    def run(spark, sf_dir):
+        return filters.filter_packets(load_packets(spark, sf_dir), f).select("packet_id", "src_ip", "dst_ip")
+
+    run.__name__ = name
+    query(sql.PACKETS + f" SELECT packet_id, src_ip, dst_ip FROM packets WHERE {where}")(run)
+
+
+_filter("filter_size", Filters(min_size=300, max_size=900), "packet_size BETWEEN 300 AND 900")
+_filter("filter_ip_any", Filters(ip="10.0.1.7"), "'10.0.1.7' IN (src_ip, dst_ip)")
+_filter("filter_src_dst", Filters(src_ip="192.168.1.12", dst_ip="10.0.0.5"), "src_ip = '192.168.1.12' AND dst_ip = '10.0.0.5'")
+_filter("filter_exclude_lists", Filters(exclude_ips=("10.0.0.1", "192.168.1.11"), exclude_ports=(53, 40007)), "src_ip NOT IN ('10.0.0.1', '192.168.1.11') AND dst_ip NOT IN ('10.0.0.1', '192.168.1.11') AND src_port NOT IN (53, 40007) AND dst_port NOT IN (53, 40007)")
+_filter("filter_port_any", Filters(port=443), "443 IN (src_port, dst_port)")
+_filter("filter_ports_directed", Filters(src_port=80, dst_port=40011), "src_port = 80 AND dst_port = 40011")
+_filter("filter_protocol_ci", Filters(protocol="udp"), "protocol = 'UDP'")
+_filter("filter_subnet", Filters(subnet="10.0.1.0/25"), "(src_ip LIKE '10.0.1.%' OR dst_ip LIKE '10.0.1.%')")
+_filter("filter_direction", Filters(direction="internal"), "true")
+
+
+@query("""SELECT CAST(i AS BIGINT) AS n, ip, loopback, multicast, private FROM (VALUES
+ (0, '127.0.0.1', true, false, true), (1, '::1', true, false, true), (2, '224.0.0.1', false, true, false), (3, '239.255.255.250', false, true, false), (4, 'ff02::fb', false, true, false),
+ (5, '10.1.2.3', false, false, true), (6, '172.16.0.1', false, false, true), (7, '172.32.0.1', false, false, false), (8, '192.168.0.1', false, false, true), (9, '169.254.1.1', false, false, true), (10, 'fd00::1', false, false, true), (11, '8.8.8.8', false, false, false)) t(i, ip, loopback, multicast, private)""")
+def filter_loopback_multicast_private(spark, sf_dir):
+    ips = ["127.0.0.1", "::1", "224.0.0.1", "239.255.255.250", "ff02::fb", "10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.0.1", "169.254.1.1", "fd00::1", "8.8.8.8"]
+    df = spark.createDataFrame(list(enumerate(ips)), "n long, ip string")
+    return df.withColumns({"loopback": filters.is_loopback("ip"), "multicast": filters.is_multicast("ip"), "private": decode.is_private("ip")})
+
+
+# Decode
+
+def _frames(spark, sf_dir):
+    return encode_frames(load_packets(spark, sf_dir))
+
+
+@query(sql.PACKETS + " SELECT packet_id AS frame_no, src_mac, src_ip, src_port, dst_ip, dst_port, protocol, CAST(packet_size AS BIGINT) AS packet_size, CAST(payload_len AS BIGINT) AS payload_len, CASE WHEN protocol = 'TCP' THEN (packet_id * 1000) % 4294967296 END AS tcp_seq FROM packets")
+def decode_packets(spark, sf_dir):
+    d = decode.decode_frames(_frames(spark, sf_dir))
+    return longs(d.select("frame_no", "src_mac", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "packet_size", F.octet_length("payload").alias("payload_len"), "tcp_seq"))
+
+
+@query(sql.PACKETS + """ SELECT packet_id AS frame_no, CASE WHEN cut < 14 THEN 'ethernet header incomplete' WHEN cut < 34 THEN 'ipv4 header incomplete' ELSE 'transport header incomplete' END AS error
+ FROM (SELECT packet_id, (packet_id / 50)::BIGINT % 42 AS cut FROM packets WHERE packet_id % 50 = 0)""")
+def decode_errors(spark, sf_dir):
+    cut = (F.round(F.col("frame_no") / 50).cast("int") % 42)
+    bad = _frames(spark, sf_dir).where("frame_no % 50 = 0").withColumn("frame", F.substring("frame", F.lit(1), cut))
+    return decode.decode_frames(bad).select("frame_no", "error")
+
+
+@query(sql.PACKETS + """, kept AS (SELECT packet_id AS frame_no, src_ip FROM packets WHERE packet_id % 50 <> 0) SELECT frame_no, row_number() OVER (ORDER BY frame_no) AS packet_id FROM kept""")
+def packet_numbers(spark, sf_dir):
+    f = _frames(spark, sf_dir).withColumn("frame", F.when(F.col("frame_no") % 50 == 0, F.substring("frame", 1, 20)).otherwise(F.col("frame")))
+    return longs(decode.number_packets(decode.decode_frames(f)).select("frame_no", "packet_id"))
+
+
+@query(sql.PACKETS + " SELECT src_mac, min(packet_id) AS frame_no, min(timestamp_us) AS timestamp_us FROM packets GROUP BY src_mac")
+def device_first_seen(spark, sf_dir):
+    return decode.device_first_seen(decode.decode_frames(_frames(spark, sf_dir)))
+
+
+@query("""SELECT CAST(i AS BIGINT) AS frame_no, ip AS src_ip, protocol FROM (VALUES (1, '2001:db8::1', 'UDP'), (2, '::1', 'UDP'), (3, 'fe80::1:0:0:2', 'UDP'), (4, '1:0:2::3', 'UDP'), (5, '::', 'UDP'), (6, '2001:db8:1:2:3:4:5:6', 'UDP'), (7, 'a::', 'UDP')) t(i, ip, protocol)""")
+def decode_ipv6(spark, sf_dir):
+    hexes = ["20010db8000000000000000000000001", "0" * 31 + "1", "fe80000000000000" + "0001000000000002", "00010000000200000000000000000003", "0" * 32, "20010db8000100020003000400050006", "000a" + "0" * 28]
+    hexes[2] = "fe80" + "0000" * 3 + "0001" + "0000" * 2 + "0002"
+    rows = [(i, 0, 70, bytes.fromhex("02fffffffffe02000000000186dd" + "60000000000c1140" + h + "20010db8000000000000000000000002" + "30390035000c0000" + "61626364")) for i, h in enumerate(hexes, 1)]
+    return decode.decode_frames(spark.createDataFrame(rows, "frame_no long, timestamp_us long, wire_len int, frame binary")).select("frame_no", "src_ip", "protocol")
+
+
+# Attribution
+
+_BOUND = """WITH p AS (SELECT event_id, user_id AS ip FROM events), b AS (SELECT event_id, ip, 'd' || CAST(event_id AS VARCHAR) AS domain FROM p WHERE event_id % 7 = 0), q AS (SELECT event_id, ip FROM p WHERE event_id % 7 <> 0)"""
+
+
+def _observations(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("packet_id"), F.col("user_id").alias("ip"))
+    return e.where("packet_id % 7 <> 0"), e.where("packet_id % 7 = 0").withColumn("domain", F.concat(F.lit("d"), F.col("packet_id").cast("string")))
+
+
+@query(_BOUND + " SELECT q.event_id AS packet_id, q.ip, b.domain FROM q ASOF LEFT JOIN b ON q.ip = b.ip AND q.event_id >= b.event_id")
+def flow_domain_asof(spark, sf_dir):
+    probes, bound = _observations(spark, sf_dir)
+    return attribution.as_of(probes, bound).select("packet_id", "ip", "domain")
+
+
+@query(_BOUND + " SELECT q.event_id AS packet_id, q.ip, b.domain, b.event_id AS bound_at FROM q ASOF LEFT JOIN b ON q.ip = b.ip AND q.event_id <= b.event_id")
+def flow_domain_rebind(spark, sf_dir):
+    probes, bound = _observations(spark, sf_dir)
+    return attribution.next_binding(probes, bound).select("packet_id", "ip", "domain", "bound_at")
+
+
+@query(_BOUND + " SELECT ip, arg_max(domain, event_id) AS domain, min(event_id) AS first_at FROM b GROUP BY ip")
+def binding_cache(spark, sf_dir):
+    return attribution.latest_bindings(_observations(spark, sf_dir)[1])
+
+
+@query(_BOUND + " SELECT q.event_id AS packet_id, q.ip, b.domain FROM q ASOF JOIN b ON q.ip = b.ip AND q.event_id >= b.event_id WHERE contains(b.domain, 'd7')")
+def filter_domain_contains(spark, sf_dir):
+    return filters.filter_domain(flow_domain_asof(spark, sf_dir), "d7")
+
+
+# Dissectors: encode table rows, dissect, and get the rows back
+
+_C = "lower(replace(c_name, '#', '-')) || '.example.com'"
+
+
+def _dns(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    name = F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))), F.lit(".example.com"))
+    ip = F.concat(raw("C633"), be(F.col("c_custkey") % 65536, 2))
+    alias = payloads.dns_record(5, payloads.dns_labels(F.concat(F.lit("www."), name)), F.lit(60))
+    mail = payloads.dns_record(15, F.concat(raw("000A"), payloads.dns_labels(F.concat(F.lit("mx."), name))), F.lit(60))
+    note = payloads.dns_record(16, payloads.counted(payloads.text(F.concat(F.lit("v="), F.col("c_mktsegment")))), F.lit(60))
+    return c.select("c_custkey", payloads.dns_response(name, ip, F.col("c_nationkey") + 1, F.concat(alias, mail, note), 3).alias("payload"))
+
+
+@query(f"""SELECT c_custkey, {_C} AS query_name, true AS is_response, 'A' AS record_type, CAST(c_nationkey + 1 AS BIGINT) AS ttl,
+ '198.51.' || CAST(CAST(floor((c_custkey % 65536) / 256) AS BIGINT) AS VARCHAR) || '.' || CAST(c_custkey % 256 AS VARCHAR) AS resolved_ip FROM customer""")
+def dns_a(spark, sf_dir):
+    return dissect(_dns(spark, sf_dir), "dns").select("c_custkey", "dns.query_name", "dns.is_response", "dns.record_type", "dns.ttl", "dns.resolved_ip")
+
+
+@query(f"SELECT c_custkey, 'www.' || {_C} AS cname, 'mx.' || {_C} AS mx, 'v=' || c_mktsegment AS txt, {_C} AS bound FROM customer")
+def dns_multi_rr(spark, sf_dir):
+    d = dissect(_dns(spark, sf_dir), "dns")
+    return d.select("c_custkey", F.col("dns.cname_chain")[0].alias("cname"), F.col("dns.mx_records")[0].alias("mx"), F.col("dns.txt_records")[0].alias("txt"), F.col("dns.bindings")[0]["domain"].alias("bound"))
+
+
+@query("SELECT c_custkey, c_custkey % 30 < 12 AS header, true AS failed FROM customer")
+def dns_errors(spark, sf_dir):
+    d = _dns(spark, sf_dir).withColumn("payload", F.substring("payload", F.lit(1), (F.col("c_custkey") % 30).cast("int")))
+    return dissect(d, "dns").select("c_custkey", F.startswith("dns.error", F.lit("dns header")).alias("header"), F.col("dns.error").isNotNull().alias("failed"))
+
+
+@query("""SELECT s_suppkey, 's' || CAST(s_suppkey AS VARCHAR) || '.example.net' AS sni, CASE WHEN s_suppkey % 2 = 0 THEN 'h2' ELSE 'http/1.1' END AS alpn, s_suppkey % 3 = 0 AS session_resumed,
+ CAST(4865 + s_suppkey % 3 AS BIGINT) AS suite FROM supplier""")
+def tls_sni_alpn(spark, sf_dir):
+    return longs(dissect(_tls(spark, sf_dir), "tls").select("s_suppkey", "tls.sni", "tls.alpn", "tls.session_resumed", F.col("tls.cipher_suites")[0].alias("suite")))
+
+
+def _tls(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    sni = F.concat(F.lit("s"), k.cast("string"), F.lit(".example.net"))
+    protocols = F.when(k % 2 == 0, F.array(F.lit("h2"), F.lit("http/1.1"))).otherwise(F.array(F.lit("http/1.1")))
+    return s.select("s_suppkey", payloads.tls_client_hello(sni, protocols, k % 3 == 0, F.array((4865 + k % 3).cast("int"), F.lit(47))).alias("payload"))
+
+
+@query("""SELECT s_suppkey, md5('771,' || CAST(4865 + s_suppkey % 3 AS VARCHAR) || '-47,0-16-10-11-35,29-23,0') AS ja3 FROM supplier""")
+def tls_ja3(spark, sf_dir):
+    return dissect(_tls(spark, sf_dir), "tls").select("s_suppkey", ja3("tls").alias("ja3"))
+
+
+@query("SELECT s_suppkey, true AS failed FROM supplier")
+def tls_errors(spark, sf_dir):
+    cut = _tls(spark, sf_dir).withColumn("payload", F.substring("payload", F.lit(1), (10 + F.col("s_suppkey") % 40).cast("int")))
+    return dissect(cut, "tls").select("s_suppkey", F.col("tls.error").isNotNull().alias("failed"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'QUIC v1' WHEN 1 THEN 'QUIC v2' WHEN 2 THEN 'draft-29' ELSE 'unknown' END AS version, lpad(lower(hex(CAST(n_nationkey + 1 AS INTEGER))), 16, '0') AS dcid,
+ CAST(CASE n_nationkey % 3 WHEN 0 THEN n_nationkey WHEN 1 THEN 1000 + n_nationkey ELSE 100000 + n_nationkey END AS BIGINT) AS token_length FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation)""")
+def quic_header(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"))
+    k = F.col("n_nationkey")
+    version = F.element_at(F.array(F.lit(1), F.lit(0x6B3343CF), F.lit(0xFF00001D), F.lit(0x12345678)).cast("array<bigint>"), (k % 4 + 1).cast("int"))
+    length = F.when(k % 3 == 0, k).when(k % 3 == 1, 1000 + k).otherwise(100000 + k)
+    q = fixed.quic(n.withColumn("payload", payloads.quic_initial(version, be(k + 1, 8), raw("AA"), length)))
+    return q.select("n_nationkey", "quic.version", "quic.dcid", "quic.token_length")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'INFORM' WHEN 1 THEN 'DISCOVER' WHEN 2 THEN 'OFFER' WHEN 3 THEN 'REQUEST' WHEN 4 THEN 'DECLINE' WHEN 5 THEN 'ACK' WHEN 6 THEN 'NAK' ELSE 'RELEASE' END AS msg_type,
+ '02:00:00:00:' || lower(lpad(hex(CAST(floor(s_suppkey / 256) AS INTEGER)), 2, '0')) || ':' || lower(lpad(hex(CAST(s_suppkey % 256 AS INTEGER)), 2, '0')) AS client_mac, s_name AS hostname,
+ '10.9.' || CAST(CAST(floor(s_suppkey / 256) AS BIGINT) AS VARCHAR) || '.' || CAST(s_suppkey % 256 AS VARCHAR) AS assigned_ip, '10.8.0.1' AS requested_ip, 'vendor' AS vendor_class FROM supplier""")
+def dhcp_v4(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    kind = F.when(k % 8 == 0, 8).otherwise(k % 8)
+    p = payloads.dhcp4(kind, F.concat(raw("0A09"), be(k, 2)), F.concat(raw("02000000"), be(k, 2)), F.col("s_name"), raw("0A080001"), F.lit("vendor"))
+    return fixed.dhcp4_fixed(s.withColumn("payload", p)).select("s_suppkey", "dhcp.msg_type", "dhcp.client_mac", "dhcp.hostname", "dhcp.assigned_ip", "dhcp.requested_ip", "dhcp.vendor_class")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'REPLY' ELSE 'SOLICIT' END AS msg_type, '2001:db8::' || lower(hex(CAST(s_suppkey + 1 AS INTEGER))) AS assigned_ip FROM supplier")
+def dhcp_v6(spark, sf_dir):
+    k = F.col("s_suppkey")
+    address = F.concat(raw("20010DB8" + "00" * 10), be(k + 1, 2))
+    ia = F.concat(be(F.lit(3), 2), payloads.counted(F.concat(raw("00" * 12), be(F.lit(5), 2), payloads.counted(F.concat(address, raw("00" * 8)), 2)), 2))
+    p = F.concat(F.when(k % 2 == 0, raw("07")).otherwise(raw("01")), raw("000001"), ia)
+    return dissect(read(spark, sf_dir, "supplier").select("s_suppkey", p.alias("payload")), "dhcp6").select("s_suppkey", "dhcp6.msg_type", F.regexp_replace("dhcp6.assigned_ip", "::0*", "::").alias("assigned_ip"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'echo-request' WHEN 1 THEN 'port-unreachable' WHEN 2 THEN 'ttl-exceeded-in-transit' ELSE 'redirect' END AS description, event_id % 4 = 0 AND event_id % 300 > 128 AS tunnel FROM events""")
+def icmp_messages(spark, sf_dir):
+    e = F.col("event_id")
+    head = F.element_at(F.array(raw("0800"), raw("0303"), raw("0B00"), raw("0509")), (e % 4 + 1).cast("int"))
+    p = F.concat(head, raw("000000000000"), F.unhex(F.repeat(F.lit("00"), (e % 300).cast("int"))))
+    return fixed.icmp(read(spark, sf_dir, "events").select("event_id", p.alias("payload"))).select("event_id", "icmp.description", "icmp.tunnel")
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'NEGOTIATE' WHEN 1 THEN 'SESSION_SETUP' WHEN 2 THEN 'LOGOFF' ELSE 'TREE_CONNECT' END AS command, CASE WHEN p_partkey % 2 = 0 THEN 'STATUS_SUCCESS' ELSE 'STATUS_ACCESS_DENIED' END AS status,
+ CASE WHEN p_size % 4 = 0 AND p_partkey % 3 = 0 THEN 'SMB2/3' ELSE 'SMB2' END AS version, p_partkey % 3 = 0 AS response FROM part""")
+def smb_status(spark, sf_dir):
+    k = F.col("p_partkey")
+    status = F.when(k % 2 == 0, F.lit(0).cast("long")).otherwise(F.lit(0xC0000022))
+    p = payloads.smb2(F.col("p_size") % 4, status, k % 3 == 0)
+    return fixed.smb(read(spark, sf_dir, "part").select("p_partkey", p.alias("payload"))).select("p_partkey", "smb.command", "smb.status", "smb.version", "smb.response")
+
+
+@query("SELECT p_partkey, '\\\\srv\\' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN '$' ELSE '' END AS path, p_partkey % 2 = 0 AS admin FROM part")
+def smb_share(spark, sf_dir):
+    path = F.concat(F.lit("\\\\srv\\"), F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, "$").otherwise(""))
+    return fixed.smb_share(read(spark, sf_dir, "part").select("p_partkey", payloads.smb2_tree_connect(path).alias("payload"))).select("p_partkey", "share.path", "share.admin")
+
+
+def _http(spark, sf_dir, response: bool):
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    if response:
+        head = F.concat(F.lit("HTTP/1.1 "), (200 + (F.col("page_id") % 3) * 100).cast("string"), F.lit(" x\r\nContent-Type: text/html\r\nContent-Length: "), F.col("page_id").cast("string"), F.lit("\r\n\r\nbody"))
+    else:
+        head = F.concat(F.lit("GET /"), F.col("page_id").cast("string"), F.lit(" HTTP/1.1\r\nHost: "), F.split(F.split("url", "://")[1], "[/?#]")[0], F.lit("\r\nUSER-AGENT:  agent \r\n\r\n"))
+    return fixed.http1(p.withColumn("payload", payloads.text(head)))
+
+
+@query("SELECT page_id, 'GET' AS method, '/' || CAST(page_id AS VARCHAR) AS uri, 'HTTP/1.1' AS version, regexp_extract(url, '://([^/?#]*)', 1) AS host, 'agent' AS user_agent FROM pages")
+def http1_request(spark, sf_dir):
+    return _http(spark, sf_dir, False).select("page_id", "http.method", "http.uri", "http.version", "http.host", "http.user_agent")
+
+
+@query("SELECT page_id, 200 + (page_id % 3) * 100 AS status, CAST(2 + page_id % 3 AS VARCHAR) || 'xx' AS status_class, 'text/html' AS content_type, page_id AS content_length FROM pages")
+def http1_response(spark, sf_dir):
+    return longs(_http(spark, sf_dir, True).select("page_id", "http.status", "http.status_class", "http.content_type", "http.content_length"))
+
+
+@query("SELECT page_id, 'GET' AS method, 'https' AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS authority, '/' || CAST(page_id AS VARCHAR) AS path FROM pages")
+def http2_hpack(spark, sf_dir):
+    authority = payloads.text(F.split(F.split("url", "://")[1], "[/?#]")[0])
+    block = F.concat(raw("8287"), raw("41"), payloads.counted(authority), raw("04"), payloads.counted(payloads.text(F.concat(F.lit("/"), F.col("page_id").cast("string")))))
+    p = F.concat(payloads.text("PRI * HTTP/2.0\r\n\r\nSM\r\n\r\n"), raw("000000040000000000"), be(F.octet_length(block), 3), raw("010500000001"), block)
+    return dissect(read(spark, sf_dir, "pages").select("page_id", p.alias("payload")), "http2").select("page_id", "http2.method", "http2.scheme", "http2.authority", "http2.path")
+
+
+@query("SELECT conv_id, turn, 'NOTIFY' AS method, 'urn:schemas-upnp-org:device:' || role || ':1' AS target, 'urn:schemas-upnp-org:device:' || role || ':1' AS device_type, 'uuid:' || CAST(conv_id AS VARCHAR) AS usn FROM conversations")
+def ssdp_headers(spark, sf_dir):
+    t = F.concat(F.lit("NOTIFY * HTTP/1.1\r\nNT: urn:schemas-upnp-org:device:"), F.col("role"), F.lit(":1\r\nUSN: uuid:"), F.col("conv_id").cast("string"), F.lit("\r\n\r\n"))
+    return fixed.ssdp(read(spark, sf_dir, "conversations").select("conv_id", "turn", payloads.text(t).alias("payload"))).select("conv_id", "turn", "ssdp.method", "ssdp.target", "ssdp.device_type", "ssdp.usn")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'RETR ' || p_brand WHEN 1 THEN 'PASS' ELSE NULL END AS command, CASE p_partkey % 4 WHEN 2 THEN CAST(227 AS BIGINT) END AS code, p_partkey % 4 = 1 AS auth,
+ CASE p_partkey % 4 WHEN 2 THEN '10.0.0.9:' || CAST(p_size * 256 + 7 AS VARCHAR) END AS passive FROM part WHERE p_partkey % 4 <> 3""")
+def ftp_lines(spark, sf_dir):
+    k = F.col("p_partkey")
+    line = F.when(k % 4 == 0, F.concat(F.lit("retr "), F.col("p_brand"))).when(k % 4 == 1, F.lit("PASS secret")).when(k % 4 == 2, F.concat(F.lit("227 Entering Passive Mode (10,0,0,9,"), F.col("p_size").cast("string"), F.lit(",7)"))).otherwise(F.lit("HELLO there"))
+    f = fixed.ftp(read(spark, sf_dir, "part").select("p_partkey", payloads.text(F.concat(line, F.lit("\r\n"))).alias("payload")))
+    return longs(f.where("ftp is not null").select("p_partkey", "ftp.command", "ftp.code", "ftp.auth", "ftp.passive"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'AS-REQ' ELSE 'KRB-ERROR' END AS msg_type, 'EXAMPLE.COM' AS realm, 'user' || CAST(o_custkey AS VARCHAR) AS principal, CASE WHEN o_orderkey % 2 = 1 THEN CAST(24 AS BIGINT) END AS error_code FROM orders")
+def kerberos_messages(spark, sf_dir):
+    k = F.col("o_orderkey")
+    body = payloads.asn("30", F.concat(payloads.asn("1B", payloads.text(F.concat(F.lit("user"), F.col("o_custkey").cast("string")))), payloads.asn("1B", payloads.text("EXAMPLE.COM")), payloads.asn("02", raw("18"))))
+    p = F.when(k % 2 == 0, payloads.asn("6A", body)).otherwise(F.concat(raw("00000000"), payloads.asn("7E", body)))
+    d = dissect(read(spark, sf_dir, "orders").select("o_orderkey", p.alias("payload")), "kerberos")
+    return d.select("o_orderkey", "kerberos.msg_type", "kerberos.realm", "kerberos.principal", "kerberos.error_code")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'BIND_REQ' ELSE 'SEARCH_REQ' END AS op, CASE WHEN o_orderkey % 2 = 0 THEN 'cn=' || CAST(o_custkey AS VARCHAR) END AS bind_dn, CASE WHEN o_orderkey % 2 = 1 THEN 'cn=' || CAST(o_custkey AS VARCHAR) END AS base_dn FROM orders")
+def ldap_ops(spark, sf_dir):
+    k, dn = F.col("o_orderkey"), payloads.asn("04", payloads.text(F.concat(F.lit("cn="), F.col("o_custkey").cast("string"))))
+    op = F.when(k % 2 == 0, payloads.asn("60", F.concat(raw("020103"), dn))).otherwise(payloads.asn("63", dn))
+    p = payloads.asn("30", F.concat(raw("020107"), op))
+    return dissect(read(spark, sf_dir, "orders").select("o_orderkey", p.alias("payload")), "ldap").select("o_orderkey", "ldap.op", "ldap.bind_dn", "ldap.base_dn")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'RDP-STANDARD' WHEN 1 THEN 'TLS' ELSE 'CredSSP-NLA' END AS security, o_orderkey % 2 = 0 AS request FROM orders")
+def rdp_security(spark, sf_dir):
+    k = F.col("o_orderkey")
+    p = F.concat(raw("030000130E"), F.when(k % 2 == 0, raw("E0")).otherwise(raw("D0")), raw("0000000000"), F.when(k % 2 == 0, raw("01")).otherwise(raw("02")), raw("000800"), payloads.le(k % 3, 4))
+    return fixed.rdp(read(spark, sf_dir, "orders").select("o_orderkey", p.alias("payload"))).select("o_orderkey", "rdp.security", "rdp.request")
+
+
+@query("SELECT p_partkey, p_brand || '._http._tcp.local' AS query_name, 'PTR' AS record_type, '_http._tcp' AS service, p_brand AS instance FROM part")
+def mdns_service(spark, sf_dir):
+    name = F.concat(F.col("p_brand"), F.lit("._http._tcp.local"))
+    p = F.concat(raw("000000000001000000000000"), payloads.dns_labels(name), raw("000C0001"))
+    m = dissect(read(spark, sf_dir, "part").select("p_partkey", p.alias("payload")), "dns")
+    q = F.col("dns.query_name")
+    return m.select("p_partkey", q.alias("query_name"), "dns.record_type", F.regexp_extract(q, r"(_[^.]+\._[^.]+)", 1).alias("service"), F.regexp_extract(q, r"^(.*?)\._", 1).alias("instance"))
+
+
+# TCP
+
+@query("SELECT doc_id AS stream, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE strlen(text) <= 60000 AND strlen(text) > 0")
+def tcp_reassembly(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), F.col("text").cast("binary").alias("b")).where("octet_length(b) between 1 and 60000")
+    n = F.ceil(F.octet_length("b") / 64).cast("int")
+    s = d.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("n", n)
+    # Segment 0 comes first, then the others shuffled by arithmetic; some come twice or overlap the one before.
+    order = F.when(F.col("i") == 0, -1).otherwise((F.col("i") * 7919) % 10007)
+    back = F.when((F.col("i") % 7 == 3), 8).otherwise(0)
+    seg = s.select("stream", order.alias("at"), "i", (F.col("i") * 64 - back + 4294967000).alias("seq"), F.substring("b", F.col("i") * 64 + 1 - back, F.lit(64) + back).alias("payload"))
+    twice = seg.union(seg.where("i % 5 = 2").withColumn("at", F.col("at") + 20000))
+    ordered = twice.withColumn("packet_id", F.col("at").cast("long") * 100000 + F.col("i")).withColumn("seq", F.pmod("seq", F.lit(4294967296))).select("stream", "packet_id", "seq", "payload")
+    out = tcp.reassemble(ordered)
+    whole = out.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("packet_id", F.hex("delivered").alias("h")))).alias("x"))
+    data = F.unhex(F.array_join(F.transform("x", lambda y: y["h"]), ""))
+    return whole.select("stream", F.sha2(data, 256).alias("sha256"), F.octet_length(data).cast("long").alias("size"))
+
+
+# Reports
+
+@query(sql.PACKETS + " SELECT src_ip AS ip, CAST(sum(packet_size) AS BIGINT) AS bytes FROM packets GROUP BY src_ip ORDER BY bytes DESC, ip LIMIT 5")
+def top_talkers(spark, sf_dir):
+    return reports.talkers(load_packets(spark, sf_dir))
+
+
+@query(sql.PACKETS + " SELECT protocol AS event_type, count(*) AS n FROM packets GROUP BY protocol ORDER BY n DESC, event_type LIMIT 8")
+def top_event_types(spark, sf_dir):
+    return reports.by_type(load_packets(spark, sf_dir))
+
+
+@query(sql.PACKETS + " SELECT count(*) AS packets, max(timestamp_us) - min(timestamp_us) AS elapsed_us, CAST(floor(count(*) / floor((max(timestamp_us) - min(timestamp_us)) / 1000000)) AS BIGINT) AS pps FROM packets")
+def packet_totals(spark, sf_dir):
+    return reports.totals(load_packets(spark, sf_dir))
+
+
+@query(sql.PACKETS + " SELECT CAST(floor(timestamp_us / 30000000) AS BIGINT) * 30000000 AS tick_us, count(*) AS packets, CAST(sum(packet_size) AS BIGINT) AS bytes FROM packets GROUP BY 1")
+def report_ticks(spark, sf_dir):
+    return reports.ticks(load_packets(spark, sf_dir))
+
+
+@query(sql.PACKETS + ", w AS (SELECT (port1 + port2) % 4 AS worker, count(*) AS packets, sum(packet_size) AS bytes FROM packets GROUP BY 1) SELECT count(*) AS workers, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(floor(min(packets) * 100 / max(packets)) AS BIGINT) AS balance FROM w")
+def worker_balance(spark, sf_dir):
+    return longs(reports.worker_balance(flows.with_flow_key(load_packets(spark, sf_dir)), 4))
+
+
+@query(sql.PACKETS + " SELECT packet_id, CASE WHEN 53 IN (src_port, dst_port) THEN 'domain' WHEN 80 IN (src_port, dst_port) THEN 'http' WHEN 443 IN (src_port, dst_port) THEN 'https' ELSE 'UNKNOWN' END AS service FROM packets")
+def service_lookup(spark, sf_dir):
+    ports = spark.createDataFrame([("old", 53, 1), ("domain", 53, 2), ("http", 80, 3), ("https", 443, 4)], "service string, port int, line_no int")
+    return reports.services(load_packets(spark, sf_dir), ports).select("packet_id", "service")
+
+
+# Behaviour
+
+@query(sql.PACKETS + " SELECT packet_id, ip, label FROM (SELECT DISTINCT packet_id, unnest([src_ip, dst_ip]) AS ip FROM packets) JOIN (VALUES ('10.0.0.5', 'bad'), ('192.168.1.15', 'worse')) t(ip, label) USING (ip)")
+def ioc_match(spark, sf_dir):
+    bad = spark.createDataFrame([("10.0.0.5", "bad"), ("192.168.1.15", "worse"), ("10.0.0.5", "bad")], "ip string, label string")
+    return intel.match_indicators(load_packets(spark, sf_dir), bad)
+
+
+@query(sql.PACKETS + ", g AS (SELECT src_ip, dst_ip, timestamp_us - lag(timestamp_us) OVER (PARTITION BY src_ip, dst_ip ORDER BY packet_id) AS gap FROM packets) SELECT src_ip, dst_ip, count(gap) AS n, CAST(round(stddev_pop(gap) * 1000 / avg(gap), 0) AS BIGINT) AS cv_permille FROM g WHERE gap IS NOT NULL GROUP BY src_ip, dst_ip HAVING count(gap) >= 5")
+def beacon_cv(spark, sf_dir):
+    return intel.beacons(load_packets(spark, sf_dir))
+
+
+@query(sql.PACKETS + " SELECT src_ip, CAST(floor(timestamp_us / 60000000) AS BIGINT) * 60000000 AS tick_us, count(DISTINCT dst_ip) AS destinations FROM packets GROUP BY 1, 2 HAVING count(DISTINCT dst_ip) >= 10")
+def scan_fanout(spark, sf_dir):
+    return intel.fan_out(load_packets(spark, sf_dir), 60, 10)
+
+
+@query(sql.PACKETS + " SELECT dst_ip, CAST(floor(timestamp_us / 10000000) AS BIGINT) * 10000000 AS tick_us, count(*) AS packets FROM packets GROUP BY 1, 2 HAVING count(*) >= 5")
+def packet_flood(spark, sf_dir):
+    return intel.flood(load_packets(spark, sf_dir), 10, 5)
+
+
+@query("""WITH l AS (SELECT DISTINCT p_name, unnest(string_split(p_name, '')) AS c, len(p_name) AS n, 1 AS one FROM (SELECT DISTINCT p_name FROM part)), x AS (SELECT p_name, unnest(string_split(p_name, '')) AS c FROM (SELECT DISTINCT p_name FROM part)),
+ k AS (SELECT p_name, c, count(*) AS k FROM x WHERE c <> '' GROUP BY 1, 2), t AS (SELECT p_name, sum(k) AS n FROM k GROUP BY 1) SELECT p_name, CAST(round(-sum(k / n * log2(k / n)) * 1000, 0) AS BIGINT) AS entropy FROM k JOIN t USING (p_name) GROUP BY p_name""")
+def name_entropy(spark, sf_dir):
+    return intel.letter_entropy(read(spark, sf_dir, "part").select("p_name").distinct(), "p_name")
+
+
+@query("SELECT p_partkey, CAST(least(255, CASE WHEN p_partkey % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 30 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 15 ELSE 0 END) AS BIGINT) AS score FROM part")
+def tls_risk_score(spark, sf_dir):
+    k = F.col("p_partkey")
+    w = {"weak_cipher": 20, "self_signed_cert": 30, "no_forward_secrecy": 15}
+    return longs(read(spark, sf_dir, "part").withColumns({"weak_cipher": k % 2 == 0, "self_signed_cert": k % 3 == 0, "no_forward_secrecy": k % 5 == 0}).select("p_partkey", intel.risk_score(w).alias("score")))
+
+
+@query("SELECT page_id, CAST((page_id % 2 = 0)::INT + (page_id % 3 = 0)::INT + (page_id % 5 = 0)::INT AS BIGINT) AS doh, CAST((page_id % 2 = 0)::INT + (page_id % 3 = 0)::INT + (page_id % 7 = 0)::INT AS BIGINT) AS dot, contains(url, 'example.org') AS provider FROM pages")
+def provider_scores(spark, sf_dir):
+    k = F.col("page_id")
+    p = read(spark, sf_dir, "pages").select("page_id", "url", F.when(k % 2 == 0, "h2").alias("alpn"), F.when(k % 3 == 0, "/dns-query?x").otherwise("/").alias("path"), F.when(k % 5 == 0, "application/dns-message").alias("type"), F.when(k % 3 == 0, 853).otherwise(443).alias("port"), (k % 2 == 0).alias("tls"), (k % 7 == 0).alias("known"), F.split(F.split("url", "://")[1], "[/?#]")[0].alias("host"))
+    p = intel.known_providers(p, "host", spark.createDataFrame([("Example.org",)], "domain string"))
+    return longs(p.select("page_id", intel.doh_score("alpn", "path", "type").alias("doh"), intel.dot_score("port", "tls", "known").alias("dot"), "provider"))
+
+
+# Events
+
+@query(sql.GAP + ", running AS (SELECT packet_id, row_number() OVER r = 1 AS is_new FROM sessions WINDOW r AS (PARTITION BY ip1, port1, ip2, port2, session_id ORDER BY packet_id ROWS UNBOUNDED PRECEDING))" + """,
+ devices AS (SELECT min(packet_id) AS packet_id, 0 AS ordinal, 'discovery.device' AS event_type FROM packets GROUP BY src_mac),
+ all_events AS (SELECT packet_id, 1 AS ordinal, CASE WHEN is_new THEN 'flow.new' ELSE 'flow.update' END AS event_type FROM running UNION ALL SELECT * FROM devices)
+ SELECT row_number() OVER (ORDER BY packet_id, ordinal) AS event_id, packet_id, event_type FROM all_events""")
+def events_union_ordered(spark, sf_dir):
+    flow = events.flow_events(flows.running_counters(gap_sessions(spark, sf_dir)))
+    first = load_packets(spark, sf_dir).groupBy("src_mac").agg(F.min("packet_id").alias("frame_no"), F.min("timestamp_us").alias("timestamp_us"))
+    return longs(events.ordered(events.device_events(first), flow).select("event_id", "packet_id", "event_type"))
+
+
+@query(sql.PACKETS + """, d AS (SELECT src_mac, min(packet_id) AS packet_id, min(timestamp_us) AS timestamp_us FROM packets GROUP BY src_mac), n AS (SELECT row_number() OVER (ORDER BY packet_id) AS event_id, * FROM d)
+ SELECT event_id, '{"event_id":' || event_id || ',"packet_id":' || packet_id || ',"timestamp_us":' || timestamp_us || ',"event_type":"discovery.device","protocol":"ARP","flow_id":"","attributes":{"mac":"' || src_mac || '"}}' AS line FROM n""")
+def ndjson_lines(spark, sf_dir):
+    first = load_packets(spark, sf_dir).groupBy("src_mac").agg(F.min("packet_id").alias("frame_no"), F.min("timestamp_us").alias("timestamp_us"))
+    return longs(events.ndjson(events.ordered(events.device_events(first))))
+
+
+@query("SELECT name, sha256(body) AS digest FROM (VALUES " + ", ".join(f"('{k}', '{config.text(v)}')" for k, v in config.PRESETS.items()) + ") t(name, body)")
+def config_sha256(spark, sf_dir):
+    return spark.createDataFrame([(k, config.text(v)) for k, v in config.PRESETS.items()], "name string, body string").select("name", F.sha2("body", 256).alias("digest"))
+
+
+@query("""WITH a AS (SELECT event_id, event_type AS line FROM events), b AS (SELECT event_id, CASE WHEN event_id >= 700 AND event_id % 3 = 0 THEN event_type || '!' ELSE event_type END AS line FROM events WHERE event_id < (SELECT max(event_id) FROM events) - 4)
+ SELECT (SELECT count(*) FROM a) AS lines_a, (SELECT count(*) FROM b) AS lines_b, min(event_id) AS event_id, arg_min(a.line, event_id) AS line_a, arg_min(b.line, event_id) AS line_b FROM a FULL JOIN b USING (event_id) WHERE a.line IS DISTINCT FROM b.line""")
+def divergence_first_line(spark, sf_dir):
+    a = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("line"))
+    last = a.agg(F.max("event_id")).first()[0]
+    b = a.where(F.col("event_id") < last - 4).withColumn("line", F.when((F.col("event_id") >= 700) & (F.col("event_id") % 3 == 0), F.concat("line", F.lit("!"))).otherwise(F.col("line")))
+    return determinism.first_difference(a, b)
 
 
-def oracle_sql() -> dict:
-    return {}
+@query()
+def engine_events(spark, sf_dir):
+    """The whole plan over encoded frames: decode, number, filter, sessions, dissect, order."""
+    return engine.run(_frames(spark, sf_dir), config.preset("replay")).select("event_id", "packet_id", "event_type", "protocol", "flow_id", F.to_json("attributes").alias("attributes"))
