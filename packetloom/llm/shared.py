@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows of an Arrow batch, unless the session sets a number of its own.
+ROWS = 2000
 _PACKAGE = Path(__file__).resolve().parent.parent
 
 
@@ -43,6 +45,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Give executors this package unless their PYTHONPATH has it already."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        # Spark's default is made for rows of numbers; with texts it would hold tens of MB for each batch.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     if str(_PACKAGE.parent) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_packetloom", False):
         return
     path = os.path.join(tempfile.mkdtemp(), "packetloom.zip")
