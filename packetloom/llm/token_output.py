@@ -19,39 +19,79 @@ order of their ids' bytes.  An empty table gives empty files.
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .hashing import FIRST
 from .shared import NULL_ID, batch, blocks, bytes_of, documents, ids_of, scratch, table
 
-REMEMBERED = 300_000
+#: Pre-tokens of which the ids are kept (some 40 bytes each).
+REMEMBERED = 1_500_000
 #: Bytes of text, and pre-tokens, that are encoded at a time.
-STEP, ASKED = 1 << 20, 10_000
+STEP, ASKED = 1 << 21, 20_000
 #: Ids of a block; a longer document is a block of its own.
 BLOCK = 1 << 16
 
 
-class _Known(dict):
-    """Ids of pre-tokens; those of the batch at hand that it has no room for are in ``extra``."""
+_LETTER, _DIGIT, _OTHER, _SPACE, _WHOLE = range(5)
+#: Classes of bytes in texts of ASCII and Latin letters; a text with a byte of the last class is encoded whole.
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[[*range(0x1C, 0x20), 0x7F, 0xC0, 0xC1, 0xC2, *range(0xCA, 256)]] = _WHOLE
 
-    extra: dict = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        return self.extra[piece]
+def pre_tokens(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the byte-level pre-tokens of concatenated texts, and which texts cannot be cut so.
+
+    A pre-token is a contraction, a stretch of letters, digits or other
+    characters with the space before it, or white space: of a stretch of it
+    the last character stands alone unless it is a space that is taken or the text's end.
+    """
+    n = len(buf)
+    kind = _CLASS[buf]
+    head = np.zeros(n + 1, bool)  # first byte of a text
+    head[0] = True
+    head[ends] = True
+    pair = np.zeros(n, bool)
+    pair[1:] = (buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7))  # the signs for times and divided by
+    text = np.searchsorted(ends, np.flatnonzero((kind == _WHOLE) | pair), side="right")
+    whole = np.zeros(len(ends), bool)
+    whole[text] = True
+    start = head[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    tail = head[1:]  # last byte of a text
+    following = np.append(kind[1:], _SPACE)
+    last = (kind == _SPACE) & (following != _SPACE) & ~tail
+    start |= last
+    taken = np.flatnonzero(last & (buf == 32)) + 1
+    start[taken] = False
+    # Contractions: an apostrophe that is alone and has no space before it.
+    mark = np.flatnonzero((buf == 39) & start & ~tail)
+    mark = mark[(mark + 1 < n) & (kind[np.minimum(mark + 1, n - 1)] == _LETTER)]
+    if len(mark):
+        one = buf[mark + 1]
+        two = buf[np.minimum(mark + 2, n - 1)]
+        inside = ~tail[mark + 1] & (mark + 2 < n)
+        size = np.where(np.isin(one, list(b"stmd")), 2, np.where(inside & (((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)), 3, 0))
+        mark, size = mark[size > 0], size[size > 0]
+        start[mark + 1] = False
+        after = mark + size
+        after = after[after < n]
+        start[after] = True
+    return np.flatnonzero(start), whole
 
 
 class Tokenizer:
-    """The tokenizers library, asked once for each distinct pre-token of a batch.
+    """The tokenizers library, asked once for each distinct pre-token.
 
     Byte-level pre-tokens are encoded independently of each other, so the ids
-    of a text are those of its pre-tokens.  Texts with a special token, control
-    characters, fractions or letters outside the Latin blocks go to the library
-    whole.  When the memory of pre-tokens is full it stays as it is, since
-    frequent ones come early, until it has missed too often.
+    of a text are those of its pre-tokens.  Ids are kept in arrays sorted by the
+    pre-token's 64-bit hash; a batch looks all of its own up at once.  Texts with a special
+    token, control characters or letters outside the Latin blocks go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -61,40 +101,66 @@ class Tokenizer:
         self._t = tokenizers.Tokenizer.from_file(path)
         self._t.no_truncation()
         self._t.no_padding()
-        self.size = self._t.get_vocab_size(with_added_tokens=True)
-        special = "|".join(re.escape(t.content) for t in self._t.get_added_tokens_decoder().values())
-        self._whole = re.compile("[^\x00-\x1b\x20-\x7e\xa1-ɏ]|[¹²³¼½¾]" + (f"|{special}" if special else "")).search
-        self._split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
-        self._known = _Known()
-        self._missed = 0
-
-    def _ask(self, pieces: list[str], dtype: str) -> list[bytes]:
-        out = []
+        vocabulary = self._t.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
+        self._bytes = np.zeros(self.size, np.int64)
+        for token, i in vocabulary.items():
+            self._bytes[i] = len(token)  # one letter for each byte
+        self._special = [t.content.encode() for t in self._t.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _clear(self) -> None:
+        self._hash, self._at, self._n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._ids = np.zeros(0, np.int32)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Encode new pre-tokens; where a piece ends follows from its number of bytes."""
         for i in range(0, len(pieces), ASKED):
             part = pieces[i : i + ASKED]
-            found = self._t.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype)
-            ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)) * ids.itemsize)
-            out += _cut(ids.tobytes(), ends)
-        return out
-
-    def encode(self, texts: list[str | None], dtype: str) -> list[bytes]:
-        """Ids of each text as little-endian integers."""
-        known = self._known
-        whole = [bool(t) and self._whole(t) is not None for t in texts]
-        pieces = [self._split(t) if t and not w else () for t, w in zip(texts, whole, strict=True)]
-        new = list(dict.fromkeys(filterfalse(known.__contains__, chain.from_iterable(pieces))))
-        if new:
-            known.extra = dict(zip(new, self._ask(new, dtype), strict=True))
-            if len(known) < REMEMBERED:
-                known.update(known.extra)
-            else:
-                self._missed += len(new)
-        get = known.__getitem__
-        out = [np.array(self._t.encode(t, add_special_tokens=False).ids, dtype).tobytes() if w else b"".join(map(get, p)) for t, w, p in zip(texts, whole, pieces, strict=True)]
-        if self._missed > 8 * REMEMBERED:
-            known.clear()
-            self._missed = 0
+            ids = np.array(self._t.encode_batch_fast([[p.decode() for p in part]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+            ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum([len(p) for p in part])) + 1
+            n = np.diff(np.concatenate([[0], ends]))
+            self._hash = np.concatenate([self._hash, hashes[i : i + ASKED]])
+            self._at = np.concatenate([self._at, len(self._ids) + ends - n])
+            self._n = np.concatenate([self._n, n])
+            self._ids = np.concatenate([self._ids, ids])
+        order = np.argsort(self._hash, kind="stable")
+        self._hash, self._at, self._n = self._hash[order], self._at[order], self._n[order]
+
+    def encode(self, buf: np.ndarray, ends: np.ndarray, dtype: str) -> list[bytes]:
+        """Ids of each of the concatenated texts, as little-endian integers."""
+        if not len(ends):
+            return []
+        start, whole = pre_tokens(buf, ends) if len(buf) else (np.zeros(0, np.int64), np.zeros(len(ends), bool))
+        raw = buf.tobytes()
+        begin = np.concatenate([[0], ends[:-1]])
+        for s in self._special:
+            if s in raw:
+                whole |= np.array([s in raw[i:j] for i, j in zip(begin.tolist(), ends.tolist(), strict=True)])
+        text = np.searchsorted(ends, start, side="right")
+        stop = np.append(start[1:], len(buf))
+        good = ~whole[text]
+        start, stop, text = start[good], stop[good], text[good]
+        hashes = FIRST.slices(FIRST.prefix(buf), start, stop)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self._hash) > REMEMBERED:
+            self._clear()
+        at = np.searchsorted(self._hash, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self._hash)
+        new[inside] = self._hash[at[inside]] != distinct[inside]
+        if new.any():
+            x = first[new]
+            self._learn(distinct[new], [raw[i:j] for i, j in zip(start[x].tolist(), stop[x].tolist(), strict=True)])
+            at = np.searchsorted(self._hash, distinct)
+        n, place = self._n[at][which], self._at[at][which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self._ids[np.arange(total[-1]) + np.repeat(place - total[:-1], n)].astype(dtype)
+        cut = total[np.searchsorted(text, np.arange(len(ends)), side="right")] * ids.itemsize
+        out = _cut(ids.tobytes(), cut)
+        for i in np.flatnonzero(whole).tolist():
+            found = self._t.encode(raw[begin[i] : ends[i]].decode(), add_special_tokens=False)
+            out[i] = np.array(found.ids, dtype).tobytes()
         return out
 
 
@@ -174,10 +240,12 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches):
+        np.seterr(over="ignore")
         t = tokenizer(path)
         for b in batches:
-            for i, j, _, _ in blocks(bytes_of(b.column(1))[1], STEP):
-                yield batch(schema, b.column(0).slice(i, j - i), [x + end for x in t.encode(b.column(1).slice(i, j - i).to_pylist(), dtype)])
+            buf, ends = bytes_of(b.column(1))
+            for i, j, lo, hi in blocks(ends, STEP):
+                yield batch(schema, b.column(0).slice(i, j - i), [x + end for x in t.encode(buf[lo:hi], ends[i:j] - lo, dtype)])
 
     encoded = table(documents(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode, "doc_id long, ids binary"), "ids")
     # At most one row for each entry of the vocabulary, whatever the corpus.

@@ -86,3 +86,16 @@ def test_count_only_viterbi_equals_the_library(spark):
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts())] + [(-1, None)], "doc_id long, text string")
     got = {r[0]: (r[1], r[2]) for r in token_count.token_counts(docs, path).collect()}
     assert got == want | {-1: (0, 0)}
+
+
+def test_cut_into_pre_tokens_equals_the_library():
+    path = P.path("byte_bpe_50k.json")
+    t, own = Tokenizer.from_file(path), token_output.tokenizer(path)
+    r = random.Random(9)
+    parts = ["it's", "'ll", "'", "''", " '", "'r", "'re", "'ves", "'S", "l'", "x", "Ab", "é", "ñü", "ß", "×", "÷", "¡", "²", "7", "42", ".", "!?", "_", " ", "  ", "\n", "\n ", " \n", "\t", "\x0b", "\r\n", "\x01", "\x7f", "ɏ", "ɐ", "日", "’"]
+    texts_ = ["".join(r.choices(parts, k=r.randrange(30))) for _ in range(4000)] + texts(50) + ["", " ", "'", "'s", "a'", "'l"]
+    raw = [x.encode() for x in texts_]
+    with np.errstate(over="ignore"):
+        got = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw]), "<i4")
+    for x, g in zip(texts_, got, strict=True):
+        assert np.frombuffer(g, "<i4").tolist() == t.encode(x, add_special_tokens=False).ids, x
