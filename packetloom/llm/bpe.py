@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 
 from .shared import documents
 
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
+#: Stretches, pieces and pairs that are remembered, and the longest string that is.
+STRETCHES, PIECES, PAIRS, LONGEST = 100_000, 200_000, 300_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -42,6 +43,24 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Memory(dict):
+    """Results of strings seen before.  When full it stays as it is, as frequent strings
+    come early, until it has missed too often; then it begins anew."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.missed = most, 0
+
+    def keep(self, key, value) -> None:
+        if len(self) < self.most:
+            self[key] = value
+            return
+        self.missed += 1
+        if self.missed > 20 * self.most:
+            self.clear()
+            self.missed = 0
+
+
 class Encoder:
     """Exact BPE for vocabularies with byte letters and an end-of-word suffix."""
 
@@ -98,16 +117,14 @@ class Encoder:
         self._shorter = [-1] * len(rank)
         for s, r in names.items():
             self._shorter[r] = next((names[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in names), -1)
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._known: dict[str, bytes] = {}
+        self._fits, self._stretches, self._known = Memory(PAIRS), Memory(STRETCHES), Memory(PIECES)
 
     def _pair(self, one: int, two: int) -> bool:
         """Whether the merges leave this pair of neighbours as it is."""
         found = self._fits.get((one, two))
         if found is None:
-            if len(self._fits) >= 4 * REMEMBERED:
-                self._fits.clear()
-            found = self._fits[one, two] = self._judge(one, two)
+            found = self._judge(one, two)
+            self._fits.keep((one, two), found)
         return found
 
     def _judge(self, one: int, two: int) -> bool:
@@ -155,33 +172,40 @@ class Encoder:
                 token = last
         return out
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self._known.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            word = "".join([self._inner[b] for b in raw[:-1]]) + self._final[raw[-1]]
+            ids = self._id[self._word(word)].tobytes()
+            if len(piece) <= LONGEST:
+                self._known.keep(piece, ids)
+        return ids
+
     def _stretch(self, text: str) -> bytes:
-        ids: list[int] = []
-        for part in self._special.split(text) if self._special else [text]:
+        out = []
+        for part in self._special.split(text) if self._special and "<" in text else [text]:
             if part in self.special:
-                ids.append(self.special[part])
+                out.append(np.int32(self.special[part]).tobytes())
                 continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for piece in self._pieces.findall(part):
-                raw = piece.encode()
-                word = "".join([self._inner[b] for b in raw[:-1]]) + self._final[raw[-1]]
-                ids.extend(self._id[self._word(word)].tolist())
-        return np.array(ids, np.int32).tobytes()
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+            part = part.lower()
+            out += map(self._piece, (part,) if part.isalpha() and part.isascii() else self._pieces.findall(part))
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text as little-endian int32."""
         if not text:
             return b""
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
+        known = self._stretches
         out = []
         for s in self._space.split(text) if self._odd_space.search(text) else text.split():
             ids = known.get(s)
             if ids is None:
                 ids = self._stretch(s)
-                if len(s) <= LONGEST_REMEMBERED:
-                    known[s] = ids
+                if len(s) <= LONGEST:
+                    known.keep(s, ids)
             out.append(ids)
         return b"".join(out)
 

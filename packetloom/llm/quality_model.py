@@ -39,6 +39,8 @@ LOW, HIGH = 0.001, 0.995
 HELD_OUT = 4
 #: A stratum needs this many held-out documents for quantiles; with fewer it has their extremes times SLACK.
 ENOUGH, SLACK = 400, 1.5
+#: Bytes of text that are worked on at a time.
+BYTES = 1 << 19
 #: Rows of a model shard (12 bytes each).
 SHARD = 1_500_000
 _U = np.uint64
@@ -90,7 +92,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             buf, ends = bytes_of(b.column(0))
-            for i, j, lo, hi in blocks(ends, 1 << 20):
+            for i, j, lo, hi in blocks(ends, BYTES):
                 if hi > lo:
                     k, c = np.unique(ngrams(buf[lo:hi], ends[i:j] - lo)[0], return_counts=True)
                     keys.append(k)
@@ -219,7 +221,7 @@ def score(docs: DataFrame, model: list) -> DataFrame:
             for b in batches:
                 buf, ends = bytes_of(b.column(place))
                 ll = b.column(b.num_columns - 1).to_numpy().copy()
-                for i, j, lo, hi in blocks(ends, 1 << 20):
+                for i, j, lo, hi in blocks(ends, BYTES):
                     if hi == lo:
                         continue
                     keys, text = ngrams(buf[lo:hi], ends[i:j] - lo)
