@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.bytes import ipv4_text, mac_text, rest, slice_, u, u_le
+from ..functions.bytes import ipv4_text, ipv6_text, mac_text, slice_, u, u_le
 from ..functions.names import DHCP4_TYPES, FTP_COMMANDS, HTTP_METHODS, NT_STATUS, QUIC_VERSIONS, RDP_SECURITY, SMB1_COMMANDS, SMB2_COMMANDS, icmp_description, name_of
 
 P = "payload"
@@ -101,7 +101,6 @@ def header(lines: Column, name: str) -> Column:
 
 def http1(df: DataFrame) -> DataFrame:
     """First line and the usual headers of an HTTP/1 request or response."""
-    lines = F.split(F.col("_text"), "\r?\n")
     df = df.withColumn("_text", text_of()).withColumn("_lines", F.split(F.split(F.col("_text"), "\r?\n\r?\n", 2)[0], "\r?\n"))
     first = F.split(F.col("_lines")[0], " ", 3)
     response = F.startswith(first[0], F.lit("HTTP/"))
@@ -127,7 +126,6 @@ def http1(df: DataFrame) -> DataFrame:
             ),
         ),
     )
-    del lines
     return df.drop("_text", "_lines")
 
 
@@ -197,3 +195,46 @@ def dhcp4_fixed(df: DataFrame) -> DataFrame:
             ),
         ),
     ).drop("_o")
+
+
+# Dialect revisions.
+SMB_DIALECTS = {0x0202: "SMB2.0", 0x0210: "SMB2.1", 0x02FF: "SMB2-wildcard", 0x0300: "SMB3.0", 0x0302: "SMB3.0.2", 0x0311: "SMB3.1.1"}
+ND_TYPES = {133: "RS", 134: "RA", 135: "NS", 136: "NA", 137: "REDIRECT"}
+
+
+def smb_dialect(df: DataFrame) -> DataFrame:
+    """The dialect of a negotiate response."""
+    ok = (F.hex(slice_(P, 4, 4)) == "FE534D42") & (u_le(P, 16, 2) == 0) & (u_le(P, 20, 4) % 2 == 1) & (F.octet_length(P) >= 74)
+    return df.withColumn("dialect", F.when(ok, name_of(u_le(P, 72, 2).cast("int"), SMB_DIALECTS, "SMB2-unknown")))
+
+
+def smb_ntlm(df: DataFrame) -> DataFrame:
+    """Whether a session setup request carries an NTLM authenticate message with a response of 24 bytes or more."""
+    at = F.locate("NTLMSSP\x00\x03\x00\x00\x00", F.decode(slice_(P, 68, 512), "ISO-8859-1"))
+    begin = (at + 67).cast("int")
+    ok = (F.hex(slice_(P, 4, 4)) == "FE534D42") & (u_le(P, 16, 2) == 1) & (u_le(P, 20, 4) % 2 == 0)
+    return df.withColumn("ntlm", F.coalesce(ok & (at > 0) & (u_le(P, begin + 20, 2) >= 24), F.lit(False)))
+
+
+def neighbor(df: DataFrame) -> DataFrame:
+    """Neighbor discovery: kind, target address, flags of an advertisement."""
+    t = u(P, 0, 1)
+    flags = u(P, 4, 1)
+    bit = lambda n: (F.floor(flags / n) % 2).cast("string")
+    target = F.when(t.isin(135, 136, 137) & (F.octet_length(P) >= 24), ipv6_text(P, 8))
+    text = F.when((t == 136) & (F.octet_length(P) >= 24), F.concat(F.lit("R="), bit(128), F.lit(" S="), bit(64), F.lit(" O="), bit(32)))
+    return df.withColumn("neighbor", F.when(t.between(133, 137), F.struct(name_of(t.cast("int"), ND_TYPES, "").alias("kind"), target.alias("target"), text.alias("flags"))))
+
+
+def relay_agent(data: Column) -> Column:
+    """Circuit and remote id of a relay agent option (sub-options 1 and 2)."""
+    size = F.octet_length(data)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("circuit"), F.lit(None).cast("string").alias("remote"))
+
+    def step(acc, _):
+        kind, n = u(data, acc["at"], 1), u(data, acc["at"] + 1, 1).cast("int")
+        value = slice_(data, acc["at"] + 2, F.least(n, F.lit(128))).cast("string")
+        fits = (n.isNotNull()) & (acc["at"] + 2 + n <= size)
+        return F.struct(F.when(fits, acc["at"] + 2 + n).otherwise(size).cast("int").alias("at"), F.when(fits & (kind == 1), value).otherwise(acc["circuit"]).alias("circuit"), F.when(fits & (kind == 2), value).otherwise(acc["remote"]).alias("remote"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(16)), zero, step)

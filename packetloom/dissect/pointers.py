@@ -398,3 +398,105 @@ def dissect(df: DataFrame, name: str, payload: str = "payload") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, type=arrow)], names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+SERVER = "version string, cipher int, alpn string, error string"
+# Fixed values.
+NEGOTIATED = {0x0301: "TLS1.0", 0x0302: "TLS1.1", 0x0303: "TLS1.2", 0x0304: "TLS1.3"}
+
+
+def tls_server_hello(data: bytes) -> dict | None:
+    """Cipher, negotiated version and protocol of a ServerHello."""
+    need(data, 0, 9, "record")
+    if data[0] != 22 or data[5] != 2:
+        return None
+    at = 9 + 34
+    need(data, at, 1, "session id")
+    at += 1 + data[at]
+    need(data, at, 3, "cipher suite")
+    out = {"cipher": int.from_bytes(data[at : at + 2])}
+    at += 3
+    if at + 2 > len(data):
+        return out
+    stop = at + 2 + int.from_bytes(data[at : at + 2])
+    need(data, at, stop - at, "extensions")
+    at += 2
+    while at + 4 <= stop:
+        kind, n = int.from_bytes(data[at : at + 2]), int.from_bytes(data[at + 2 : at + 4])
+        x = data[at + 4 : min(at + 4 + n, stop)]
+        if kind == 43 and n >= 2:
+            out["version"] = NEGOTIATED.get(int.from_bytes(x[:2]), "UNKNOWN")
+        elif kind == 16 and n > 3:
+            out["alpn"] = x[3 : 3 + x[2]].decode(errors="replace")
+        at += 4 + n
+    return out
+
+
+CERTIFICATE = "certificates int, subject_cn string, issuer_cn string, sans array<string>, not_after string, self_signed boolean, error string"
+_CN, _SAN = bytes.fromhex("550403"), bytes.fromhex("551d11")
+
+
+def _children(data: bytes, begin: int, end: int):
+    while begin < end:
+        tag, b, e = asn1(data, begin)
+        yield tag, b, e, begin
+        begin = e
+
+
+def _common_name(data: bytes, begin: int, end: int) -> str | None:
+    found = None
+    for _, b, e, _ in _children(data, begin, end):
+        for _, b2, e2, _ in _children(data, b, e):
+            parts = list(_children(data, b2, e2))
+            if len(parts) == 2 and data[parts[0][1] : parts[0][2]] == _CN:
+                found = sanitize(data[parts[1][1] : parts[1][2]].decode(errors="replace"))
+    return found
+
+
+def sanitize(text: str) -> str:
+    """Without control characters, others than ASCII as ``?``, 256 characters at most."""
+    return "".join(c if c.isascii() else "?" for c in text if c.isprintable() or not c.isascii())[:256]
+
+
+def certificate(data: bytes) -> dict | None:
+    """The first certificate of a TLS Certificate message and how many there are (8 at most are counted)."""
+    need(data, 0, 12, "record")
+    if data[0] != 22 or data[5] != 11:
+        return None
+    stop = min(len(data), 12 + int.from_bytes(data[9:12]))
+    at, certs = 12, []
+    while at + 3 <= stop and len(certs) < 8:
+        n = int.from_bytes(data[at : at + 3])
+        need(data, at + 3, n, "certificate")
+        certs.append(data[at + 3 : at + 3 + n])
+        at += 3 + n
+    out = {"certificates": len(certs), "sans": []}
+    if not certs:
+        return out
+    c = certs[0]
+    _, b, _ = asn1(c, 0)
+    _, b, e = asn1(c, b)
+    fields = [f for f in _children(c, b, e)]
+    fields = fields[1:] if fields and fields[0][0] == 0xA0 else fields
+    if len(fields) < 6:
+        raise Bad(f"certificate of {len(fields)} fields")
+    _, _, issuer, validity, subject = fields[:5]
+    out["issuer_cn"] = _common_name(c, issuer[1], issuer[2])
+    out["subject_cn"] = _common_name(c, subject[1], subject[2])
+    out["self_signed"] = c[issuer[3] : issuer[2]] == c[subject[3] : subject[2]]
+    times = list(_children(c, validity[1], validity[2]))
+    if len(times) == 2:
+        out["not_after"] = c[times[1][1] : times[1][2]].decode(errors="replace")
+    for tag, b, e, _ in fields[6:]:
+        if tag != 0xA3:
+            continue
+        _, b, e = asn1(c, b)
+        for _, b2, e2, _ in _children(c, b, e):
+            parts = list(_children(c, b2, e2))
+            if parts and c[parts[0][1] : parts[0][2]] == _SAN:
+                _, b3, e3 = asn1(c, parts[-1][1])
+                out["sans"] = [sanitize(c[x:y].decode(errors="replace")) for t, x, y, _ in _children(c, b3, e3) if t == 0x82][:MAX_LIST]
+    return out
+
+
+DISSECTORS |= {"server": (tls_server_hello, SERVER), "certificate": (certificate, CERTIFICATE)}

@@ -512,3 +512,106 @@ def divergence_first_line(spark, sf_dir):
 def engine_events(spark, sf_dir):
     """The whole plan over encoded frames: decode, number, filter, sessions, dissect, order."""
     return engine.run(_frames(spark, sf_dir), config.preset("replay")).select("event_id", "packet_id", "event_type", "protocol", "flow_id", F.to_json("attributes").alias("attributes"))
+
+
+# More dissectors
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'TLS1.3' ELSE 'TLS1.2' END AS version, CAST(4865 + s_suppkey % 3 AS BIGINT) AS cipher, 'h2' AS alpn FROM supplier")
+def tls_server_hello(spark, sf_dir):
+    k = F.col("s_suppkey")
+    ext = F.concat(raw("002B0002"), F.when(k % 2 == 0, raw("0304")).otherwise(raw("0303")), raw("00100005" + "0003026832"))
+    hello = F.concat(raw("0303" + "5A" * 32 + "00"), be(4865 + k % 3, 2), raw("00"), payloads.counted(ext, 2))
+    p = F.concat(raw("160303"), payloads.counted(F.concat(raw("02"), payloads.counted(hello, 3)), 2))
+    return longs(dissect(read(spark, sf_dir, "supplier").select("s_suppkey", p.alias("payload")), "server").select("s_suppkey", "server.version", "server.cipher", "server.alpn"))
+
+
+@query("""SELECT s_suppkey, CAST(1 AS BIGINT) AS certificates, 'site' || CAST(s_suppkey AS VARCHAR) || '.example' AS subject_cn, CASE WHEN s_suppkey % 2 = 0 THEN 'site' || CAST(s_suppkey AS VARCHAR) || '.example' ELSE 'Example CA' END AS issuer_cn,
+ 'www.site' || CAST(s_suppkey AS VARCHAR) || '.example' AS san, '300101000000Z' AS not_after, s_suppkey % 2 = 0 AS self_signed FROM supplier""")
+def tls_certificate(spark, sf_dir):
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("site"), k.cast("string"), F.lit(".example"))
+    dn = lambda cn: payloads.asn("30", payloads.asn("31", payloads.asn("30", F.concat(raw("0603550403"), payloads.asn("0C", payloads.text(cn))))))
+    # Each step is a column of its own: a length repeats what it measures.
+    c = decode.staged(read(spark, sf_dir, "supplier").select("s_suppkey"), subject=dn(name), ca=dn("Example CA"), alt=payloads.asn("30", payloads.asn("82", payloads.text(F.concat(F.lit("www."), name)))))
+    c = decode.staged(c, alt2=payloads.asn("30", F.concat(raw("0603551D11"), payloads.asn("04", F.col("alt")))))
+    c = decode.staged(c, alt3=payloads.asn("A3", payloads.asn("30", F.col("alt2"))))
+    validity = payloads.asn("30", F.concat(payloads.asn("17", payloads.text("200101000000Z")), payloads.asn("17", payloads.text("300101000000Z"))))
+    c = decode.staged(c, body=payloads.asn("30", F.concat(raw("A003020102"), raw("020101"), raw("3000"), F.when(k % 2 == 0, F.col("subject")).otherwise(F.col("ca")), validity, F.col("subject"), raw("3000"), F.col("alt3"))))
+    c = decode.staged(c, listed=payloads.counted(payloads.asn("30", F.col("body")), 3))
+    p = F.concat(raw("160303"), payloads.counted(F.concat(raw("0B"), payloads.counted(payloads.counted(F.col("listed"), 3), 3)), 2))
+    c = dissect(c.select("s_suppkey", p.alias("payload")), "certificate")
+    return longs(c.select("s_suppkey", "certificate.certificates", "certificate.subject_cn", "certificate.issuer_cn", F.col("certificate.sans")[0].alias("san"), "certificate.not_after", "certificate.self_signed"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'SMB2.0' WHEN 1 THEN 'SMB3.0' WHEN 2 THEN 'SMB3.1.1' ELSE 'SMB2-unknown' END AS dialect FROM part")
+def smb_dialect(spark, sf_dir):
+    d = F.element_at(F.array(F.lit(0x0202), F.lit(0x0300), F.lit(0x0311), F.lit(0x0777)), F.col("p_size") % 4 + 1)
+    p = payloads.smb2(F.lit(0), F.lit(0), F.lit(True), F.concat(raw("41000100"), payloads.le(d, 2)))
+    return fixed.smb_dialect(read(spark, sf_dir, "part").select("p_partkey", p.alias("payload"))).select("p_partkey", "dialect")
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS ntlm FROM part")
+def smb_ntlm(spark, sf_dir):
+    blob = F.concat(payloads.text("NTLMSSP"), raw("0003000000"), raw("00" * 8), payloads.le(F.when(F.col("p_size") % 3 == 0, 24).otherwise(8), 2), raw("00" * 20))
+    p = payloads.smb2(F.lit(1), F.lit(0), F.lit(False), F.concat(raw("19000000" + "00" * 20), blob))
+    return fixed.smb_ntlm(read(spark, sf_dir, "part").select("p_partkey", p.alias("payload"))).select("p_partkey", "ntlm")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'NS' ELSE 'NA' END AS kind, 'fe80::' || lower(hex(CAST(n_nationkey + 1 AS INTEGER))) AS target, CASE WHEN n_nationkey % 2 = 1 THEN 'R=0 S=1 O=1' END AS flags FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation)")
+def icmpv6_neighbor(spark, sf_dir):
+    k = F.col("n_nationkey")
+    p = F.concat(F.when(k % 2 == 0, raw("87")).otherwise(raw("88")), raw("000000"), raw("60000000"), raw("FE80" + "00" * 12), be(k + 1, 2))
+    n = fixed.neighbor(read(spark, sf_dir, "nation").select(k.cast("long").alias("n_nationkey"), p.alias("payload")))
+    return n.select("n_nationkey", "neighbor.kind", "neighbor.target", "neighbor.flags")
+
+
+@query("SELECT s_suppkey, 'port' || CAST(s_suppkey AS VARCHAR) AS circuit, s_name AS remote FROM supplier")
+def dhcp_relay_agent(spark, sf_dir):
+    data = F.concat(raw("01"), payloads.counted(payloads.text(F.concat(F.lit("port"), F.col("s_suppkey").cast("string")))), raw("02"), payloads.counted(payloads.text(F.col("s_name"))))
+    df = read(spark, sf_dir, "supplier").select("s_suppkey", data.alias("data")).withColumn("r", fixed.relay_agent(F.col("data")))
+    return df.select("s_suppkey", "r.circuit", "r.remote")
+
+
+@query("""SELECT event_id, CASE WHEN us < 1000 THEN CAST(us AS VARCHAR) || 'µs' WHEN us < 1000000 THEN printf('%d.%03d', us // 1000, us % 1000) || 'ms' WHEN us < 60000000 THEN printf('%d.%d', (us + 50000) // 1000000, ((us + 50000) // 100000) % 10) || 's'
+ WHEN us >= 3600000000 THEN printf('%dh %dm %ds', us // 3600000000, (us // 60000000) % 60, (us // 1000000) % 60) ELSE printf('%dm %ds', us // 60000000, (us // 1000000) % 60) END AS duration,
+ CASE WHEN us < 1024 THEN CAST(us AS VARCHAR) || ' B' WHEN us < 1048576 THEN printf('%d.%d', ((us * 20 + 1024) // 2048) // 10, ((us * 20 + 1024) // 2048) % 10) || ' KB' WHEN us < 1073741824 THEN printf('%d.%d', ((us * 20 + 1048576) // 2097152) // 10, ((us * 20 + 1048576) // 2097152) % 10) || ' MB'
+ ELSE printf('%d.%02d', ((us * 200 + 1073741824) // 2147483648) // 100, ((us * 200 + 1073741824) // 2147483648) % 100) || ' GB' END AS size
+ FROM (SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN event_id % 1000 WHEN 1 THEN event_id * 997 WHEN 2 THEN event_id * 50021 ELSE event_id * 90000049 END AS BIGINT) AS us FROM events)""")
+def texts_for_people(spark, sf_dir):
+    from ..functions.text import duration, size
+
+    e = F.col("event_id")
+    us = F.when(e % 4 == 0, e % 1000).when(e % 4 == 1, e * 997).when(e % 4 == 2, e * 50021).otherwise(e * 90000049)
+    return read(spark, sf_dir, "events").select("event_id", us.alias("us")).select("event_id", duration(F.col("us")).alias("duration"), size(F.col("us")).alias("size"))
+
+
+@query("SELECT protocol || ' ' || ip1 || ':' || CAST(port1 AS VARCHAR) || ' → ' || ip2 || ':' || CAST(port2 AS VARCHAR) || ' [pkts=' || CAST(packets AS VARCHAR) || ' bytes=' || CAST(bytes_sent + bytes_received AS VARCHAR) || ']' AS line, session_id FROM (" + sql.GAP + sql.SUMMARY + ")")
+def flow_lines(spark, sf_dir):
+    from ..functions.text import flow_line
+
+    s = flows.summaries(gap_sessions(spark, sf_dir)).withColumn("bytes", F.col("bytes_sent") + F.col("bytes_received"))
+    return s.select(flow_line().alias("line"), "session_id")
+
+
+@query("SELECT page_id, host IN ('ththly.example.org') OR page_id % 9 = 0 AS doh FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages)")
+def provider_membership(spark, sf_dir):
+    from ..sources.providers import DOH, providers
+
+    k = F.col("page_id")
+    host = F.when(k % 9 == 0, F.upper(F.element_at(F.array(*map(F.lit, DOH)), (k % 65 + 1).cast("int")))).otherwise(F.split(F.split("url", "://")[1], "[/?#]")[0])
+    learned = spark.createDataFrame([("ththly.example.org",)], "domain string")
+    df = read(spark, sf_dir, "pages").select("page_id", host.alias("host"))
+    listed = intel.small(providers(spark, "doh", learned)).withColumnRenamed("domain", "_d")
+    return df.join(listed, F.lower("host") == F.col("_d"), "left").select("page_id", F.col("_d").isNotNull().alias("doh"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'second' WHEN 1 THEN 'other' END AS app FROM part")
+def fingerprint_labels(spark, sf_dir):
+    table = spark.createDataFrame([("k0", "first", 1), ("k0", "second", 2), ("k1", "other", 3)], "key string, label string, line_no int")
+    df = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("k"), (F.col("p_size") % 3).cast("string")).alias("ja3"))
+    return intel.labelled(df, "ja3", table, "app").select("p_partkey", "app")
+
+
+@query("SELECT tick_us, flows, CAST(sum(flows) OVER (ORDER BY tick_us) AS BIGINT) AS total FROM (SELECT CAST(floor(first_seen_us / 60000000) AS BIGINT) * 60000000 AS tick_us, count(*) AS flows FROM (" + sql.GAP + sql.SUMMARY + ") GROUP BY 1)")
+def flows_per_minute(spark, sf_dir):
+    return reports.new_per_tick(flows.summaries(gap_sessions(spark, sf_dir)))
