@@ -89,6 +89,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .decontamination import ORACLE_SQL
+    from .oracle import SQL
 
-    return {"op10_decontamination": ORACLE_SQL}
+    return dict(SQL)
