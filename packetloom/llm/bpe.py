@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import documents
+from .shared import documents, lean, memory
 
 #: Stretches, pieces and pairs that are remembered, and the longest string that is.
 STRETCHES, PIECES, PAIRS, LONGEST = 100_000, 200_000, 300_000, 64
@@ -88,10 +88,7 @@ class Encoder:
             body = token.removesuffix(suffix)
             return body if body == token else body[:-1] + symbol[body[-1] + suffix]
 
-        size = max(max(vocab.values()), *self.special.values(), 0) + 1
-        self.strings = [""] * size
-        for token, i in (vocab | self.special).items():
-            self.strings[i] = token
+        self.strings = token_strings(path)
         base = {i for token, i in vocab.items() if token in symbol}
         # Merge order stands in for ids: rank 0.. for base symbols, then merges.
         self._id = np.zeros(len(base) + len(model["merges"]), np.int32)
@@ -227,22 +224,32 @@ class OffsetTable:
         return self.data[np.arange(end[-1]) + np.repeat(first - end + size, size)][:-1].tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
-_TABLES: dict[str, tuple[OffsetTable, OffsetTable]] = {}
+_KEPT = memory("bpe")
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if path not in _KEPT:
+        _KEPT[path] = Encoder(path)
+    return _KEPT[path]
+
+
+def token_strings(path: str) -> list[str]:
+    """The string of each id; empty where there is none."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = [""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        out[i] = token
+    return out
 
 
 def tables(path: str) -> tuple[OffsetTable, OffsetTable]:
     """Of token strings and of decimal numbers, each with a space at its end."""
-    if path not in _TABLES:
-        strings = encoder(path).strings
-        _TABLES[path] = OffsetTable([s.encode() + b" " for s in strings]), OffsetTable([b"%d " % i for i in range(len(strings))])
-    return _TABLES[path]
+    if (path, "tables") not in _KEPT:
+        strings = token_strings(path)
+        _KEPT[path, "tables"] = OffsetTable([s.encode() + b" " for s in strings]), OffsetTable([b"%d " % i for i in range(len(strings))])
+    return _KEPT[path, "tables"]
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
@@ -278,7 +285,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for b in _steps(whole, 1) if whole.num_rows else ():
                 yield pa.RecordBatch.from_arrays([b.column(0), _lists([e.encode(t.as_py()) for t in b.column(1)])], ["doc_id", "ids"])
 
-    return documents(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return documents(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run, "bpe"), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -291,7 +298,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 text = pa.array([strings.join(x).decode() for x in _slices(b.column(1))], pa.string())
                 yield pa.RecordBatch.from_arrays([*b.columns, text], ["doc_id", "ids", "text"])
 
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.mapInArrow(lean(run, "bpe"), "doc_id long, ids array<int>, text string")
 
 
 def digest(decoded: DataFrame, path: str) -> DataFrame:
@@ -303,4 +310,4 @@ def digest(decoded: DataFrame, path: str) -> DataFrame:
             text = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return decoded.mapInArrow(lean(run, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

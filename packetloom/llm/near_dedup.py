@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import FIRST, SECOND, mix, word_bounds, word_hashes
-from .shared import NULL_ID, batch, bits_of, blocks, bloom, bytes_of, documents, ids_of, in_bloom, table
+from .shared import NULL_ID, batch, bits_of, blocks, bloom, bytes_of, documents, ids_of, in_bloom, lean, table
 
 WORDS, SHARE = 4, 80
 BANDS, ROWS = 32, 5
@@ -103,7 +103,7 @@ def scan(docs: DataFrame, words: int) -> DataFrame:
                 offsets = np.arange(rows + 1, dtype=np.int32) * BANDS
                 yield batch(_SCAN, ids[i:j], n, k1, k2, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(bands).view(np.int64).ravel())))
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
 #: Members that are compared with one copy of their leader's set.
@@ -132,7 +132,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 raw = grams.tobytes()
                 yield batch(_SETS, b.column(0).slice(i, j - i), [raw[x:y] for x, y in zip([0, *stop.tolist()], stop.tolist(), strict=False)])
 
-    return docs.mapInArrow(run, "member long, grams binary")
+    return docs.mapInArrow(lean(run), "member long, grams binary")
 
 
 def possible(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -150,7 +150,7 @@ def possible(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             yield batch(schema, np.repeat(b.column(0).to_numpy(), n), raw.view(np.int64))
 
     sets = sets_of(docs, ids, words).join(ids.withColumnRenamed("rep", "member"), "member", "left_semi").distinct()
-    once = sets.mapInArrow(spread, "rep long, gram long").groupBy("gram").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1")
+    once = sets.mapInArrow(lean(spread), "rep long, gram long").groupBy("gram").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1")
     return once.groupBy("rep").agg(F.count("*").alias("alone"))
 
 
@@ -181,7 +181,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFr
                         out.append((leader, member))
             yield batch(_LINKS, [x for x, _ in out], [x for _, x in out])
 
-    return shipped.repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("member") != F.col("leader"), "member").mapInArrow(compare, "leader long, member long").distinct()
+    return shipped.repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("member") != F.col("leader"), "member").mapInArrow(lean(compare), "leader long, member long").distinct()
 
 
 def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -299,7 +299,7 @@ def compare_all(docs: DataFrame, rest: DataFrame, words: int, share: int) -> Dat
         if held and (out := links(held)):
             yield batch(schema, [x for x, _ in out], [x for _, x in out])
 
-    return work.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "member").mapInArrow(compare, "a long, b long")
+    return work.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "member").mapInArrow(lean(compare), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:

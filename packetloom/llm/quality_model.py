@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import bits_of, blocks, bloom, bytes_of, in_bloom, ship, table
+from .shared import bits_of, blocks, bloom, bytes_of, in_bloom, lean, ship, table
 
 ORDER, SYMBOLS, START = 5, 256, 2
 LOW, HIGH = 0.001, 0.995
@@ -72,7 +72,7 @@ def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(in_bloom(b, bits, shared.value))).select(range(b.num_columns - 2))
 
-    return docs.withColumns(bits_of(key)).mapInArrow(run, docs.schema).join(ids.toDF(key), key, "left_semi")
+    return docs.withColumns(bits_of(key)).mapInArrow(lean(run), docs.schema).join(ids.toDF(key), key, "left_semi")
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             k, c = total()
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["key", "c"])
 
-    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(lean(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 #: Discounts stay this far from 0 and from the count, so every probability is positive.
@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: list) -> DataFrame:
                     ll[i:j] += np.bincount(text, weights=log_probabilities(distinct, shared.value)[which], minlength=j - i)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ll)], schema=b.schema)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     size = F.octet_length("text")
     return docs.withColumn("perplexity", F.when(size > 0, F.exp(-F.col("_ll") / size)).otherwise(1.0)).drop("_ll")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import FIRST, word_bounds, word_hashes
-from .shared import blocks, bytes_of, ship, table
+from .shared import blocks, bytes_of, lean, ship, table
 
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 RISK, ERROR = 0.02, 0.05
@@ -95,7 +95,7 @@ def measures(docs: DataFrame) -> DataFrame:
                 m = measure(buf[lo:hi], ends[i:j] - lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(m[k]) for k in NAMES)], names=["doc_id", "lang", *NAMES])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{k} long" for k in NAMES))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(lean(run), "doc_id long, lang string, " + ", ".join(f"{k} long" for k in NAMES))
 
 
 def at_most(k: int, n: int, p: float) -> float:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .hashing import anchors, mix, word_bounds, word_hashes
-from .shared import batch, blocks, bytes_of, ids_of
+from .shared import batch, blocks, bytes_of, ids_of, lean
 
 RUNS = "anchor long, run long, doc_id long, first long, shape int"
 _RUNS = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("shape", pa.int32())])
@@ -51,7 +51,7 @@ def find_runs(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
             if found:
                 yield batch(_RUNS, *combine(*(np.concatenate(c) for c in zip(*found, strict=True))))
 
-    return docs.mapInArrow(scan, RUNS)
+    return docs.mapInArrow(lean(scan), RUNS)
 
 
 PLAIN, HEAD, LATER = 0, 1, 2
@@ -131,7 +131,7 @@ def compare_runs(runs: DataFrame, both: bool) -> DataFrame:
             held = [(*(x[i] for x in cols), told[:, i].copy()) for i in keep]
 
     order = ["anchor", "run", "doc_id", "first"]
-    return runs.repartition("anchor").sortWithinPartitions(*order).mapInArrow(stream, HITS)
+    return runs.repartition("anchor").sortWithinPartitions(*order).mapInArrow(lean(stream), HITS)
 
 
 def windows_of(shape):

@@ -58,6 +58,47 @@ def ship(spark: SparkSession) -> None:
     sc._packetloom = True
 
 
+#: What operators remember in a Python worker between tasks, by operator.
+MEMORIES: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    return MEMORIES.setdefault(owner, {})
+
+
+def lean(f, owner: str = ""):
+    """A mapInArrow function that gives memory back: workers live on for later tasks.
+
+    Before its work it forgets what other operators remembered, after it the
+    allocators return what they hold in reserve.
+    """
+
+    def run(batches):
+        from packetloom.llm import shared
+
+        for name, kept in shared.MEMORIES.items():
+            if name != owner:
+                kept.clear()
+        try:
+            yield from f(batches)
+        finally:
+            shared.release()
+
+    return run
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def documents(df: DataFrame) -> DataFrame:
     """The two columns the text operators need; all others stay behind."""
     ship(df.sparkSession)

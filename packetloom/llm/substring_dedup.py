@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .hashing import FIRST, SECOND, word_bounds, word_hashes
 from .runs import OPEN, RUNS, _RUNS, combine, compare_runs, covered, find_runs, ranges_of, spans_by_document, windows_of
-from .shared import NULL_ID, batch, documents, scratch, table
+from .shared import NULL_ID, batch, documents, lean, scratch, table
 
 WINDOW, GRAM, FANOUT = 35, 8, 4
 
@@ -122,9 +122,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fan
         hits = hits.union(h)
     by_id = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("binary").alias("bytes")).repartition("doc_id")
     asked = hits.where(F.col("kind") == OPEN).groupBy("doc_id").agg(F.collect_set(F.struct("first", "shape")).alias("asked"))
-    single = by_id.join(asked, "doc_id").select("doc_id", "bytes", "asked").mapInArrow(_windows(window), RUNS)
+    single = by_id.join(asked, "doc_id").select("doc_id", "bytes", "asked").mapInArrow(lean(_windows(window)), RUNS)
     ranges = ranges_of(hits.union(compare_runs(single, both=True)), window)
-    out = by_id.join(spans_by_document(ranges), "doc_id", "left").select("doc_id", "bytes", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept binary")
+    out = by_id.join(spans_by_document(ranges), "doc_id", "left").select("doc_id", "bytes", "spans").mapInArrow(lean(_remove), "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 

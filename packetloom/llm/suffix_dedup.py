@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .hashing import FIRST, SECOND
 from .runs import OPEN, PLACE, RUNS, _RUNS, combine, compare_runs, covered, find_runs, ranges_of, spans_by_document, windows_of
-from .shared import NULL_ID, batch, documents, table
+from .shared import NULL_ID, batch, documents, lean, table
 
 LENGTH, GRAM = 100, 32
 #: Bytes of bucket text that are sorted at a time.
@@ -275,14 +275,14 @@ def repeated_ranges(docs: DataFrame, by_id: DataFrame, length: int, gram: int, b
     """Byte ranges covered by ``length``-byte strings that start earlier too."""
     hits = table(compare_runs(find_runs(docs, length, gram, words=False), both=False), "runs")
     asked = hits.where(F.col("kind") == OPEN).groupBy("doc_id").agg(F.collect_list(F.struct("first", "shape")).alias("asked"))
-    buckets = table(by_id.join(asked, "doc_id").select("doc_id", "bytes", "asked").mapInArrow(_cut(length, gram), BUCKET), "buckets")
+    buckets = table(by_id.join(asked, "doc_id").select("doc_id", "bytes", "asked").mapInArrow(lean(_cut(length, gram)), BUCKET), "buckets")
     out = ranges_of(hits, length)
     hot = table(buckets.groupBy("bucket").count().where(F.col("count") > HOT).select("bucket"), "hot")  # at most one of each HOT rows
     if not hot.isEmpty():
-        single = buckets.join(hot, "bucket", "left_semi").select(*buckets.columns).mapInArrow(_single(length), RUNS)
+        single = buckets.join(hot, "bucket", "left_semi").select(*buckets.columns).mapInArrow(lean(_single(length)), RUNS)
         out = out.union(ranges_of(compare_runs(single, both=False), length))
         buckets = buckets.join(hot, "bucket", "left_anti").select(*buckets.columns)
-    return out.union(buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length, block), RANGE))
+    return out.union(buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_settle(length, block)), RANGE))
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept", pa.binary())])
@@ -306,7 +306,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
     docs = documents(docs)
     by_id = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("binary").alias("bytes")).repartition("doc_id")
     spans = spans_by_document(repeated_ranges(docs, by_id, length, gram, block))
-    out = by_id.join(spans, "doc_id", "left").select("doc_id", "bytes", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept binary")
+    out = by_id.join(spans, "doc_id", "left").select("doc_id", "bytes", "spans").mapInArrow(lean(_remove), "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 

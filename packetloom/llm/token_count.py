@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import batch, documents
+from .shared import batch, documents, lean, memory
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -97,7 +97,7 @@ class Counter:
         return total, unknown
 
 
-_COUNTERS: dict[str, Counter] = {}
+_COUNTERS = memory("counts")
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64())])
 
 
@@ -112,4 +112,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             found = [count(t.as_py()) for t in b.column(1)]
             yield batch(_RESULT, b.column(0), [x for x, _ in found], [x for _, x in found])
 
-    return documents(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_unknown long")
+    return documents(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run, "counts"), "doc_id long, n_tokens long, n_unknown long")

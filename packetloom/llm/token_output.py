@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .hashing import FIRST
-from .shared import NULL_ID, batch, blocks, bytes_of, documents, ids_of, scratch, table
+from .shared import NULL_ID, batch, blocks, bytes_of, documents, ids_of, lean, memory, scratch, table
 
 #: Pre-tokens of which the ids are kept (some 40 bytes each).
 REMEMBERED = 1_500_000
@@ -164,7 +164,7 @@ class Tokenizer:
         return out
 
 
-_TOKENIZERS: dict[str, Tokenizer] = {}
+_TOKENIZERS = memory("tokens")
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -228,7 +228,7 @@ def count_ids(encoded: DataFrame, size: int, dtype: str) -> DataFrame:
         seen = np.flatnonzero(total)
         yield batch(_COUNTS, seen.astype(np.int32), total[seen])
 
-    return encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(lean(run, "tokens"), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block: int = BLOCK) -> None:
@@ -247,7 +247,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
             for i, j, lo, hi in blocks(ends, STEP):
                 yield batch(schema, b.column(0).slice(i, j - i), [x + end for x in t.encode(buf[lo:hi], ends[i:j] - lo, dtype)])
 
-    encoded = table(documents(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(encode, "doc_id long, ids binary"), "ids")
+    encoded = table(documents(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(encode, "tokens"), "doc_id long, ids binary"), "ids")
     # At most one row for each entry of the vocabulary, whatever the corpus.
     counts = count_ids(encoded, size, dtype).toPandas().sort_values(["n", "id"], ascending=[False, True])
     rank = np.zeros(size, np.uint32)
@@ -289,8 +289,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
             yield close()
 
     n = spark.conf.get("spark.sql.shuffle.partitions")
-    small = encoded.mapInArrow(shrink, "doc_id long, n long, control binary, data binary")
-    small.repartitionByRange(int(n), "doc_id").sortWithinPartitions("doc_id", "data", "control").mapInArrow(fill, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    small = encoded.mapInArrow(lean(shrink, "tokens"), "doc_id long, n long, control binary, data binary")
+    small.repartitionByRange(int(n), "doc_id").sortWithinPartitions("doc_id", "data", "control").mapInArrow(lean(fill, "tokens"), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 _DOCS = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
@@ -318,7 +318,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         offsets.append((r["shard"], offset))
         offset += r["last"] + int(np.frombuffer(bytes(r["tail"]), "<i8").sum())
     before = spark.createDataFrame(offsets, "shard int, offset long")
-    out = blocks.mapInArrow(run, "shard int, doc_id long, start long, ids binary")
+    out = blocks.mapInArrow(lean(run, "tokens"), "shard int, doc_id long, start long, ids binary")
     return out.join(F.broadcast(before), "shard").select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), (F.col("start") + F.col("offset")).alias("start"), "ids")
 
 

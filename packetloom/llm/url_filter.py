@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import blocks, bytes_of, ship
+from .shared import blocks, bytes_of, lean, ship
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -119,7 +119,7 @@ def url_filter(pages: DataFrame, rules=RULES, false_rejects: float = FALSE_REJEC
             seen = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([verdict] * len(seen), pa.string()), pa.array(seen), pa.array(t[seen].astype(np.int64))], schema=counted)
 
-    rows = known.where("ruled is not null and not held").select("url", "ruled").mapInArrow(count, "ruled string, cell long, n long").groupBy("ruled", "cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = known.where("ruled is not null and not held").select("url", "ruled").mapInArrow(lean(count), "ruled string, cell long, n long").groupBy("ruled", "cell").agg(F.sum("n").alias("n")).toPandas()
     models = []
     for verdict in ("allow", "block"):
         c = np.zeros(CLASSES**ORDER)
@@ -141,7 +141,7 @@ def url_filter(pages: DataFrame, rules=RULES, false_rejects: float = FALSE_REJEC
                     out[i:j] = np.bincount(text, weights=ratio.value[cell], minlength=j - i) / np.maximum(np.bincount(text, minlength=j - i), 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "score"])
 
-    scored = known.mapInArrow(score, known.withColumn("score", F.lit(0.0)).schema)
+    scored = known.mapInArrow(lean(score), known.withColumn("score", F.lit(0.0)).schema)
     # Scores in steps of 1/1000 and between -20 and 20: a bounded number of rows.
     step = F.greatest(F.least(F.floor(F.col("score") * 1000), F.lit(20_000)), F.lit(-20_000))
     held = scored.where("held and ruled = 'allow'").groupBy(step.alias("step")).count().toPandas().sort_values("step")
