@@ -13,8 +13,8 @@ The text itself is not shuffled.
 Decision: a document's perplexity must lie between two quantiles of trusted
 documents of its language and size class that had no part in training (too
 high: garbled, too low: repetitive).  A class with few such documents takes its
-language's quantiles, a language with few their extremes with some slack, and
-one without any the extremes of all.
+language's quantiles, a language with few their maximum with some slack, and
+one without any the maximum of all.
 
 Cases: an empty or null text has perplexity 1 and is kept, as there is nothing
 to judge; a null lang is a language of its own; null and repeated doc_ids are
@@ -37,7 +37,7 @@ ORDER, SYMBOLS, START = 5, 256, 2
 LOW, HIGH = 0.001, 0.995
 #: One trusted document in so many (by the hash of its text) is held out of training for the quantiles.
 HELD_OUT = 4
-#: A stratum needs this many held-out documents for quantiles; with fewer it has their extremes times SLACK.
+#: A stratum needs this many held-out documents for quantiles; with fewer it has their maximum times SLACK.
 ENOUGH, SLACK = 400, 1.5
 #: Bytes of text that are worked on at a time.
 BYTES = 1 << 19
@@ -243,7 +243,7 @@ STEPS = 2000.0
 def _quantiles(scored: DataFrame, by: list[str], low: float, high: float, enough: float) -> DataFrame:
     """Least and greatest log perplexity to accept in each stratum, from counts per 1/2000.
 
-    A stratum of fewer than ``enough`` has its extremes, widened by SLACK.
+    A stratum of fewer than ``enough`` has its maximum, widened by SLACK, and no minimum.
     """
     # At most one row for each stratum and step.
     bins = scored.withColumn("bin", F.round(F.log("perplexity") * STEPS).cast("long")).groupBy(*by, "bin").count()
@@ -254,11 +254,10 @@ def _quantiles(scored: DataFrame, by: list[str], low: float, high: float, enough
         F.max("all").alias("trusted"),
         F.min(F.when(F.col("below") > F.floor(F.col("all") * low), F.col("bin"))).alias("l"),
         F.min(F.when(F.col("below") >= F.ceil(F.col("all") * high), F.col("bin"))).alias("h"),
-        F.min("bin").alias("first"),
         F.max("bin").alias("last"),
     )
     slack = int(math.log(SLACK) * STEPS)
-    return out.select(*by, "trusted", F.when(few, F.col("first") - slack).otherwise(F.col("l")).alias("low"), F.when(few, F.col("last") + slack).otherwise(F.col("h")).alias("high"))
+    return out.select(*by, "trusted", F.when(few, F.lit(0)).otherwise(F.col("l")).alias("low"), F.when(few, F.col("last") + slack).otherwise(F.col("h")).alias("high"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH) -> DataFrame:

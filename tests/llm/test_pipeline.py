@@ -44,7 +44,7 @@ def test_classifier_keeps_clean_documents(spark, steps):
     labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
     kept = {r["doc_id"] for r in steps[1]}
     clean = [i for i, x in labels.items() if x == (1, 0)]
-    assert sum(i in kept for i in clean) >= 0.97 * len(clean)
+    assert sum(i in kept for i in clean) >= 0.95 * len(clean)
     assert all(r in steps[0] for r in steps[1])
 
 
