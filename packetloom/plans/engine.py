@@ -9,15 +9,16 @@ from ..dissect.pointers import dissect
 from ..operators import attribution, events, filters, flows
 from ..operators.decode import decode_frames, device_first_seen, flow_id, number_packets
 from .config import Config
+from .stage import table
 
 
 def decoded_packets(frames: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
     """(all decoded frames, numbered packets after the filters)."""
     if c.packet_limit:
         frames = frames.where(F.col("frame_no") <= c.packet_limit)
-    decoded = decode_frames(frames)
+    decoded = table(decode_frames(frames).drop("frame"), "decoded")
     packets = number_packets(decoded).withColumn("payload_len", F.octet_length("payload"))
-    return decoded, filters.filter_packets(packets, c.filters)
+    return decoded, table(filters.filter_packets(packets, c.filters), "packets")
 
 
 def port_in(ports):
@@ -41,7 +42,7 @@ def run(frames: DataFrame, c: Config) -> DataFrame:
     base = ["packet_id", "timestamp_us", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "payload"]
     rows = packets.where("payload_len > 0").select(*base)
     if c.gates.dns:
-        dns = dissect(rows.where(port_in(c.dns_ports)), "dns")
+        dns = table(dissect(rows.where(port_in(c.dns_ports)), "dns").drop("payload"), "dns")
         counted = attribution.as_of(counted.withColumn("ip", F.col("dst_ip")), bindings(dns)).drop("ip")
         if c.domain_filter:
             counted = filters.filter_domain(counted, c.domain_filter)
@@ -72,4 +73,7 @@ def run(frames: DataFrame, c: Config) -> DataFrame:
     if c.gates.mdns:
         mdns = dissect(rows.where((F.col("protocol") == "UDP") & port_in((5353,))), "dns").withColumnRenamed("dns", "mdns")
         parts.append(events.event(mdns.where("mdns.query_name is not null"), "mdns.record", "mDNS", events.ORDINALS["mdns.record"], flow_id(), query_name="mdns.query_name", is_response="mdns.is_response", record_type="mdns.record_type", src_ip="src_ip"))
-    return events.ordered(*parts)
+    stream = parts[0]
+    for p in parts[1:]:
+        stream = stream.unionByName(p)
+    return events.ordered(table(stream, "events"))
