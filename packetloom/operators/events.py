@@ -73,7 +73,13 @@ def session_header(spark: SparkSession, config_sha256: str, source: str, mode: s
     return df.select(F.lit(0).cast("long").alias("event_id"), F.to_json(F.struct(*sorted(row))).alias("line"))
 
 
-def write_ndjson(lines: DataFrame, path: str, one_file: bool = False) -> None:
+def syslog(lines: DataFrame, host: str, app: str = "packetloom") -> DataFrame:
+    """event_id, line as RFC 5424 messages of at most 1400 bytes, for a foreachBatch sender."""
+    text = F.concat(F.lit(f"<134>1 - {host} {app} - - - "), "line")
+    return lines.select("event_id", F.when(F.octet_length(text) <= 1400, text).otherwise(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, 1400).cast("string"))).alias("line"))
+
+
+def write_ndjson(lines: DataFrame, path: str, one_file: bool = False, lines_per_file: int = 5_000_000) -> None:
     """Text files that, read in name order, hold the lines by event_id."""
     out = lines.coalesce(1).sortWithinPartitions("event_id") if one_file else lines.repartitionByRange("event_id").sortWithinPartitions("event_id")
-    out.select("line").write.text(path)
+    out.select("line").write.option("maxRecordsPerFile", lines_per_file).text(path)

@@ -98,6 +98,19 @@ def from_binary(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def tail(spark: SparkSession, folder: str, pattern: str = "*.pcap", files_per_trigger: int = 10) -> DataFrame:
+    """Packets of a folder of rotating captures as a stream; files must be moved in when complete."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    return from_binary(files)
+
+
+def sha256(spark: SparkSession, path: str) -> DataFrame:
+    """path, sha256 of capture files."""
+    from pyspark.sql import functions as F
+
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def write_pcap(frames: DataFrame, path: str, snaplen: int = 262_144) -> None:
     """One classic capture file from frames in frame_no order (small captures and tests: rows pass through the driver)."""
     with open(path, "wb") as f:

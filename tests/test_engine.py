@@ -72,6 +72,25 @@ def test_pcap_source(spark, tmp_path):
     assert {r["error"] for r in rows} == {None, "packet data incomplete", "not a capture file"}
 
 
+def test_rotating_captures_as_a_stream(spark, tmp_path):
+    frames = encode_frames(load_packets(spark, DIR).where("packet_id <= 40"))
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        pcap.write_pcap(frames.where(f"frame_no % 3 = {i}"), str(tmp_path / f"in/{i}.pcap"))
+    q = pcap.tail(spark, str(tmp_path / "in"), files_per_trigger=1).writeStream.format("memory").queryName("tailed").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(bytes(r["frame"]) for r in spark.sql("select * from tailed").collect())
+    assert got == sorted(bytes(r["frame"]) for r in frames.collect())
+    assert pcap.sha256(spark, str(tmp_path / "in/0.pcap")).count() == 1
+
+
+def test_syslog_lines(spark):
+    lines = spark.createDataFrame([(1, "{}"), (2, "é" * 2000)], "event_id long, line string")
+    got = {r["event_id"]: r["line"] for r in events.syslog(lines, "h").collect()}
+    assert got[1] == "<134>1 - h packetloom - - - {}" and len(got[2].encode()) <= 1403
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=300), st.sampled_from(sorted(pointers.DISSECTORS)))
 def test_any_bytes_are_dissected_or_refused(data, name):
