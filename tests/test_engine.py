@@ -109,6 +109,9 @@ def test_any_frames_decode(spark):
     df = spark.createDataFrame(rows, "frame_no long, timestamp_us long, wire_len int, frame binary")
     got = decode.decode_frames(df).collect()
     assert len(got) == 600
+    assert decode.decode_frames(df, native=True).columns == decode.decode_frames(df).columns
+    native = {r["frame_no"]: r for r in decode.decode_frames(df, native=True).collect()}
+    assert all(native[r["frame_no"]] == r for r in got), [(native[r["frame_no"]], r) for r in got if native[r["frame_no"]] != r][:2]
     assert all((x["protocol"] is None) or (x["error"] is None and x["src_ip"]) for x in got)
 
 
