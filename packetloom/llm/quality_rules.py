@@ -5,11 +5,13 @@ as symbols per word) exceeds a cutoff; the cutoffs are learned per stratum (the
 language) from labelled holdout documents.  A cutoff is admitted only if an
 exact binomial test shows that it rejects fewer than ``risk`` / rules of the
 clean documents of the stratum: P(X <= rejected | n, risk / rules) must be at
-most ``error`` divided by the number of all tests made (strata x rules x
-cutoffs).  So with probability 1 - error no stratum loses more than ``risk`` of
-its clean documents, whatever the number of cutoffs tried.  Each rule takes the
-strictest admitted cutoff; a stratum with too few labels to prove one keeps all
-that pass the base rules.
+most ``error`` / (strata x rules).  The cutoffs of a rule are tested in a fixed
+order, the least strict first, and the first that fails ends the sequence, which
+needs no further correction; strata and rules share the error by Bonferroni.
+So with probability 1 - error no stratum loses more than ``risk`` of its clean
+documents, whatever the number of cutoffs tried.  Each rule takes the strictest
+admitted cutoff; a stratum with too few labels to prove one keeps all that pass
+the base rules.
 
 Cases: a null or empty text has no words and fails the base rules; a null lang
 is a stratum; rows are independent, repeated rows and null ids pass through.
@@ -114,7 +116,7 @@ def choose(found: list[tuple[str, str, int, int]], risk: float = RISK, error: fl
     ``found``: stratum, rule, number of the rule's cutoffs exceeded, clean documents.
     """
     strata = {s for s, *_ in found}
-    tests = max(1, len(strata) * sum(len(c) for _, c in RULES.values()))
+    tests = max(1, len(strata) * len(RULES))
     out = {}
     for s in strata:
         for rule, (_, cutoffs) in RULES.items():
@@ -125,8 +127,9 @@ def choose(found: list[tuple[str, str, int, int]], risk: float = RISK, error: fl
             total = sum(exceeded)
             for i, cutoff in enumerate(cutoffs):
                 rejected = sum(exceeded[len(cutoffs) - i :])
-                if rejected < total * risk and at_most(rejected, total, risk / len(RULES)) <= error / tests:
-                    out[s, rule] = cutoff
+                if rejected >= total * risk / len(RULES) or at_most(rejected, total, risk / len(RULES)) > error / tests:
+                    break
+                out[s, rule] = cutoff
     return out
 
 
