@@ -72,7 +72,7 @@ def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(in_bloom(b, bits, shared.value))).select(range(b.num_columns - 2))
 
-    return docs.withColumns(bits_of(key)).mapInArrow(lean(run), docs.schema).join(ids.toDF(key), key, "left_semi")
+    return docs.withColumns(bits_of(key)).mapInArrow(lean(run), docs.schema).join(ids.toDF(key).hint("merge"), key, "left_semi")
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
