@@ -98,6 +98,19 @@ def from_binary(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def numbered(packets: DataFrame) -> DataFrame:
+    """Packets of several files with frame_no counted on from file to file, in order of the names."""
+    from pyspark.sql import functions as F
+
+    sizes = packets.groupBy("file").agg(F.max("frame_no").alias("n")).orderBy("file").collect()  # one row for each file
+    before, rows = 0, []
+    for r in sizes:
+        rows.append((r["file"], before))
+        before += r["n"]
+    offsets = packets.sparkSession.createDataFrame(rows, "file string, _before long")
+    return packets.join(offsets, "file").withColumn("frame_no", F.col("frame_no") + F.col("_before")).drop("_before").select(*packets.columns)
+
+
 def tail(spark: SparkSession, folder: str, pattern: str = "*.pcap", files_per_trigger: int = 10) -> DataFrame:
     """Packets of a folder of rotating captures as a stream; files must be moved in when complete."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder)

@@ -64,6 +64,10 @@ def test_pcap_source(spark, tmp_path):
     assert sorted((r["frame_no"], r["timestamp_us"], bytes(r["frame"])) for r in got.collect()) == want
     with open(path, "rb") as f:
         data = f.read()
+    (tmp_path / "d.pcap").write_bytes(data)
+    two = pcap.numbered(spark.read.format("pcap").load(str(tmp_path / "[ad].pcap")))
+    assert sorted(r["frame_no"] for r in two.collect()) == list(range(1, 101))
+    (tmp_path / "d.pcap").unlink()
     (tmp_path / "b.pcap").write_bytes(data[:-5])
     (tmp_path / "c.pcap").write_bytes(b"nonsense")
     files = spark.read.format("binaryFile").load(str(tmp_path / "*.pcap"))
@@ -193,3 +197,19 @@ def test_short_payloads_give_errors(spark, data):
     assert pointers.dissect(df, "dns").first()["dns"]["error"]
     tls = pointers.dissect(df, "tls").first()["tls"]
     assert tls["error"] if len(data) < 5 else tls is None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from packetloom.__main__ import main
+
+    path = str(tmp_path / "a.pcap")
+    pcap.write_pcap(encode_frames(load_packets(spark, DIR).where("packet_id <= 60")), path)
+    assert main(["--dry-run", "--mode", "light", "--port", "53"]) == 0
+    assert "sha256" in capsys.readouterr().out
+    assert main(["--port", "70000"]) == 1
+    assert main(["--pcap", path]) == 1
+    assert main(["--pcap", path, "--output", str(tmp_path / "out"), "--mode", "replay", "--one-file", "--flows-csv", str(tmp_path / "flows")]) == 0
+    rows = [json.loads(x) for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    assert rows[0]["record_type"] == "session_header" and [r["event_id"] for r in rows[1:]] == list(range(1, len(rows)))
+    assert list((tmp_path / "flows").glob("part-*"))
+    assert main(["--pcap", path, "--check-determinism", "--mode", "replay"]) == 0
