@@ -12,7 +12,9 @@ The text itself is not shuffled.
 
 Decision: a document's perplexity must lie between two quantiles of trusted
 documents of its language and size class that had no part in training (too
-high: garbled, too low: repetitive).  A class with few such documents takes its
+high: garbled, too low: repetitive).  That of its worst stretch, the five bytes in a
+row of least probability, must not exceed the upper quantile either: a few words that
+trusted text does not have vanish in the mean of a long document.  A class with few such documents takes its
 language's quantiles, a language with few their maximum with some slack, and
 one without any the maximum of all.
 
@@ -39,6 +41,8 @@ LOW, HIGH = 0.001, 0.995
 HELD_OUT = 4
 #: A stratum needs this many held-out documents for quantiles; with fewer it has their maximum times SLACK.
 ENOUGH, SLACK = 400, 1.5
+#: Steps per nat of a byte's -log p in the search for the worst stretch (one byte each, so at most 25.5).
+GRAIN = 10.0
 #: Bytes of text that are worked on at a time.
 BYTES = 1 << 19
 #: Rows of a model shard (12 bytes each).
@@ -210,43 +214,71 @@ def log_probabilities(keys: np.ndarray, shard) -> np.ndarray:
     return out
 
 
+def worst_stretches(steps: np.ndarray, ends: np.ndarray, length: int = ORDER) -> np.ndarray:
+    """The greatest sum of ``length`` values in a row of each text; a shorter text is one stretch."""
+    size = np.diff(np.concatenate([[0], ends]))
+    total = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+    at = np.arange(1, len(steps) + 1)
+    sums = total[at] - total[np.maximum(at - length, np.repeat(ends - size, size))]
+    out = np.zeros(len(ends), np.int64)
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.maximum.reduceat(sums, (ends - size)[some])
+    return out
+
+
 def score(docs: DataFrame, model: list) -> DataFrame:
-    """docs with ``perplexity``; every other column is passed through.  ``model``: broadcast shards."""
-    docs = docs.drop("perplexity").withColumn("_ll", F.lit(0.0))
+    """docs with ``perplexity`` and ``_worst`` (that of the worst stretch); every other column is passed through.
+
+    ``model``: broadcast shards.  Between them a byte of ``_steps`` for each byte
+    of text goes along, as a stretch has bytes of several shards.
+    """
+    docs = docs.drop("perplexity", "_worst").withColumns({"_ll": F.lit(0.0), "_worst": F.lit(0).cast("long"), "_steps": F.lit(b"")})
     place = docs.columns.index("text")
-    for shared in model:
+    for number, shared in enumerate(model):
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, first=number == 0, last=number == len(model) - 1):
             serves = shared.value[0]
             for b in batches:
                 buf, ends = bytes_of(b.column(place))
-                ll = b.column(b.num_columns - 1).to_numpy().copy()
+                ll = b.column(b.num_columns - 3).to_numpy().copy()
+                steps = np.zeros(len(buf), np.uint8) if first else bytes_of(b.column(b.num_columns - 1))[0].copy()
                 for i, j, lo, hi in blocks(ends, BYTES):
                     if hi == lo:
                         continue
                     keys, text = ngrams(buf[lo:hi], ends[i:j] - lo)
+                    mine = slice(None)
                     if not serves.all():
                         mine = serves[(keys >> _U(8)).astype(np.uint8)]
                         keys, text = keys[mine], text[mine]
                     distinct, which = np.unique(keys.view(np.int64), return_inverse=True)
-                    ll[i:j] += np.bincount(text, weights=log_probabilities(distinct, shared.value)[which], minlength=j - i)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ll)], schema=b.schema)
+                    logs = log_probabilities(distinct, shared.value)
+                    ll[i:j] += np.bincount(text, weights=logs[which], minlength=j - i)
+                    steps[lo:hi][mine] = np.clip(np.rint(-logs * GRAIN), 0, 255).astype(np.uint8)[which]
+                if last:
+                    worst, kept = worst_stretches(steps, ends), pa.array([b""] * b.num_rows, pa.binary())
+                else:
+                    offsets = np.concatenate([[0], ends]).astype(np.int32)
+                    worst, kept = np.zeros(b.num_rows, np.int64), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(steps)])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(ll), pa.array(worst), kept], schema=b.schema)
 
         docs = docs.mapInArrow(lean(run), docs.schema)
     size = F.octet_length("text")
-    return docs.withColumn("perplexity", F.when(size > 0, F.exp(-F.col("_ll") / size)).otherwise(1.0)).drop("_ll")
+    stretch = F.least(size, F.lit(ORDER))
+    perplexity = {"perplexity": F.when(size > 0, F.exp(-F.col("_ll") / size)).otherwise(1.0), "_worst": F.when(size > 0, F.exp(F.col("_worst") / GRAIN / stretch)).otherwise(1.0)}
+    return docs.withColumns(perplexity).drop("_ll", "_steps")
 
 
 STEPS = 2000.0
 
 
-def _quantiles(scored: DataFrame, by: list[str], low: float, high: float, enough: float) -> DataFrame:
-    """Least and greatest log perplexity to accept in each stratum, from counts per 1/2000.
+def _quantiles(scored: DataFrame, by: list[str], low: float, high: float, enough: float, of: str = "perplexity") -> DataFrame:
+    """Least and greatest log of column ``of`` to accept in each stratum, from counts per 1/2000.
 
     A stratum of fewer than ``enough`` has its maximum, widened by SLACK, and no minimum.
     """
     # At most one row for each stratum and step.
-    bins = scored.withColumn("bin", F.round(F.log("perplexity") * STEPS).cast("long")).groupBy(*by, "bin").count()
+    bins = scored.withColumn("bin", F.round(F.log(of) * STEPS).cast("long")).groupBy(*by, "bin").count()
     up, all_ = Window.partitionBy(*by).orderBy("bin"), Window.partitionBy(*by)
     run = bins.select(*by, "bin", F.sum("count").over(up).alias("below"), F.sum("count").over(all_).alias("all"))
     few = F.col("trusted") < F.lit(float(enough))
@@ -271,16 +303,19 @@ def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
     model = shards(train(trusted.where(~held)))
     strata = lambda df: df.withColumns({"_lang": F.coalesce("lang", F.lit("")), "_size": F.least(F.floor(F.log2(F.greatest(F.octet_length("text"), F.lit(1)))), F.lit(14)).cast("int")})
-    known = table(strata(score(trusted.where(held), model).where("octet_length(text) > 0")).select("_lang", "_size", "perplexity"), "known")
-    fine = _quantiles(known, ["_lang", "_size"], low, high, enough).where(F.col("trusted") >= enough)
-    coarse = _quantiles(known, ["_lang"], low, high, enough)
-    every = _quantiles(known.withColumn("_all", F.lit(1)), ["_all"], 0, 1, math.inf).first()
+    known = table(strata(score(trusted.where(held), model).where("octet_length(text) > 0")).select("_lang", "_size", "perplexity", "_worst"), "known")
     out = strata(score(docs, model))
-    # One row for each language (and size class): a few dozen.
-    for name, t, by in (("f", fine, ["_lang", "_size"]), ("c", coarse, ["_lang"])):
-        t = table(t.select(*by, F.col("low").alias(f"_{name}low"), F.col("high").alias(f"_{name}high")), "limits")
-        out = out.join(t, by, "left")
-    low_, high_ = (F.coalesce(f"_f{x}", f"_c{x}", F.lit(every[x] if every else None).cast("long")) for x in ("low", "high"))
-    bin_ = F.round(F.log("perplexity") * STEPS).cast("long")
-    ok = (F.octet_length("text") <= 0) | F.col("text").isNull() | F.coalesce(bin_.between(low_, high_), F.lit(True))
+    ok = F.lit(True)
+    for of in ("perplexity", "_worst"):
+        fine = _quantiles(known, ["_lang", "_size"], low, high, enough, of).where(F.col("trusted") >= enough)
+        coarse = _quantiles(known, ["_lang"], low, high, enough, of)
+        every = _quantiles(known.withColumn("_all", F.lit(1)), ["_all"], 0, 1, math.inf, of).first()
+        # One row for each language (and size class): a few dozen.
+        for name, t, by in (("f", fine, ["_lang", "_size"]), ("c", coarse, ["_lang"])):
+            t = table(t.select(*by, F.col("low").alias(f"_{name}low{of}"), F.col("high").alias(f"_{name}high{of}")), "limits")
+            out = out.join(t, by, "left")
+        low_, high_ = (F.coalesce(f"_f{x}{of}", f"_c{x}{of}", F.lit(every[x] if every else None).cast("long")) for x in ("low", "high"))
+        bin_ = F.round(F.log(of) * STEPS).cast("long")
+        ok = ok & F.coalesce((bin_ <= high_) if of == "_worst" else bin_.between(low_, high_), F.lit(True))
+    ok = (F.octet_length("text") <= 0) | F.col("text").isNull() | ok
     return out.withColumn("accepted", ok).select(*docs.columns, "perplexity", "accepted")
