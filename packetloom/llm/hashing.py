@@ -98,17 +98,30 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
     return FIRST.slices(FIRST.prefix(buf), start, end)
 
 
+#: Low bits of a hash that give way to its position.
+PLACE_BITS = 24
+
+
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost minimum of each window of w values (len(h) < 2**24)."""
-    n = len(h) - w + 1
+    """Position of the leftmost minimum of each window of w values.
+
+    Longer inputs are read in slices that overlap by w - 1, as a position has PLACE_BITS bits.
+    """
+    n, most = len(h) - w + 1, 1 << PLACE_BITS
     if n <= 0:
         return np.zeros(0, np.int64)
-    keyed = (h & _U(_MASK ^ 0xFFFFFF)) | np.arange(len(h), dtype=_U)
+    if w > most:
+        raise ValueError(f"a window of {w} values has no room in {PLACE_BITS} bits")
+    if len(h) > most:
+        step = most - w + 1
+        return np.concatenate([sliding_argmin(h[i : i + most], w) + i for i in range(0, n, step)])
+    low = _U(most - 1)
+    keyed = (h & ~low) | np.arange(len(h), dtype=_U)
     pad = -len(h) % w
     blocks = np.concatenate([keyed, np.full(pad, _MASK, _U)]).reshape(-1, w)
     right = np.minimum.accumulate(blocks, axis=1).ravel()
     left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(left[:n], right[w - 1 : w - 1 + n]) & _U(0xFFFFFF)).astype(np.int64)
+    return (np.minimum(left[:n], right[w - 1 : w - 1 + n]) & low).astype(np.int64)
 
 
 def anchors(symbols: np.ndarray, ends: np.ndarray, length: int, k: int):
