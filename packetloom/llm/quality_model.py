@@ -10,13 +10,18 @@ look-ups of one occurrence share; every shard is small enough to be sent to the
 executors, where each block of documents joins its distinct n-grams with it.
 The text itself is not shuffled.
 
-Decision: a document's perplexity must lie between two quantiles of trusted
-documents of its language and size class that had no part in training (too
-high: garbled, too low: repetitive).  That of its worst stretch, the five bytes in a
-row of least probability, must not exceed the upper quantile either: a few words that
-trusted text does not have vanish in the mean of a long document.  A class with few such documents takes its
-language's quantiles, a language with few their maximum with some slack, and
-one without any the maximum of all.
+Decision: a document's perplexity must not exceed a quantile of trusted documents
+of its language and size class that had no part in training (garbled), and that
+of its worst stretch, the five bytes in a row of least probability, must not
+either: a few words that trusted text does not have vanish in the mean of a long
+document.  Nor may its perplexity fall below a quantile of all trusted documents
+(repetitive), those of training included, as what the model has seen and copies
+of it are no surprise to it.
+One rule holds at all sizes: a language's quantiles are those of its own
+documents and of PRIOR further ones that are distributed as all languages
+together, each around its own median; a size class has its own and PRIOR ones of
+its language.  So many documents speak for themselves, few lean on the rest.
+A language without any takes the quantiles of all documents as they are.
 
 Cases: an empty or null text has perplexity 1 and is kept, as there is nothing
 to judge; a null lang is a language of its own; null and repeated doc_ids are
@@ -31,7 +36,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .shared import bits_of, blocks, bloom, bytes_of, in_bloom, lean, ship, table
 
@@ -39,8 +44,8 @@ ORDER, SYMBOLS, START = 5, 256, 2
 LOW, HIGH = 0.001, 0.995
 #: One trusted document in so many (by the hash of its text) is held out of training for the quantiles.
 HELD_OUT = 4
-#: A stratum needs this many held-out documents for quantiles; with fewer it has their maximum times SLACK.
-ENOUGH, SLACK = 400, 1.5
+#: The wider distribution counts as so many documents of a stratum: of so many the upper quantile leaves out one.
+PRIOR = 200
 #: Steps per nat of a byte's -log p in the search for the worst stretch (one byte each, so at most 25.5).
 GRAIN = 10.0
 #: Bytes of text that are worked on at a time.
@@ -272,27 +277,46 @@ def score(docs: DataFrame, model: list) -> DataFrame:
 STEPS = 2000.0
 
 
-def _quantiles(scored: DataFrame, by: list[str], low: float, high: float, enough: float, of: str = "perplexity") -> DataFrame:
-    """Least and greatest log of column ``of`` to accept in each stratum, from counts per 1/2000.
+def weighted_quantile(bins: np.ndarray, weights: np.ndarray, share: float) -> int:
+    """The least bin that reaches the share of the weight."""
+    order = np.argsort(bins, kind="stable")
+    run = np.cumsum(weights[order])
+    return int(bins[order][min(np.searchsorted(run, share * run[-1] * (1 - 1e-12)), len(bins) - 1)])
 
-    A stratum of fewer than ``enough`` has its maximum, widened by SLACK, and no minimum.
-    """
+
+LIMITS = "_lang string, _size int, bin long"
+
+
+def limits(scored: DataFrame, of: str, share: float, prior: float = PRIOR) -> tuple[DataFrame, int | None]:
+    """Quantile of the log of column ``of`` (in 1/2000) for each language (_size -1) and size class; that of all documents."""
     # At most one row for each stratum and step.
-    bins = scored.withColumn("bin", F.round(F.log(of) * STEPS).cast("long")).groupBy(*by, "bin").count()
-    up, all_ = Window.partitionBy(*by).orderBy("bin"), Window.partitionBy(*by)
-    run = bins.select(*by, "bin", F.sum("count").over(up).alias("below"), F.sum("count").over(all_).alias("all"))
-    few = F.col("trusted") < F.lit(float(enough))
-    out = run.groupBy(*by).agg(
-        F.max("all").alias("trusted"),
-        F.min(F.when(F.col("below") > F.floor(F.col("all") * low), F.col("bin"))).alias("l"),
-        F.min(F.when(F.col("below") >= F.ceil(F.col("all") * high), F.col("bin"))).alias("h"),
-        F.max("bin").alias("last"),
-    )
-    slack = int(math.log(SLACK) * STEPS)
-    return out.select(*by, "trusted", F.when(few, F.lit(0)).otherwise(F.col("l")).alias("low"), F.when(few, F.col("last") + slack).otherwise(F.col("h")).alias("high"))
-
-
-def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH) -> DataFrame:
+    bins = table(scored.withColumn("bin", F.round(F.log(of) * STEPS).cast("long")).groupBy("_lang", "_size", "bin").count(), "bins")
+    middle = bins.groupBy("_lang").agg(F.expr("cast(percentile(bin, 0.5, count) as long)").alias("middle"))
+    bins = table(bins.join(middle, "_lang"), "bins")
+    # One row for each step.
+    whole = bins.groupBy("bin").agg(F.sum("count").alias("count")).orderBy("bin").toPandas()
+    if not len(whole):
+        return scored.sparkSession.createDataFrame([], LIMITS), None
+    around = bins.groupBy((F.col("bin") - F.col("middle")).alias("bin")).agg(F.sum("count").alias("count")).orderBy("bin").toPandas()
+    shape, part = around["bin"].to_numpy(), around["count"].to_numpy(np.float64)
+    part *= prior / part.sum()
+
+    def of_language(rows):
+        import pandas as pd
+
+        b, n = rows["bin"].to_numpy(), rows["count"].to_numpy(np.float64)
+        all_, weight = np.concatenate([b, shape + rows["middle"].iloc[0]]), np.concatenate([n, part])
+        out = [(-1, weighted_quantile(all_, weight, share))]
+        for size in sorted(set(rows["_size"])):
+            mine = (rows["_size"] == size).to_numpy()
+            out.append((size, weighted_quantile(np.concatenate([b[mine], all_]), np.concatenate([n[mine], weight * (prior / weight.sum())]), share)))
+        return pd.DataFrame([(rows["_lang"].iloc[0], *x) for x in out], columns=["_lang", "_size", "bin"])
+
+    every = weighted_quantile(whole["bin"].to_numpy(), whole["count"].to_numpy(np.float64), share)
+    return table(bins.groupBy("_lang").applyInPandas(of_language, LIMITS), "limits"), every
+
+
+def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, prior: float = PRIOR) -> DataFrame:
     """docs with ``perplexity`` and ``accepted``."""
     ship(docs.sparkSession)
     docs = docs.drop("perplexity", "accepted")
@@ -303,19 +327,16 @@ def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
     model = shards(train(trusted.where(~held)))
     strata = lambda df: df.withColumns({"_lang": F.coalesce("lang", F.lit("")), "_size": F.least(F.floor(F.log2(F.greatest(F.octet_length("text"), F.lit(1)))), F.lit(14)).cast("int")})
-    known = table(strata(score(trusted.where(held), model).where("octet_length(text) > 0")).select("_lang", "_size", "perplexity", "_worst"), "known")
+    known = table(strata(score(trusted.withColumn("_held", held), model).where("octet_length(text) > 0")).select("_lang", "_size", "_held", "perplexity", "_worst"), "known")
     out = strata(score(docs, model))
     ok = F.lit(True)
-    for of in ("perplexity", "_worst"):
-        fine = _quantiles(known, ["_lang", "_size"], low, high, enough, of).where(F.col("trusted") >= enough)
-        coarse = _quantiles(known, ["_lang"], low, high, enough, of)
-        every = _quantiles(known.withColumn("_all", F.lit(1)), ["_all"], 0, 1, math.inf, of).first()
+    for k, (of, sample, share) in enumerate((("perplexity", known, low), ("perplexity", known.where("_held"), high), ("_worst", known.where("_held"), high))):
+        t, every = limits(sample, of, share, prior)
         # One row for each language (and size class): a few dozen.
-        for name, t, by in (("f", fine, ["_lang", "_size"]), ("c", coarse, ["_lang"])):
-            t = table(t.select(*by, F.col("low").alias(f"_{name}low{of}"), F.col("high").alias(f"_{name}high{of}")), "limits")
-            out = out.join(t, by, "left")
-        low_, high_ = (F.coalesce(f"_f{x}{of}", f"_c{x}{of}", F.lit(every[x] if every else None).cast("long")) for x in ("low", "high"))
+        out = out.join(t.where("_size >= 0").select("_lang", "_size", F.col("bin").alias(f"_fine{k}")), ["_lang", "_size"], "left")
+        out = out.join(t.where("_size < 0").select("_lang", F.col("bin").alias(f"_coarse{k}")), "_lang", "left")
+        limit = F.coalesce(f"_fine{k}", f"_coarse{k}", F.lit(every).cast("long"))
         bin_ = F.round(F.log(of) * STEPS).cast("long")
-        ok = ok & F.coalesce((bin_ <= high_) if of == "_worst" else bin_.between(low_, high_), F.lit(True))
+        ok = ok & F.coalesce(bin_ >= limit if k == 0 else bin_ <= limit, F.lit(True))
     ok = (F.octet_length("text") <= 0) | F.col("text").isNull() | ok
     return out.withColumn("accepted", ok).select(*docs.columns, "perplexity", "accepted")

@@ -44,3 +44,28 @@ def test_few_foreign_words_in_a_long_document_reject_it(spark):
     ok = {x["doc_id"]: x["accepted"] for x in out.collect()}
     assert sum(not ok[i] for i in range(0, 2000, 10)) >= 0.95 * 200
     assert sum(ok[i] for i in range(2000) if i % 10) >= 0.98 * 1800
+
+
+def test_an_outlier_does_not_set_the_limit_of_a_small_language(spark):
+    r = random.Random(9)
+    word = lambda parts: "".join(r.choices(parts, k=r.randrange(1, 4)))
+    text = lambda parts, odd=0.0: " ".join(word(parts) + "$%" * (r.random() < odd) for _ in range(80))
+    large, small = ["th", "er", "an", "in", "on"], ["sch", "ung", "eit", "ver", "ich"]
+    rows = [(i, text(large), "en", 1) for i in range(1500)] + [(2000 + i, text(small), "de", 1) for i in range(150)]
+    rows += [(3000 + i, text(small, 0.5), "de", 0) for i in range(40)]
+    # A trusted document of junk, held out by its hash.
+    junk = spark.createDataFrame([(" ".join("".join(r.choices("#*@^~0123456789", k=6)) for _ in range(60)),) for _ in range(40)], "text string")
+    rows.append((4000, junk.where(f"pmod(xxhash64(text), {quality_model.HELD_OUT}) = 0").first()[0], "de", 1))
+    docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
+    out = quality_model.quality(docs, spark.createDataFrame([(x[0], x[3], 0) for x in rows], "doc_id long, quality int, toxic int"))
+    ok = {x["doc_id"]: x["accepted"] for x in out.collect()}
+    assert sum(not ok[3000 + i] for i in range(40)) >= 36
+    assert sum(ok[2000 + i] for i in range(150)) >= 0.97 * 150
+    assert sum(ok[i] for i in range(1500)) >= 0.98 * 1500
+
+
+def test_clean_documents_of_all_languages_are_kept(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    out = quality_model.quality(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), labels)
+    clean = [x["accepted"] for x in out.join(labels.where("quality = 1 and toxic = 0"), "doc_id").collect()]
+    assert sum(clean) >= 0.97 * len(clean)
