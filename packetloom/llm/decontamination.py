@@ -10,6 +10,8 @@ least few.  If the stretch has at least 80 percent of the item's shingles, a has
 of the item is missing from the stretch's sketch with a probability below 2**-q
 for q shingles found, and one common hash makes a candidate.  Candidates are
 confirmed by the exact containment of the item's shingles in the whole document.
+The smallest class has so few hashes to be found by that documents keep all of
+theirs for it, so its items are found surely.
 
 Only DataFrame operations are used.  The items' sketches are broadcast if their
 number is below a bound and joined by shuffle otherwise; documents are not
@@ -69,7 +71,7 @@ def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, share: int
         mine = items.where((F.col("n_item") > low) & (F.col("n_item") <= bound)).select("item_id", F.explode(F.slice(F.sort_array("item"), 1, SKETCH)).alias("hash"))
         if mine.count() <= BROADCAST_ROWS:
             mine = F.broadcast(mine)
-        hashes = with_shingles(docs, "text", words).select("doc_id", F.explode(stretches("shingles", bound)).alias("hash"))
+        hashes = with_shingles(docs, "text", words).select("doc_id", F.explode(F.array_distinct("shingles") if c == 2 else stretches("shingles", bound)).alias("hash"))
         pairs = hashes.join(mine, "hash").select("doc_id", "item_id").distinct()
         found = pairs if found is None else found.union(pairs)
     if found is None:
