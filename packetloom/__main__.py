@@ -77,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
         events.write_ndjson(head.union(events.ndjson(engine.run(frames, c))), a.output, a.one_file)
     if a.flows_csv:
         packets = engine.decoded_packets(frames, c)[1]
-        flows.summaries(flows.sessions_by_gap(flows.with_flow_key(packets.where("src_ip not like '%:%'")), c.idle_us)).write.option("header", True).csv(a.flows_csv)
+        flows.summaries(flows.sessions_by_gap(flows.with_flow_key(packets), c.idle_us)).write.option("header", True).csv(a.flows_csv)
     return 0
 
 

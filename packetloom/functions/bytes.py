@@ -76,3 +76,16 @@ def ipv4_key(ip) -> Column:
 
 def ipv6_key(data, offset) -> Column:
     return F.concat(raw("06"), slice_(data, offset, 16))
+
+
+def ip_key(ip) -> Column:
+    """Sort key of an address text of either family, as ipv4_key and ipv6_key give it."""
+    six = F.contains(ip, F.lit(":"))
+    part = lambda i: F.regexp_extract(ip, r"(\d+)\.(\d+)\.(\d+)\.(\d+)$", i).try_cast("long")
+    dotted = F.contains(ip, F.lit("."))
+    plain = F.when(dotted, F.concat(F.regexp_replace(ip, r"[\d.]+$", ""), F.hex(part(1) * 256 + part(2)), F.lit(":"), F.hex(part(3) * 256 + part(4)))).otherwise(ip)
+    halves = F.split(F.when(six, plain), "::", 2)
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(groups(0)) - F.size(groups(1)), F.lit(0)))
+    digits = F.array_join(F.transform(F.concat(groups(0), zeros, groups(1)), lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(six, F.concat(raw("06"), F.unhex(digits))).otherwise(ipv4_key(F.when(~six, ip)))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.bytes import ipv4_text, ipv6_text, mac_text, slice_, u
+from ..plans.stage import numbered
 from . import decode_arrow
 
 #: EtherTypes and IP protocol numbers.
@@ -80,22 +81,13 @@ def decode_frames(frames: DataFrame, native: bool = False) -> DataFrame:
 
 
 def number_packets(decoded: DataFrame) -> DataFrame:
-    """packet_id: 1, 2, ... over the decodable packets in frame order.
+    """packet_id: 1, 2, ... over the decodable packets in frame order."""
+    return number_frames(decoded)[0]
 
-    Two passes instead of one global sort: rows are counted per range partition,
-    and the counts before a partition are added to the row number within it.
-    """
-    spark = decoded.sparkSession
-    kept = decoded.where("protocol is not null").repartitionByRange("frame_no").sortWithinPartitions("frame_no")
-    kept = kept.withColumn("_part", F.spark_partition_id())
-    sizes = kept.groupBy("_part").count().orderBy("_part").collect()  # one row for each partition
-    before, rows = 0, []
-    for r in sizes:
-        rows.append((r["_part"], before))
-        before += r["count"]
-    offsets = spark.createDataFrame(rows, "_part int, _before long")
-    n = F.row_number().over(Window.partitionBy("_part").orderBy("frame_no"))
-    return kept.join(F.broadcast(offsets), "_part").withColumn("packet_id", n + F.col("_before")).drop("_part", "_before")
+
+def number_frames(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The decodable packets with their packet_id, and all frames; both are read from one table."""
+    return numbered(decoded, "decoded", "packet_id", "frame_no", [], F.col("protocol").isNull())
 
 
 def device_first_seen(decoded: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.stage import numbered
 from .decode import flow_id
 
 FIELDS = ("packet_id", "timestamp_us", "event_type", "protocol", "flow_id", "ordinal", "attributes")
@@ -41,24 +42,14 @@ def parse_errors(df: DataFrame, protocol: str, reason: str) -> DataFrame:
 
 
 def ordered(*parts: DataFrame) -> DataFrame:
-    """One stream with event_id 1, 2, ...: by packet, place within it, type.
+    """One stream with event_id 1, 2, ...: by packet, place within it, type, attributes.
 
-    The numbers come from a range partitioning: rows are counted per partition
-    and numbered within it, so no single task sees them all.
+    The union is computed once, into a table by ranges of packets (see stage.numbered).
     """
-    spark = parts[0].sparkSession
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
-    order = ["packet_id", "ordinal", "event_type", F.to_json("attributes")]
-    sorted_ = all_.repartitionByRange("packet_id").withColumn("_part", F.spark_partition_id())
-    before, rows = 0, []
-    for r in sorted_.groupBy("_part").count().orderBy("_part").collect():  # one row for each partition
-        rows.append((r["_part"], before))
-        before += r["count"]
-    n = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    numbered = sorted_.withColumn("_n", n).join(F.broadcast(spark.createDataFrame(rows, "_part int, _before long")), "_part")
-    return numbered.withColumn("event_id", F.col("_n") + F.col("_before")).select("event_id", *FIELDS)
+    return numbered(all_, "events", "event_id", "packet_id", ["ordinal", "event_type", "flow_id", F.to_json("attributes"), "timestamp_us"])[0].select("event_id", *FIELDS)
 
 
 def ndjson(events: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ipaddress
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.bytes import ip_key
+
 
 @dataclass(frozen=True)
 class Filters:
@@ -38,12 +41,21 @@ def is_multicast(ip: str) -> Column:
 
 
 def in_subnet(ip: str, cidr: str) -> Column:
-    """IPv4 membership by integer range, which needs no function per row beyond the conversion."""
-    base, bits = cidr.split("/")
+    """Membership of an IPv4 or IPv6 network; a text that is no network filters nothing.
+
+    IPv4 is an integer range, which needs no function per row beyond the conversion.
+    """
+    try:
+        net = ipaddress.ip_network(cidr, strict=False)
+    except ValueError:
+        return F.lit(True)
+    if net.version == 6:
+        ends = [F.unhex(F.lit("06" + x.packed.hex())) for x in (net.network_address, net.broadcast_address)]
+        return F.contains(ip, F.lit(":")) & ip_key(F.col(ip)).between(*ends)
     parts = F.split(ip, r"\.")
-    number = sum((parts[i].try_cast("long") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0).cast("long"))
-    low = sum(int(x) << (24 - 8 * i) for i, x in enumerate(base.split("."))) >> (32 - int(bits)) << (32 - int(bits))
-    return number.between(low, low + (1 << (32 - int(bits))) - 1)
+    number = sum((F.get(parts, F.lit(i)).try_cast("long") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0).cast("long"))
+    low = int(net.network_address)
+    return F.coalesce(number.between(low, low + net.num_addresses - 1), F.lit(False))
 
 
 def predicate(f: Filters) -> Column:

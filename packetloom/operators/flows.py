@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.bytes import ipv4_key
+from ..functions.bytes import ip_key
 
 KEY = ("ip1", "port1", "ip2", "port2")
 IDLE_US, SWEEP = 120_000_000, 256
 
 
-def with_flow_key(packets: DataFrame, key=ipv4_key) -> DataFrame:
+def with_flow_key(packets: DataFrame, key=ip_key) -> DataFrame:
     """Adds ip1, port1, ip2, port2: the lower endpoint (address by number, then port) first.
 
     The protocol is not part of the key: TCP and UDP between the same endpoints

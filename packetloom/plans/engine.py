@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..dissect import fixed
 from ..dissect.pointers import dissect
 from ..operators import attribution, events, filters, flows
-from ..operators.decode import decode_frames, device_first_seen, flow_id, number_packets
+from ..operators.decode import decode_frames, device_first_seen, flow_id, number_frames
 from .config import Config
 from .stage import table
 
@@ -16,9 +16,8 @@ def decoded_packets(frames: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]
     """(all decoded frames, numbered packets after the filters)."""
     if c.packet_limit:
         frames = frames.where(F.col("frame_no") <= c.packet_limit)
-    decoded = table(decode_frames(frames).drop("frame"), "decoded")
-    packets = number_packets(decoded).withColumn("payload_len", F.octet_length("payload"))
-    return decoded, table(filters.filter_packets(packets, c.filters), "packets")
+    packets, decoded = number_frames(decode_frames(frames).drop("frame"))
+    return decoded, filters.filter_packets(packets.withColumn("payload_len", F.octet_length("payload")), c.filters)
 
 
 def port_in(ports):
@@ -33,7 +32,7 @@ def bindings(dns: DataFrame) -> DataFrame:
 def run(frames: DataFrame, c: Config) -> DataFrame:
     """Ordered events of a capture."""
     decoded, packets = decoded_packets(frames, c)
-    keyed = flows.with_flow_key(packets.where(~F.contains("src_ip", F.lit(":"))))
+    keyed = flows.with_flow_key(packets)
     sessions = flows.sessions_by_gap(keyed, c.idle_us) if c.sessions == "gap" else flows.sessions_by_sweep(keyed, c.idle_us, c.sweep_every)
     counted = flows.running_counters(sessions)
     parts = [events.device_events(device_first_seen(decoded))]
@@ -76,4 +75,4 @@ def run(frames: DataFrame, c: Config) -> DataFrame:
     stream = parts[0]
     for p in parts[1:]:
         stream = stream.unionByName(p)
-    return events.ordered(table(stream, "events"))
+    return events.ordered(stream)

@@ -1,23 +1,63 @@
-"""Stages of a long plan as tables in the cluster's shared folder."""
+"""Stages of a long plan as tables in the cluster's shared folder, and global numbers from them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows of a partition that monotonically_increasing_id counts, fixed by Spark.
+_ROWS = 1 << 33
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back: what several branches need is computed once and survives lost executors.
 
-    The folder is that of spark.checkpoint.dir; only where it is unset (tests, a laptop) a local one takes its place.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines see.
+
+    Only a local master may do without it; on a cluster a folder of one machine
+    would lose every stage to the others, so that is refused.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="packetloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/packetloom/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    root = "file://" + tempfile.mkdtemp(prefix="packetloom-")
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write and read back: what several branches need is computed once and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, into: str, by: str, then: list, last=None) -> tuple[DataFrame, DataFrame]:
+    """Adds ``into``: 1, 2, ... by ``by`` and then ``then``, without a global sort.
+
+    Rows are dealt by ranges of ``by``, sorted and written once with their place
+    in their partition.  Counts and numbers are both read from those files, so
+    they cannot disagree, however a partitioning is sampled or coalesced.  Only one
+    count for each partition goes to the driver.  Rows for which ``last`` holds come
+    after the others of their partition and get no number.  Returns the
+    numbered rows and all rows as written.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tail = F.lit(False) if last is None else F.coalesce(last, F.lit(True))
+    placed = df.withColumn("_last", tail).repartitionByRange(parts, by).sortWithinPartitions("_last", by, *then)
+    placed = table(placed.withColumn("_place", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_place", 33)
+    sizes = placed.where("not _last").groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    before, rows = 0, []
+    for r in sizes:
+        rows.append((r["_part"], before))
+        before += r["n"]
+    offsets = spark.createDataFrame(rows, "_part long, _before long")
+    found = placed.where("not _last").withColumn("_part", part).join(F.broadcast(offsets), "_part", "left")
+    missing = F.raise_error(F.lit("a partition without a count"))
+    number = F.coalesce("_before", missing.cast("long")) + F.pmod("_place", F.lit(_ROWS)) + 1
+    return found.withColumn(into, number).drop("_part", "_before", "_place", "_last"), placed.drop("_place", "_last")

@@ -91,6 +91,32 @@ def flow_keys(spark, sf_dir):
     return longs(p.groupBy(*flows.KEY).agg(F.count("*").alias("packets"), F.countDistinct("protocol").alias("protocols")))
 
 
+_V6 = sql.PACKETS.replace("'10.0.' || CAST(CAST(floor(c / 50) AS BIGINT) AS VARCHAR) || '.' || CAST(1 + c % 50 AS VARCHAR)", "CASE WHEN c % 2 = 1 THEN 'fd00::' || lower(hex(CAST(4096 + c AS BIGINT))) ELSE '10.0.' || CAST(CAST(floor(c / 50) AS BIGINT) AS VARCHAR) || '.' || CAST(1 + c % 50 AS VARCHAR) END").replace("'192.168.1.' || CAST(10 + s AS VARCHAR)", "CASE WHEN c % 2 = 1 THEN 'fd01::' || lower(hex(CAST(4096 + s AS BIGINT))) ELSE '192.168.1.' || CAST(10 + s AS VARCHAR) END")
+
+
+def _packets_v6(spark, sf_dir):
+    """The same packets, those of odd clients under IPv6 addresses."""
+    p = load_packets(spark, sf_dir)
+    odd = (F.when(F.startswith("src_ip", F.lit("10.")), F.col("src_port")).otherwise(F.col("dst_port")) - 40000) % 2 == 1
+
+    def six(ip):
+        parts = F.split(ip, r"\.")
+        client = parts[2].cast("long") * 50 + parts[3].cast("long") - 1
+        return F.when(~odd, F.col(ip)).when(F.startswith(ip, F.lit("10.")), F.concat(F.lit("fd00::"), F.lower(F.hex(client + 4096)))).otherwise(F.concat(F.lit("fd01::"), F.lower(F.hex(parts[3].cast("long") - 10 + 4096))))
+
+    return p.withColumns({"src_ip": six("src_ip"), "dst_ip": six("dst_ip")})
+
+
+@query(_V6 + sql.GAP[len(sql.PACKETS):] + sql.SUMMARY)
+def flow_summary_v6(spark, sf_dir):
+    return longs(flows.summaries(flows.sessions_by_gap(flows.with_flow_key(_packets_v6(spark, sf_dir)))))
+
+
+@query(_V6 + " SELECT packet_id FROM packets WHERE src_ip LIKE 'fd00::10%' OR dst_ip LIKE 'fd00::10%'")
+def filter_subnet_v6(spark, sf_dir):
+    return filters.filter_packets(_packets_v6(spark, sf_dir), Filters(subnet="fd00::1000/120")).select("packet_id")
+
+
 # Filters
 
 def _filter(name: str, f: Filters, where: str) -> None:
@@ -124,7 +150,9 @@ def filter_loopback_multicast_private(spark, sf_dir):
 # Decode
 
 def _frames(spark, sf_dir):
-    return encode_frames(load_packets(spark, sf_dir))
+    # The table is one file with one row group; frames are made on all cores.
+    rows = load_packets(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "packet_id")
+    return encode_frames(rows)
 
 
 @query(sql.PACKETS + " SELECT packet_id AS frame_no, src_mac, src_ip, src_port, dst_ip, dst_port, protocol, CAST(packet_size AS BIGINT) AS packet_size, CAST(payload_len AS BIGINT) AS payload_len, CASE WHEN protocol = 'TCP' THEN (packet_id * 1000) % 4294967296 END AS tcp_seq FROM packets")

@@ -5,6 +5,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from packetloom.dissect import pointers
+from packetloom.functions.bytes import ip_key
 from packetloom.operators import decode, events, flows, tcp
 from packetloom.operators.filters import Filters, filter_packets
 from packetloom.plans import config, determinism, engine
@@ -213,3 +214,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert rows[0]["record_type"] == "session_header" and [r["event_id"] for r in rows[1:]] == list(range(1, len(rows)))
     assert list((tmp_path / "flows").glob("part-*"))
     assert main(["--pcap", path, "--check-determinism", "--mode", "replay"]) == 0
+
+
+@pytest.mark.parametrize("aqe", ["true", "false"])
+@pytest.mark.parametrize("parts", [1, 8, 211])
+def test_numbers_are_dense_at_any_partitioning(spark, aqe, parts):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        n = 1_000_000
+        rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("frame_no"), F.when(F.col("id") % 50 != 0, "UDP").alias("protocol"), F.lit(0).alias("timestamp_us"))
+        got = decode.number_packets(rows)
+        kept = F.col("frame_no") - F.expr("(frame_no + 49) div 50")  # the frame numbers of id % 50 = 0 are the multiples of 50
+        r = got.agg(F.count("*").alias("n"), F.sum(F.when(F.col("packet_id") != kept + 1, 1).otherwise(0)).alias("wrong")).first()
+        assert (r["n"], r["wrong"]) == (n - n // 50, 0)
+        e = events.event(spark.range(n // 10).withColumnRenamed("id", "packet_id").withColumn("timestamp_us", F.lit(0).cast("long")), "x", "y", 0, "", a="packet_id")
+        r = events.ordered(e).agg(F.count("*").alias("n"), F.sum(F.when(F.col("event_id") != F.col("packet_id") + 1, 1).otherwise(0)).alias("wrong")).first()
+        assert (r["n"], r["wrong"]) == (n // 10, 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_address_keys_order_by_number(spark):
+    import ipaddress
+
+    texts = ["::", "::1", "1::", "a:b::c:d", "2001:db8:1:2:3:4:5:6", "::ffff:1.2.3.4", "fe80::1:0:0:2", "10.0.0.9", "9.255.0.1", "192.168.1.1", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff"]
+    df = spark.createDataFrame([(x,) for x in texts], "ip string")
+    for r in df.select("ip", ip_key(F.col("ip")).alias("k")).collect():
+        a = ipaddress.ip_address(r["ip"])
+        assert bytes(r["k"]) == (b"\x04" + a.packed + bytes(12) if a.version == 4 else b"\x06" + a.packed)
+    p = df.select(F.col("ip").alias("src_ip"), F.col("ip").alias("dst_ip"))
+    inside = lambda cidr: sorted(r[0] for r in filter_packets(p, Filters(subnet=cidr, exclude_loopback=False)).select("src_ip").collect())
+    assert inside("2001:db8::/32") == ["2001:db8:1:2:3:4:5:6"] and inside("10.0.0.0/8") == ["10.0.0.9"] and len(inside("nonsense")) == len(texts)
