@@ -4,22 +4,22 @@ A run is a stretch of consecutive windows that have the same anchor (see
 hashing.anchors).  Two equal windows always have equal anchors, so comparing
 the runs of one anchor finds every equal pair, with one row for some dozens of
 windows instead of one for each.  Runs whose whole texts agree form a class.
+A class is known by three keys: the hash of its anchor and both functions of the
+whole run (see hashing.py), some 183 bits; the bytes themselves are not shuffled.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .hashing import anchors, mix, word_bounds, word_hashes
+from .hashing import SECOND, anchors, mix, word_bounds, word_hashes
 from .shared import batch, blocks, bytes_of, ids_of, lean
 
-RUNS = "anchor long, run long, doc_id long, first long, shape int"
-_RUNS = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("shape", pa.int32())])
-HITS = "kind int, doc_id long, first long, shape int, anchor long"
-_HITS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("first", pa.int64()), ("shape", pa.int32()), ("anchor", pa.int64())])
-REPEATED, OPEN = 0, 1
+RUNS = "anchor long, run long, check long, doc_id long, first long, shape int"
+_RUNS = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("shape", pa.int32())])
+ORDER = ["anchor", "run", "check", "doc_id", "first"]
 
 
 def find_runs(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
@@ -41,13 +41,14 @@ def find_runs(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
             found = []
             for i, j, lo, hi in blocks(ends):
                 part, e = buf[lo:hi], ends[i:j] - lo
+                other = None
                 if words:
                     s, t, text = word_bounds(part, e)
-                    part, e = word_hashes(part, s, t), np.searchsorted(text, np.arange(j - i), side="right")
-                t, a, n, place, key, run = anchors(part, e, length, k)
+                    part, other, e = word_hashes(part, s, t), word_hashes(part, s, t, by=SECOND), np.searchsorted(text, np.arange(j - i), side="right")
+                t, a, n, place, key, run, check = anchors(part, e, length, k, other)
                 if len(t):
                     start = np.concatenate([[0], e[:-1]])
-                    found.append((key, run, ids[i:j][t], a - start[t], n + PLACE * place))
+                    found.append((key, run, check, ids[i:j][t], a - start[t], n + PLACE * place))
             if found:
                 yield batch(_RUNS, *combine(*(np.concatenate(c) for c in zip(*found, strict=True))))
 
@@ -58,9 +59,9 @@ PLAIN, HEAD, LATER = 0, 1, 2
 PLACE = 256
 
 
-def combine(key, run, doc, first, shape):
+def combine(key, run, check, doc, first, shape):
     """Settle runs that agree: the first is a HEAD, the others are LATER under a key of their own."""
-    both = mix(key) ^ run
+    both = mix(key) ^ run ^ check
     order = np.argsort(both, kind="stable")
     same = both[order[1:]] == both[order[:-1]]
     some = np.zeros(len(order), bool)
@@ -69,69 +70,47 @@ def combine(key, run, doc, first, shape):
     some = order[some]
     state = np.full(len(key), PLAIN, np.int32)
     if len(some):
-        some = some[np.lexsort([first[some], doc[some], run[some], key[some]])]
+        some = some[np.lexsort([first[some], doc[some], check[some], run[some], key[some]])]
         again = np.zeros(len(some), bool)
-        again[1:] = (key[some[1:]] == key[some[:-1]]) & (run[some[1:]] == run[some[:-1]])
+        again[1:] = (key[some[1:]] == key[some[:-1]]) & (run[some[1:]] == run[some[:-1]]) & (check[some[1:]] == check[some[:-1]])
         head = some[np.maximum.accumulate(np.where(again, 0, np.arange(len(some))))]
         again &= (doc[some] != doc[head]) | (first[some] != first[head])
         later, head = some[again], head[again]
         state[head], state[later] = HEAD, LATER
         key = key.copy()
         key[later] = mix(key[later] ^ mix(doc[later].view(np.uint64) * np.uint64(31) + first[later].astype(np.uint64)))
-    return key.view(np.int64), run.view(np.int64), doc, first, 4 * shape.astype(np.int32) + state
+    return key.view(np.int64), run.view(np.int64), check.view(np.int64), doc, first, 4 * shape.astype(np.int32) + state
+
+
+def state_of() -> Column:
+    return F.col("shape").bitwiseAND(F.lit(3))
 
 
 def compare_runs(runs: DataFrame, both: bool) -> DataFrame:
-    """Settle whole runs; hand on those that need a look at single windows.
-
-    Rows arrive sorted by anchor, run, doc_id, first and are read as a stream
-    with a state of two rows, so a group of any size needs no memory.  A
-    REPEATED row is a run of which each window starts earlier too (``both``:
-    anywhere else too); ``shape`` is without the
-    state now.  An OPEN row is the first run of a class whose anchor
-    has other classes: its windows may be shared with those in part.
-    Occurrences with the same doc_id and offset count as one.
+    """doc_id, first, shape (without the state), repeated, opened: runs that are settled or need a look.
+
+    A ``repeated`` run is one of which each window starts earlier too (``both``:
+    anywhere else too).  An ``opened`` one is the first run of a class whose
+    anchor has other classes: its windows may be shared with those in part.
+    Occurrences with the same doc_id and offset count as one.  Both windows use
+    one exchange by anchor (none where the runs are dealt by it already) and one
+    sort; Spark spills the rows of an anchor that are too many for memory.
     """
-
-    def stream(batches):
-        held: list[tuple] = []  # first run of the open group, first run of the open class
-        for b in batches:
-            cols = [b.column(c).to_numpy() for c in range(5)]
-            state = cols[4] & 3
-            settled = np.flatnonzero((state == LATER) | ((state == HEAD) & both))
-            if len(settled):
-                yield batch(_HITS, np.full(len(settled), REPEATED, np.int32), cols[2][settled], cols[3][settled], cols[4][settled] >> 2, cols[0][settled])
-            cols = [c[state != LATER] for c in cols]
-            cols[4] = cols[4] >> 2
-            if not len(cols[0]):
-                continue
-            cols = [np.concatenate([np.array([h[c] for h in held], x.dtype), x]) for c, x in enumerate(cols)]
-            told = np.zeros((2, len(cols[0])), bool)  # already given out as REPEATED, OPEN
-            for i, h in enumerate(held):
-                told[:, i] = h[5]
-            anchor, run, doc, first, shape = cols
-            at = np.arange(len(anchor))
-            group, cls = np.ones(len(at), bool), np.ones(len(at), bool)
-            group[1:] = anchor[1:] != anchor[:-1]
-            cls[1:] = group[1:] | (run[1:] != run[:-1])
-            head = np.maximum.accumulate(np.where(cls, at, 0))
-            top = np.maximum.accumulate(np.where(group, at, 0))
-            repeated = ~cls & ((doc != doc[head]) | (first != first[head]))
-            if both:
-                repeated[head[repeated]] = True
-            opened = cls & ~group
-            opened[top[opened]] = True
-            out = [np.flatnonzero(x & ~t) for x, t in ((repeated, told[0]), (opened, told[1]))]
-            told |= np.stack([repeated, opened])
-            take = np.concatenate(out)
-            if len(take):
-                kind = np.repeat([REPEATED, OPEN], [len(out[0]), len(out[1])]).astype(np.int32)
-                yield batch(_HITS, kind, doc[take], first[take], shape[take], anchor[take])
-            keep = sorted({int(top[-1]), int(head[-1])})
-            held = [(*(x[i] for x in cols), told[:, i].copy()) for i in keep]
-
-    order = ["anchor", "run", "doc_id", "first"]
-    return runs.repartition("anchor").sortWithinPartitions(*order).mapInArrow(lean(stream), HITS)
+    ends = (Window.unboundedPreceding, Window.unboundedFollowing)
+    group = Window.partitionBy("anchor").orderBy(*ORDER[1:]).rowsBetween(*ends)
+    cls = Window.partitionBy(*ORDER[:3]).orderBy("doc_id", "first").rowsBetween(*ends)
+    end = lambda f, names, w: {f"_{x}_{n}": g(n).over(w) for x, g in (("a", F.first_value), ("z", F.last_value)) for n in names if f or x == "a"}
+    # Nothing is computed below the windows: a projection there would hide how a union of dealt runs is dealt.
+    rows = runs.withColumns(end(True, ("run", "check"), group)).withColumns(end(both, ("doc_id", "first"), cls))
+    state = state_of()
+    several = (F.col("_a_run") != F.col("_z_run")) | (F.col("_a_check") != F.col("_z_check"))
+    other = (F.col("doc_id") != F.col("_a_doc_id")) | (F.col("first") != F.col("_a_first"))
+    if both:
+        repeated = (F.col("_a_doc_id") != F.col("_z_doc_id")) | (F.col("_a_first") != F.col("_z_first")) | (state != PLAIN)
+    else:
+        repeated = other | (state == LATER)
+    opened = several & ~other & (state != LATER)
+    return rows.select("doc_id", "first", F.shiftright("shape", 2).alias("shape"), repeated.alias("repeated"), opened.alias("opened")).where("repeated or opened")
 
 
 def windows_of(shape):
@@ -139,15 +118,14 @@ def windows_of(shape):
 
 
 def ranges_of(hits: DataFrame, length: int) -> DataFrame:
-    """The symbols that REPEATED runs cover."""
-    return hits.where(F.col("kind") == REPEATED).select("doc_id", "first", (F.col("first") + windows_of(F.col("shape")) + (length - 1)).alias("last"))
+    """The symbols that repeated runs cover."""
+    return hits.where("repeated").select("doc_id", "first", (F.col("first") + windows_of(F.col("shape")) + (length - 1)).alias("last"))
 
 
 def spans_by_document(ranges: DataFrame) -> DataFrame:
-    """One row for each document with the [first, last) ranges to remove, unmerged.
+    """One row for each document with the distinct [first, last) ranges to remove, sorted and unmerged.
 
-    Ranges of one document are pre-merged where they touch, so the list is at
-    most as long as the document.
+    There are at most as many as windows begin in the document; ``covered`` merges them.
     """
     return ranges.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
 

@@ -13,21 +13,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.stage import shared_folder
+
 #: Rows of an Arrow batch, unless the session sets a number of its own.
 ROWS = 2000
 _PACKAGE = Path(__file__).resolve().parent.parent
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run, below the cluster's spark.checkpoint.dir.
+    """A fresh folder for one run, below the cluster's spark.checkpoint.dir (see plans.stage)."""
+    return f"{shared_folder(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
 
-    Only where that is unset (tests, a laptop) a local folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="packetloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/packetloom/{name}-{uuid.uuid4().hex}"
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .hashing import FIRST, SECOND
-from .runs import OPEN, PLACE, RUNS, _RUNS, combine, compare_runs, covered, find_runs, ranges_of, spans_by_document, windows_of
+from .hashing import FIRST, equal_slices
+from .runs import PLACE, compare_runs, covered, find_runs, ranges_of, spans_by_document, windows_of
 from .shared import NULL_ID, batch, documents, lean, table
 
 LENGTH, GRAM = 100, 32
@@ -155,7 +155,7 @@ _RANGE = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.i
 RANGE = "doc_id long, first long, last long"
 #: A run's suffixes are dealt into this many buckets by the anchor's place in them.
 PARTS = 3
-#: Buckets of more strings than this are settled by keys of single windows.
+#: Buckets of more strings than this are dealt again by whole windows, and those sorted as text.
 HOT = 10_000
 
 
@@ -196,23 +196,55 @@ def _cut(length: int, gram: int):
     return cut
 
 
-def _single(length: int):
-    """Each window of the strings as a run of one window, keyed by its two hashes."""
+_WINDOW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary())])
+
+
+def _finest(length: int):
+    """Each window of the strings, with its bytes; one that stands earlier in the batch has none.
+
+    Those are compared byte by byte here, so a batch sends each text once.
+    """
 
     def cut(batches):
         np.seterr(over="ignore")
         for b in batches:
-            found = []
-            for doc, first, piece in zip(*(b.column(c).to_pylist() for c in range(1, 4)), strict=True):
-                buf = np.frombuffer(piece, np.uint8)
-                at = np.arange(len(buf) - length + 1)
-                found.append((*(f.slices(f.prefix(buf), at, at + length) for f in (FIRST, SECOND)), np.full(len(at), doc), first + at, np.ones(len(at), np.int32)))
-            if found:
-                yield batch(_RUNS, *combine(*(np.concatenate(c) for c in zip(*found, strict=True))))
+            pieces = b.column(3).to_pylist()
+            if not pieces:
+                continue
+            sizes = np.array([len(p) for p in pieces])
+            buf = np.frombuffer(b"".join(pieces), np.uint8)
+            n = sizes - length + 1
+            of = np.repeat(np.arange(len(n)), n)
+            inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            at = (np.cumsum(sizes) - sizes)[of] + inner
+            doc, first = b.column(1).to_numpy()[of], b.column(2).to_numpy()[of] + inner
+            key = FIRST.slices(FIRST.prefix(buf), at, at + length)
+            order = np.lexsort([first, doc, key])
+            again = np.zeros(len(order), bool)
+            again[1:] = key[order[1:]] == key[order[:-1]]
+            head = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+            again &= (doc[order] != doc[head]) | (first[order] != first[head])
+            again &= equal_slices(buf, at[order], at[head], np.full(len(order), length))
+            known = np.zeros(len(order), bool)
+            known[order] = again
+            raw = buf.tobytes()
+            yield batch(_WINDOW, key.view(np.int64), doc, first, [None if k else raw[i : i + length] for i, k in zip(at.tolist(), known.tolist(), strict=True)])
 
     return cut
 
 
+def settle_windows(strings: DataFrame, length: int) -> DataFrame:
+    """Ranges of the windows of ``strings`` that start earlier too, sorted as text by Spark.
+
+    The strings of a bucket of any size are dealt by the windows' own bytes.
+    """
+    rows = table(strings.mapInArrow(lean(_finest(length)), "key long, doc_id long, first long, bytes binary"), "windows")
+    w = Window.partitionBy("key", "bytes").orderBy("doc_id", "first")
+    head = rows.where("bytes is not null").withColumns({"_doc": F.first_value("doc_id").over(w), "_at": F.first_value("first").over(w)})
+    found = head.where("doc_id <> _doc or first <> _at").select("doc_id", "first").union(rows.where("bytes is null").select("doc_id", "first"))
+    return found.select("doc_id", "first", (F.col("first") + length).alias("last"))
+
+
 def _settle(length: int, block: int):
     """Sort buckets, one block at a time; a bucket is never split between blocks."""
 
@@ -271,17 +303,16 @@ def _settle(length: int, block: int):
     return settle
 
 
-def repeated_ranges(docs: DataFrame, by_id: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+def repeated_ranges(docs: DataFrame, by_id: DataFrame, length: int, gram: int, block: int, hot: int = HOT) -> DataFrame:
     """Byte ranges covered by ``length``-byte strings that start earlier too."""
     hits = table(compare_runs(find_runs(docs, length, gram, words=False), both=False), "runs")
-    asked = hits.where(F.col("kind") == OPEN).groupBy("doc_id").agg(F.collect_list(F.struct("first", "shape")).alias("asked"))
+    asked = hits.where("opened").groupBy("doc_id").agg(F.collect_list(F.struct("first", "shape")).alias("asked"))
     buckets = table(by_id.join(asked, "doc_id").select("doc_id", "bytes", "asked").mapInArrow(lean(_cut(length, gram)), BUCKET), "buckets")
     out = ranges_of(hits, length)
-    hot = table(buckets.groupBy("bucket").count().where(F.col("count") > HOT).select("bucket"), "hot")  # at most one of each HOT rows
-    if not hot.isEmpty():
-        single = buckets.join(hot, "bucket", "left_semi").select(*buckets.columns).mapInArrow(lean(_single(length)), RUNS)
-        out = out.union(ranges_of(compare_runs(single, both=False), length))
-        buckets = buckets.join(hot, "bucket", "left_anti").select(*buckets.columns)
+    big = table(buckets.groupBy("bucket").count().where(F.col("count") > hot).select("bucket"), "hot")  # at most one of each ``hot`` rows
+    if not big.isEmpty():
+        out = out.union(settle_windows(buckets.join(big, "bucket", "left_semi").select(*buckets.columns), length))
+        buckets = buckets.join(big, "bucket", "left_anti").select(*buckets.columns)
     return out.union(buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_settle(length, block)), RANGE))
 
 
@@ -301,11 +332,11 @@ def _remove(batches):
         yield batch(_RESULT, b.column(0), *out)
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed [first, last) byte runs), kept (bytes left)."""
     docs = documents(docs)
     by_id = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("binary").alias("bytes")).repartition("doc_id")
-    spans = spans_by_document(repeated_ranges(docs, by_id, length, gram, block))
+    spans = spans_by_document(repeated_ranges(docs, by_id, length, gram, block, hot))
     out = by_id.join(spans, "doc_id", "left").select("doc_id", "bytes", "spans").mapInArrow(lean(_remove), "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 

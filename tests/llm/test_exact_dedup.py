@@ -69,14 +69,14 @@ def check(got, want):
     assert sorted(Counter(r[0] for r in got).items(), key=str) == sorted(Counter([*want, 9]).items(), key=str)
 
 
-@pytest.mark.parametrize("hot", [10_000, 3])
-def test_suffix_dedup(case, hot, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", hot)
-    check(suffix.digest(suffix.suffix_dedup(case[1], block=5000)).collect(), brute_bytes(case[0], 100))
+@pytest.mark.parametrize("hot", [10**9, 10_000, 2])
+def test_suffix_dedup(case, hot):
+    check(suffix.digest(suffix.suffix_dedup(case[1], block=5000, hot=hot)).collect(), brute_bytes(case[0], 100))
 
 
-def test_substring_dedup(case):
-    check(words.digest(words.substring_dedup(case[1], n_batches=3, fanout=2)).collect(), brute_words(case[0], 35))
+@pytest.mark.parametrize(("batches", "fanout"), [(words.BATCHES, words.FANOUT), (1, 2), (5, 2), (4, 100)])
+def test_substring_dedup(case, batches, fanout):
+    check(words.digest(words.substring_dedup(case[1], n_batches=batches, fanout=fanout)).collect(), brute_words(case[0], 35))
 
 
 def test_empty_tables(spark):
@@ -85,13 +85,54 @@ def test_empty_tables(spark):
     assert words.substring_dedup(empty).count() == 0
 
 
-def test_index_takes_batches_one_by_one(spark):
+def test_index_is_opened_again(spark, tmp_path):
     docs = {i: t for i, t in corpus(3).items() if i is not None}
-    index = words.FingerprintIndex(spark, fanout=2)
-    for part in range(4):
-        index.add(spark.createDataFrame([(i, t) for i, t in docs.items() if i % 4 == part], "doc_id long, text string"))
-    levels = [x for x, _ in index.runs]
-    assert levels == [2]
+    part = lambda k: spark.createDataFrame([(i, t) for i, t in docs.items() if i % 4 == k], "doc_id long, text string")
+    folder, found = f"file://{tmp_path}/index", []
+    for k in range(4):
+        index = words.FingerprintIndex(spark, folder, fanout=2)
+        assert [x for x, _ in index.runs] == [[], [0], [1], [1, 0]][k]
+        found += [h for h in index.add(part(k)).collect() if h["repeated"]]
+        index.close()
+    assert [x for x, _ in index.runs] == [2]  # more batches than the fan-out: runs were merged, the old ones are gone
+    assert sorted(n for n in index._names() if n.startswith("level")) == [index.runs[0][1]]
+    whole = words.FingerprintIndex(spark)
+    want = [h for h in whole.add(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect() if h["repeated"]]
+    assert {(h["doc_id"], h["first"]) for h in found} == {(h["doc_id"], h["first"]) for h in want}
+    with pytest.raises(ValueError):
+        words.FingerprintIndex(spark, folder, window=9)
+
+
+def test_history_is_merged_without_an_exchange(spark, tmp_path):
+    index = words.FingerprintIndex(spark, f"file://{tmp_path}/index", fanout=10)
+    for k in range(3):
+        index.add(spark.createDataFrame([(i, t) for i, t in corpus(3).items() if i is not None and i % 3 == k], "doc_id long, text string"))
+    names = [n for _, n in index.runs]
+    new, index.runs = index._read(names[2]), index.runs[:2]
+    for df in (index.compared(new), index.merged(names)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") >= 3, plan
+
+
+def morse(n, a, b):
+    """Strings that a polynomial modulo 2**64 cannot tell apart from n = 10 on, whatever its base."""
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [10, 11])
+def test_strings_that_collide_modulo_powers_of_two(spark, n):
+    r = random.Random(n)
+    x, y = morse(n, "a", "b")
+    tail = [" ".join("".join(r.choices("cdefgh", k=6)) for _ in range(60)) for _ in range(2)]
+    one, two = " ".join([x] + ["same"] * 40), " ".join([y] + ["same"] * 40)
+    long_ = [" ".join(w) for w in morse(n, ["v"], ["w"])]
+    texts = {1: one, 2: two, 3: long_[0], 4: long_[1], 5: x + " " + tail[0], 6: y + " " + tail[0], 7: tail[1]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    raw = {i: t.encode() for i, t in texts.items()}
+    assert {r[0]: tuple(r)[1:] for r in words.digest(words.substring_dedup(df)).collect()} == brute_words(raw, 35)
+    assert {r[0]: tuple(r)[1:] for r in suffix.digest(suffix.suffix_dedup(df)).collect()} == brute_bytes(raw, 100)
 
 
 @pytest.mark.parametrize("v", [7, 32])
