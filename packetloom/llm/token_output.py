@@ -7,7 +7,7 @@ in a table of 256 entries and gathers all bytes with numpy.
 
 File format: a folder of Parquet files, which Spark commits as a whole.  A row
 is a block of whole documents: ``shard`` and ``block`` (their order), ``start``
-(ids of the shard before the block), ``doc_ids`` and ``counts`` (int64, little
+(ids of the shard before the block), ``n`` (ids of the block), ``doc_ids`` and ``counts`` (int64, little
 endian), ``control`` and ``data``.  Beside it lies the table of ranks.  Blocks
 are in ascending doc_id order within a shard and shards among each other.
 
@@ -24,11 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .hashing import FIRST
+from .hashing import mix
 from .shared import NULL_ID, batch, blocks, bytes_of, documents, ids_of, lean, memory, scratch, table
 
 #: Pre-tokens of which the ids are kept (some 40 bytes each).
 REMEMBERED = 1_500_000
+#: Bytes of a pre-token that is its own key, and of longer ones that are kept.
+SHORT, HELD = 15, 1 << 26
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: Bytes of text, and pre-tokens, that are encoded at a time.
 STEP, ASKED = 1 << 21, 20_000
 #: Ids of a block; a longer document is a block of its own.
@@ -89,9 +92,12 @@ class Tokenizer:
     """The tokenizers library, asked once for each distinct pre-token.
 
     Byte-level pre-tokens are encoded independently of each other, so the ids
-    of a text are those of its pre-tokens.  Ids are kept in arrays sorted by the
-    pre-token's 64-bit hash; a batch looks all of its own up at once.  Texts with a special
-    token, control characters or letters outside the Latin blocks go to the library whole.
+    of a text are those of its pre-tokens.  A pre-token of up to 15 bytes is known by
+    these bytes and its length in two integers, a longer one by its number in a
+    dictionary.  Ids are kept in arrays sorted by a mixture of the two; a batch looks all of
+    its own up at once and compares the integers themselves.  Texts with a special
+    token, control characters or letters outside the Latin blocks go to the library whole,
+    as do those with a pre-token whose mixture another one has.
     """
 
     def __init__(self, path: str):
@@ -110,22 +116,41 @@ class Tokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self._hash, self._at, self._n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._keys = np.zeros((3, 0), np.uint64)  # mixture, then the two integers
+        self._at, self._n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.int32)
-
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        self._long: dict[bytes, int] = {}
+        self._held = 0
+
+    def _key(self, buf: np.ndarray, raw: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Three rows: a mixture to sort by, and the two integers that are the pre-token."""
+        n = stop - start
+        padded = np.concatenate([buf, np.zeros(16, np.uint8)])
+        words = np.ndarray((len(buf) + 9,), "<u8", buffer=padded, strides=(1,))
+        one = words[start] & _BYTES[np.minimum(n, 8)]
+        two = words[np.minimum(start + 8, len(buf))] & _BYTES[np.clip(n - 8, 0, 7)]
+        two |= np.minimum(n, 255).astype(np.uint64) << np.uint64(56)
+        for i in np.flatnonzero(n > SHORT).tolist():
+            piece = raw[start[i] : stop[i]]
+            if piece not in self._long:
+                self._long[piece] = len(self._long)
+                self._held += len(piece)
+            one[i], two[i] = self._long[piece], 0
+        return np.stack([mix(one) ^ mix(two + np.uint64(0x9E3779B97F4A7C15)), one, two])
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encode new pre-tokens; where a piece ends follows from its number of bytes."""
         for i in range(0, len(pieces), ASKED):
             part = pieces[i : i + ASKED]
             ids = np.array(self._t.encode_batch_fast([[p.decode() for p in part]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
             ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum([len(p) for p in part])) + 1
             n = np.diff(np.concatenate([[0], ends]))
-            self._hash = np.concatenate([self._hash, hashes[i : i + ASKED]])
+            self._keys = np.concatenate([self._keys, keys[:, i : i + ASKED]], axis=1)
             self._at = np.concatenate([self._at, len(self._ids) + ends - n])
             self._n = np.concatenate([self._n, n])
             self._ids = np.concatenate([self._ids, ids])
-        order = np.argsort(self._hash, kind="stable")
-        self._hash, self._at, self._n = self._hash[order], self._at[order], self._n[order]
+        order = np.argsort(self._keys[0], kind="stable")
+        self._keys, self._at, self._n = self._keys[:, order], self._at[order], self._n[order]
 
     def encode(self, buf: np.ndarray, ends: np.ndarray, dtype: str) -> list[bytes]:
         """Ids of each of the concatenated texts, as little-endian integers."""
@@ -141,18 +166,20 @@ class Tokenizer:
         stop = np.append(start[1:], len(buf))
         good = ~whole[text]
         start, stop, text = start[good], stop[good], text[good]
-        hashes = FIRST.slices(FIRST.prefix(buf), start, stop)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._hash) > REMEMBERED:
+        if self._keys.shape[1] > REMEMBERED or self._held > HELD:
             self._clear()
-        at = np.searchsorted(self._hash, distinct)
+        keys = self._key(buf, raw, start, stop)
+        distinct, first, which = np.unique(keys[0], return_index=True, return_inverse=True)
+        at = np.searchsorted(self._keys[0], distinct)
         new = np.ones(len(distinct), bool)
-        inside = at < len(self._hash)
-        new[inside] = self._hash[at[inside]] != distinct[inside]
+        inside = at < self._keys.shape[1]
+        new[inside] = self._keys[0, at[inside]] != distinct[inside]
         if new.any():
             x = first[new]
-            self._learn(distinct[new], [raw[i:j] for i, j in zip(start[x].tolist(), stop[x].tolist(), strict=True)])
-            at = np.searchsorted(self._hash, distinct)
+            self._learn(keys[:, x], [raw[i:j] for i, j in zip(start[x].tolist(), stop[x].tolist(), strict=True)])
+            at = np.searchsorted(self._keys[0], distinct)
+        other = (self._keys[1:, at][:, which] != keys[1:]).any(axis=0)
+        whole[text[other]] = True
         n, place = self._n[at][which], self._at[at][which]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self._ids[np.arange(total[-1]) + np.repeat(place - total[:-1], n)].astype(dtype)
@@ -213,8 +240,8 @@ def _cut(raw: bytes, ends: np.ndarray) -> list[bytes]:
     return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
-_BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
-BLOCKS = "shard int, block long, start long, doc_ids binary, counts binary, control binary, data binary"
+_BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
+BLOCKS = "shard int, block long, start long, n long, doc_ids binary, counts binary, control binary, data binary"
 _COUNTS = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
 
@@ -274,7 +301,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
 
         def close():
             ids, counts, control, data = zip(*held, strict=True)
-            return batch(_BLOCKS, [shard], [number], [before], [np.array(ids, "<i8").tobytes()], [np.array(counts, "<i8").tobytes()], [b"".join(control)], [b"".join(data)])
+            return batch(_BLOCKS, [shard], [number], [before], [sum(counts)], [np.array(ids, "<i8").tobytes()], [np.array(counts, "<i8").tobytes()], [b"".join(control)], [b"".join(data)])
 
         for b in batches:
             ids = ids_of(b.column(0))
@@ -304,19 +331,18 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for shard, _, start, docs, counts, control, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for shard, _, start, _, docs, counts, control, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 docs, counts = np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<i8")
                 values = ids.value[unpack(control, data, counts)]
                 end = np.cumsum(counts)
                 yield batch(_DOCS, np.full(len(docs), shard, np.int32), docs, start + end - counts, _cut(values.tobytes(), end * 4))
 
-    # One row for each shard, that is for each partition of the writer.
-    shards = blocks.groupBy("shard").agg(F.max_by("start", "block").alias("last"), F.max_by("counts", "block").alias("tail"))
-    rows = shards.select("shard", "last", "tail").orderBy("shard").collect()
+    # One number for each shard, that is for each partition of the writer.
+    rows = blocks.groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()
     offset, offsets = 0, []
     for r in rows:
         offsets.append((r["shard"], offset))
-        offset += r["last"] + int(np.frombuffer(bytes(r["tail"]), "<i8").sum())
+        offset += r["n"]
     before = spark.createDataFrame(offsets, "shard int, offset long")
     out = blocks.mapInArrow(lean(run, "tokens"), "shard int, doc_id long, start long, ids binary")
     return out.join(F.broadcast(before), "shard").select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), (F.col("start") + F.col("offset")).alias("start"), "ids")

@@ -99,3 +99,23 @@ def test_cut_into_pre_tokens_equals_the_library():
         got = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw]), "<i4")
     for x, g in zip(texts_, got, strict=True):
         assert np.frombuffer(g, "<i4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+@pytest.mark.parametrize("n", [3, 4, 10, 11])
+def test_pre_tokens_are_known_by_their_bytes(n):
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    texts_ = [a, b, a + " " + b, "x" * 15, "x" * 16, "x" * 15 + " x", "y" * 8, "y" * 7 + "z"] * 2
+    raw = [x.encode() for x in texts_]
+    own = token_output.Tokenizer(path)
+    with np.errstate(over="ignore"):
+        for _ in range(2):
+            got = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw]), "<i4")
+            for x, g in zip(texts_, got, strict=True):
+                assert np.frombuffer(g, "<i4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+        own._keys[1] ^= np.uint64(1)  # as if all mixtures were those of other pre-tokens
+        got = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw]), "<i4")
+    assert [np.frombuffer(g, "<i4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts_]
