@@ -5,7 +5,7 @@ as symbols per word) exceeds a cutoff; the cutoffs are learned per stratum (the
 language) from labelled holdout documents.  A cutoff is admitted only if an
 exact binomial test shows that it rejects fewer than ``risk`` / rules of the
 clean documents of the stratum: P(X <= rejected | n, risk / rules) must be at
-most ``error`` / (strata x rules).  The cutoffs of a rule are tested in a fixed
+most ``error`` / (strata x rules).  A trial is a distinct text, as copies are not independent.  The cutoffs of a rule are tested in a fixed
 order, the least strict first, and the first that fails ends the sequence, which
 needs no further correction; strata and rules share the error by Bonferroni.
 So with probability 1 - error no stratum loses more than ``risk`` of its clean
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .hashing import FIRST, word_bounds, word_hashes
+from .hashing import FIRST, equal_slices, word_bounds
 from .shared import blocks, bytes_of, lean, ship, table
 
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
@@ -41,11 +41,27 @@ RULES = {
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_exclamations")
 
 
-def _repeats(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def same_as(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A number for each slice, equal where the bytes are; ``key`` sorts them and bytes decide."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    head = first[which]
+    size = stop - start
+    equal = (size == size[head]) & equal_slices(buf, start, start[head], np.minimum(size, size[head]))
+    for i in np.flatnonzero(~equal).tolist():  # another text with the same key
+        x = buf[start[i] : stop[i]]
+        head[i] = next(j for j in np.flatnonzero(key == key[i]).tolist() if j == i or (size[j] == size[i] and np.array_equal(buf[start[j] : stop[j]], x)))
+    return head
+
+
+def _repeats(text: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sequences in order: whether one occurs again in its text, whether it occurred before."""
-    order = np.lexsort([np.arange(len(key)), key, text])
+    order = np.lexsort([np.arange(len(text)), *key, text])
     same = np.zeros(len(order), bool)
-    same[1:] = (key[order[1:]] == key[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+    same[1:] = text[order[1:]] == text[order[:-1]]
+    for k in key:
+        same[1:] &= k[order[1:]] == k[order[:-1]]
     any_ = same.copy()
     any_[:-1] |= same[1:]
     a, b = np.zeros(len(order), bool), np.zeros(len(order), bool)
@@ -60,14 +76,14 @@ def measure(buf: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     size = np.diff(np.concatenate([[0], ends]))
     of = np.repeat(np.arange(rows), size)
     points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    h = word_hashes(buf, start, stop)
     n = per(text)
-    at = np.arange(len(h))
+    word = same_as(buf, start, stop, FIRST.slices(FIRST.prefix(buf), start, stop))
+    at = np.arange(len(word))
     window = at + 3 <= np.cumsum(n)[text]
-    grams = FIRST.slices(FIRST.prefix(h), at[window], at[window] + 3)
-    again = _repeats(text[window], grams)[0]
-    edge = np.zeros(len(h) + 3, np.int64)
-    hit = at[window][again]
+    w = at[window]
+    again = _repeats(text[window], word[w], word[np.minimum(w + 1, len(word) - 1)], word[np.minimum(w + 2, len(word) - 1)])[0]
+    edge = np.zeros(len(word) + 3, np.int64)
+    hit = w[again]
     for j in range(3):
         edge[hit + j] = 1
     # Lines: between line feeds and the ends of texts.
@@ -80,13 +96,13 @@ def measure(buf: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     line_start[first] = (ends - size)[line_text[first]]
     worded = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     ls, le, lt = line_start[worded], line_end[worded], line_text[worded]
-    before = _repeats(lt, FIRST.slices(FIRST.prefix(buf), ls, le))[1]
-    counts = [n, np.bincount(text, weights=points[stop] - points[start], minlength=rows), per(of[_SYMBOL[buf]]), per(lt[before]), np.bincount(text, weights=edge[: len(h)], minlength=rows), per(lt), per(of[(buf >= 65) & (buf <= 90)]), per(of[buf == 33])]
+    before = _repeats(lt, same_as(buf, ls, le, FIRST.slices(FIRST.prefix(buf), ls, le)))[1]
+    counts = [n, np.bincount(text, weights=points[stop] - points[start], minlength=rows), per(of[_SYMBOL[buf]]), per(lt[before]), np.bincount(text, weights=edge[: len(word)], minlength=rows), per(lt), per(of[(buf >= 65) & (buf <= 90)]), per(of[buf == 33])]
     return {k: v.astype(np.int64) for k, v in zip(NAMES, counts, strict=True)}
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of NAMES for each whole text."""
+    """doc_id, lang, same (equal for equal texts) and the counts of NAMES for each whole text."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -95,9 +111,10 @@ def measures(docs: DataFrame) -> DataFrame:
             buf, ends = bytes_of(b.column(2))
             for i, j, lo, hi in blocks(ends):
                 m = measure(buf[lo:hi], ends[i:j] - lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(m[k]) for k in NAMES)], names=["doc_id", "lang", *NAMES])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(m[k]) for k in NAMES), b.column(3).slice(i, j - i)], names=["doc_id", "lang", *NAMES, "same"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(lean(run), "doc_id long, lang string, " + ", ".join(f"{k} long" for k in NAMES))
+    columns = (F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("same"))
+    return docs.select(*columns).mapInArrow(lean(run), "doc_id long, lang string, " + ", ".join(f"{k} long" for k in (*NAMES, "same")))
 
 
 def at_most(k: int, n: int, p: float) -> float:
@@ -140,8 +157,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, error:
     rows = rows.withColumn("base_failed", failed)
     clean = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     level = [F.struct(F.lit(name).alias("rule"), sum((F.expr(f"{e} > {c}").cast("int") for c in cutoffs), F.lit(0)).alias("level")) for name, (e, cutoffs) in RULES.items()]
-    # One row for each stratum, rule and cutoff.
-    found = rows.where(~F.col("base_failed")).join(clean, "doc_id").select("stratum", F.explode(F.array(*level)).alias("x")).groupBy("stratum", "x.rule", "x.level").count().collect()
+    # Copies are no independent trials: each distinct text counts once.  One row for each stratum, rule and cutoff.
+    trials = rows.where(~F.col("base_failed")).join(clean, "doc_id").dropDuplicates(["stratum", "same"])
+    found = trials.select("stratum", F.explode(F.array(*level)).alias("x")).groupBy("stratum", "x.rule", "x.level").count().collect()
     cut = choose([tuple(r) for r in found], risk, error)
     bad = F.lit(False)
     for name, (e, _) in RULES.items():
