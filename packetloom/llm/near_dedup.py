@@ -214,12 +214,13 @@ def similar_sizes(a: str, b: str, share: int):
     return (F.col(a) * share <= 100 * F.col(b)) & (F.col(b) * share <= 100 * F.col(a))
 
 
-def unsettled(docs: DataFrame, members: DataFrame, label: DataFrame, words: int, share: int) -> DataFrame:
-    """unit, rep, component of the members of buckets that hold several components.
+def unsettled(docs: DataFrame, members: DataFrame, label: DataFrame, words: int, share: int, unit_size: int) -> DataFrame:
+    """unit, rep, component, bands of the members of buckets that hold several components.
 
     Documents that, without the shingles no other one has, cannot reach the
     share with any other are left out.  A unit is a set of buckets that have
-    members in common, or a single bucket where such a set would be large.
+    members in common, or a single bucket where such a set would be large.  That only
+    saves comparisons: pairs count if they share a bucket, in either kind of unit.
     """
     now = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
@@ -235,7 +236,8 @@ def unsettled(docs: DataFrame, members: DataFrame, label: DataFrame, words: int,
     unit = components(table(now.join(near, "band").where("rep > a").select("a", F.col("rep").alias("b")).distinct(), "together"))
     size = unit.groupBy(F.col("component").alias("unit")).count()
     now = now.join(unit.toDF("rep", "unit"), "rep").join(size, "unit")
-    return now.select(F.when(F.col("count") > UNIT, F.xxhash64("band")).otherwise(F.col("unit")).alias("unit"), "rep", "component").distinct()
+    now = now.select(F.when(F.col("count") > unit_size, F.xxhash64("band")).otherwise(F.col("unit")).alias("unit"), "rep", "component", "band")
+    return now.groupBy("unit", "rep", "component").agg(F.collect_set("band").alias("bands"))  # at most BANDS
 
 
 def compare_all(docs: DataFrame, rest: DataFrame, words: int, share: int) -> DataFrame:
@@ -248,9 +250,9 @@ def compare_all(docs: DataFrame, rest: DataFrame, words: int, share: int) -> Dat
     size = rest.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = rest.join(size, "unit").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+    dealt = dealt.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "bands")
     sets = sets_of(docs, rest.select("rep").distinct(), words).distinct()
-    work = sets.join(dealt.withColumnRenamed("rep", "member"), "member").select("unit", "i", "j", "own", "member", "component", "grams")
+    work = sets.join(dealt.withColumnRenamed("rep", "member"), "member").select("unit", "i", "j", "own", "member", "component", "grams", "bands")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(rows):
@@ -273,6 +275,15 @@ def compare_all(docs: DataFrame, rest: DataFrame, words: int, share: int) -> Dat
             met += m @ m.T
         linked = 100 * met >= share * (n[:, None] + n[None, :] - met)
         linked &= (own[:, None] != own[None, :]) | (i == j)
+        bands, which = np.unique(np.concatenate([np.array(r[7], np.int64) for r in rows]), return_inverse=True)
+        of = np.repeat(np.arange(len(rows)), [len(r[7]) for r in rows])
+        together = np.zeros((len(rows), len(rows)), bool)
+        for low in range(0, len(bands), 4096):
+            part = (which >= low) & (which < low + 4096)
+            m = np.zeros((len(rows), 4096), np.float32)
+            m[of[part], which[part] - low] = 1
+            together |= m @ m.T > 0
+        linked &= together
         linked |= component[:, None] == component[None, :]
         at = np.arange(len(rows))
         while True:
@@ -302,7 +313,7 @@ def compare_all(docs: DataFrame, rest: DataFrame, words: int, share: int) -> Dat
     return work.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "member").mapInArrow(lean(compare), "a long, b long")
 
 
-def near_dedup(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = WORDS, share: int = SHARE, unit: int = UNIT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     docs = documents(docs)
     rows = table(scan(docs, words), "sets")
@@ -318,7 +329,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataF
     pairs = members.join(lead, "band").where((F.col("rep") != F.col("leader")) & similar_sizes("n", "m", share)).select("leader", F.col("rep").alias("member")).distinct()
     label = components(table(confirm(docs, table(pairs, "pairs"), words, share), "confirmed"))
     # Then whatever a bucket holds of several components.
-    rest = unsettled(docs, members, label, words, share)
+    rest = unsettled(docs, members, label, words, share, unit)
     label = components(table(compare_all(docs, rest, words, share), "links"), label)
     part = classes.select("k1", "k2", "rep")
     part = part.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

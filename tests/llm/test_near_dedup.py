@@ -58,14 +58,13 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize(("block", "unit"), [(400, 20_000), (7, 20_000), (7, 1)])
+@pytest.mark.parametrize(("block", "unit"), [(400, 20_000), (7, 10**9), (7, 2), (7, 0)])
 def test_near_dedup_equals_all_pairs(spark, seed, block, unit, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", block)
-    monkeypatch.setattr(near, "UNIT", unit)
     docs = corpus(seed)
     rows = [(i, t, 3, "x") for i, t in docs.items()] + [(5, docs[5], 9, "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n long, component string").repartition(6)
-    got = near.near_dedup(df).collect()
+    got = near.near_dedup(df, unit=unit).collect()
     want = brute(docs, 4, 80)
     assert len(got) == len(rows)
     bad = [(r, want[r[0]]) for r in got if want[r[0]] != tuple(r)[1:]]
