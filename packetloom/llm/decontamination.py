@@ -29,7 +29,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import table
+from .shared import table, unused
 
 WORDS, SHARE = 5, 80
 SKETCH = 16
@@ -63,19 +63,18 @@ def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, share: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = with_shingles(items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct(), "text", words, "item").withColumn("item", F.array_distinct("item")).where("size(item) > 0")
     items = table(items.select("item_id", "item", F.size("item").alias("n_item")), "items")
-    sizes = items.select(F.greatest(F.ceil(F.log2("n_item") / 2), F.lit(2)).cast("int").alias("c")).distinct()
-    found = None
-    for c in sorted(r[0] for r in sizes.collect()):  # at most one row for each power of four
-        bound = 4**c
-        low = 0 if c == 2 else 4 ** (c - 1)
-        mine = items.where((F.col("n_item") > low) & (F.col("n_item") <= bound)).select("item_id", F.explode(F.slice(F.sort_array("item"), 1, SKETCH)).alias("hash"))
-        if mine.count() <= BROADCAST_ROWS:
-            mine = F.broadcast(mine)
-        hashes = with_shingles(docs, "text", words).select("doc_id", F.explode(F.array_distinct("shingles") if c == 2 else stretches("shingles", bound)).alias("hash"))
-        pairs = hashes.join(mine, "hash").select("doc_id", "item_id").distinct()
-        found = pairs if found is None else found.union(pairs)
-    if found is None:
+    c = F.greatest(F.ceil(F.log2("n_item") / 2), F.lit(2)).cast("int").alias("c")  # the class has up to 4 ** c shingles
+    sizes = sorted(r[0] for r in items.select(c).distinct().collect())  # at most one row for each power of four
+    if not sizes:
         return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_item"))
+    mine = items.select("item_id", c, F.explode(F.slice(F.sort_array("item"), 1, SKETCH)).alias("hash"))
+    if mine.count() <= BROADCAST_ROWS:
+        mine = F.broadcast(mine)
+    # Shingles are computed once; each class takes its hashes of them.
+    tagged = lambda x: lambda h: F.struct(F.lit(x).alias("c"), h.alias("hash"))
+    each = [F.transform(F.array_distinct("shingles") if x == 2 else stretches("shingles", 4**x), tagged(x)) for x in sizes]
+    hashes = with_shingles(docs, "text", words).select("doc_id", F.inline(F.concat(*each)))
+    found = hashes.join(mine, ["c", "hash"]).select("doc_id", "item_id")
     # The pairs' true size lets Spark choose how to join the texts.
     wanted = table(found.distinct(), "candidates").withColumnRenamed("doc_id", "d")
     texts = docs.join(wanted.select("d").distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
@@ -87,8 +86,9 @@ def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, share: int
 
 def without_contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """docs, all columns, without documents that contain an item."""
-    bad = table(contained(docs, items, words, share).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    name = unused(docs, "_bad")
+    bad = table(contained(docs, items, words, share).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 ORACLE_SQL = """
