@@ -317,13 +317,15 @@ def limits(scored: DataFrame, of: str, share: float, prior: float = PRIOR) -> tu
 
 
 def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, prior: float = PRIOR) -> DataFrame:
-    """docs with ``perplexity`` and ``accepted``."""
+    """docs with ``perplexity`` and ``accepted``; columns of these names are replaced, all others kept as they are."""
     ship(docs.sparkSession)
     docs = docs.drop("perplexity", "accepted")
+    names = docs.columns
+    docs = docs.toDF(*(n if n in ("doc_id", "text", "lang") else f"c{i}" for i, n in enumerate(names)))  # no name of ours can clash
     ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
     trusted = table(only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), ids), "trusted")
     if trusted.isEmpty():
-        return docs.withColumns({"perplexity": F.lit(1.0), "accepted": F.lit(True)})
+        return docs.withColumns({"perplexity": F.lit(1.0), "accepted": F.lit(True)}).toDF(*names, "perplexity", "accepted")
     held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
     model = shards(train(trusted.where(~held)))
     strata = lambda df: df.withColumns({"_lang": F.coalesce("lang", F.lit("")), "_size": F.least(F.floor(F.log2(F.greatest(F.octet_length("text"), F.lit(1)))), F.lit(14)).cast("int")})
@@ -339,4 +341,4 @@ def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
         bin_ = F.round(F.log(of) * STEPS).cast("long")
         ok = ok & F.coalesce(bin_ >= limit if k == 0 else bin_ <= limit, F.lit(True))
     ok = (F.octet_length("text") <= 0) | F.col("text").isNull() | ok
-    return out.withColumn("accepted", ok).select(*docs.columns, "perplexity", "accepted")
+    return out.withColumn("accepted", ok).select(*docs.columns, "perplexity", "accepted").toDF(*names, "perplexity", "accepted")

@@ -49,7 +49,7 @@ def test_classifier_keeps_clean_documents(spark, steps):
 
 
 def test_near_dedup_stage(steps):
-    want = brute_near({r["doc_id"]: r["text"] for r in steps[1]}, 4, 80)
+    want = brute_near({r["doc_id"]: r["text"] for r in steps[1]}, 5, 80)
     assert sorted(r["doc_id"] for r in steps[2]) == sorted(i for i, x in want.items() if x[2])
 
 
@@ -97,3 +97,18 @@ def test_odd_documents_pass_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, DIR)
     assert empty.count() == 0
+
+
+def test_rows_that_share_a_doc_id_keep_their_own_texts(spark):
+    r = np.random.default_rng(5)
+    text = lambda n: " ".join("".join(r.choice(list("abcdefgh"), 6)) for _ in range(n))
+    a, b, c = text(60), text(60), text(80)
+    rows = [(1, a), (2, a), (2, b), (3, c[:300] + " " + b), (3, c), (None, text(50))]
+    docs = spark.createDataFrame([(*x, "en", 1, 2, 3, 4) for x in rows], "doc_id long, text string, lang string, _row int, _gone int, _id int, _text int")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, DIR)
+    assert kept.columns == docs.columns
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in kept.collect()) == sorted((x[0] or 0, x[1]) for x in rows if x != (2, a))
+    cut = corpus_pipeline.substring_stage(spark, kept, DIR)
+    want = brute_words({i: x["text"].encode() for i, x in enumerate(kept.collect())}, 35)
+    assert cut.count() == 5 and sum(len(x["text"].split()) for x in cut.collect()) == sum(n - gone for n, gone, _ in want.values())
+    assert corpus_pipeline.decontamination_stage(spark, cut, DIR).count() == 5
