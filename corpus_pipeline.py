@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packetloom.llm.bpe import decode, digest, encode
-from packetloom.llm.decontamination import without_contaminated
+from packetloom.llm.decontamination import contained
 from packetloom.llm.near_dedup import near_dedup
 from packetloom.llm.quality_model import quality
 from packetloom.llm.queries import _vocabulary
-from packetloom.llm.shared import table
+from packetloom.llm.shared import table, unused
 from packetloom.llm.substring_dedup import substring_dedup
+from packetloom.plans.stage import numbered
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,26 +25,49 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality(docs, labels).where("accepted").select(*docs.columns)
 
 
+def with_key(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """docs, its (doc_id, text) for an operator, and the column of docs that is this doc_id.
+
+    Where rows share a doc_id they are numbered by it and by their text and go on under that number, so
+    each is a document of its own and what one loses does not befall the other.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs, docs.select("doc_id", "text"), "doc_id"
+    name = unused(docs, "_row")
+    rows = numbered(docs, "rows", name, "doc_id", ["text"])[0]
+    return rows, rows.select(F.col(name).alias("doc_id"), "text"), name
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least doc_id."""
-    gone = table(near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    twice = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id", "text"]) if twice else kept
+    """One document of each group of near copies (five words, similarity 0.8): the one of least doc_id.
+
+    Of rows that share both doc_id and text one stays.
+    """
+    rows, texts, key = with_key(docs)
+    if key != "doc_id":
+        rows, texts, key = with_key(docs.dropDuplicates(["doc_id", "text"]))
+    name = unused(rows, "_gone")
+    gone = table(near_dedup(texts, words=5, share=80).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return rows.join(gone, rows[key].cast("long").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents without the words of repeated windows."""
-    cut = substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").cast("string").alias("_text"))
-    joined = docs.join(cut, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
-    text = F.coalesce("_text", "text")
-    new = {"text": text} | ({"n_chars": F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text"))} if "n_chars" in docs.columns else {})
+    rows, texts, key = with_key(docs)
+    name, left = unused(rows, "_id"), unused(rows, "_text")
+    cut = substring_dedup(texts).where("n_removed > 0").select(F.col("doc_id").alias(name), F.col("kept").cast("string").alias(left))
+    joined = rows.join(cut, rows[key].cast("long").eqNullSafe(F.col(name)), "left")
+    new = {"text": F.coalesce(left, "text")} | ({"n_chars": F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length(left))} if "n_chars" in docs.columns else {})
     return joined.withColumns(new).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows, texts, key = with_key(docs)
+    name = unused(rows, "_bad")
+    found = contained(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = table(found.select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return rows.join(bad, rows[key].cast("long").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
