@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("packetloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     pcap.register(spark)
-    frames = pcap.numbered(spark.read.format("pcap").load(a.pcap).where("error is null")).drop("error")
+    frames = pcap.numbered(spark.read.format("pcap").load(a.pcap))
     if a.check_determinism:
         one, two = (events.ndjson(engine.run(frames, c)) for _ in range(2))
         r = determinism.first_difference(one, two).first()
@@ -76,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
         head = events.session_header(spark, config.digest(c), a.pcap, c.mode, start)
         events.write_ndjson(head.union(events.ndjson(engine.run(frames, c))), a.output, a.one_file)
     if a.flows_csv:
-        packets = engine.decoded_packets(frames, c)[1]
+        packets = engine.decoded_packets(frames.where("error is null").drop("error"), c)[1]
         flows.summaries(flows.sessions_by_gap(flows.with_flow_key(packets), c.idle_us)).write.option("header", True).csv(a.flows_csv)
     return 0
 

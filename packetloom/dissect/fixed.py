@@ -169,7 +169,7 @@ def dhcp4_fixed(df: DataFrame) -> DataFrame:
         F.struct((acc["at"] + 2 + F.coalesce(u(P, acc["at"] + 1, 1), F.lit(0)).cast("int")).alias("at"), F.concat(acc["found"], F.array(F.struct(u(P, acc["at"], 1).cast("int").alias("code"), (acc["at"] + 2).alias("at"), F.coalesce(u(P, acc["at"] + 1, 1), F.lit(0)).cast("int").alias("size")))).alias("found"))
     )
     zero = F.struct(F.lit(240).alias("at"), F.array().cast("array<struct<code:int,at:int,size:int>>").alias("found"))
-    df = df.withColumn("_o", F.aggregate(F.sequence(F.lit(1), F.lit(64)), zero, lambda acc, _: step(acc))["found"])
+    df = df.withColumn("_o", F.when(size >= 240, F.aggregate(F.sequence(F.lit(1), F.lit(64)), zero, lambda acc, _: step(acc))["found"]))
 
     def option(code: int) -> Column:
         hit = F.get(F.filter("_o", lambda x: x["code"] == code), F.lit(0))

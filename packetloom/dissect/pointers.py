@@ -6,9 +6,11 @@ not be read.  Only rows that pass the caller's gate should come here.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -70,6 +72,15 @@ def dns(data: bytes) -> dict:
     need(data, 0, 12, "dns header")
     _, flags, qd, an, _, _ = struct.unpack(">6H", data[:12])
     out = {"is_response": bool(flags & 0x8000), "cname_chain": [], "mx_records": [], "ns_records": [], "txt_records": [], "srv_records": [], "bindings": []}
+    try:
+        _records(data, qd, an, out)
+    except (Bad, IndexError) as e:  # what came before the bad record stays, bindings above all
+        out["error"] = str(e)
+    return out
+
+
+def _records(data: bytes, qd: int, an: int, out: dict) -> None:
+    """Questions and answers into ``out``."""
     at, question = 12, None
     for i in range(qd):
         name, at = dns_name(data, at)
@@ -121,14 +132,20 @@ def dns(data: bytes) -> dict:
         if value is not None and len(out[lists[kind]]) < MAX_LIST:
             out[lists[kind]].append(value)
         at = end
-    return out
 
 
-TLS = "sni string, alpn string, alpn_protocols array<string>, session_resumed boolean, early_data boolean, ocsp boolean, ech boolean, legacy_version int, cipher_suites array<int>, extensions array<int>, groups array<int>, point_formats array<int>, error string"
+TLS = "sni string, alpn string, alpn_protocols array<string>, session_resumed boolean, early_data boolean, ocsp boolean, ech boolean, legacy_version int, cipher_suites array<int>, extensions array<int>, groups array<int>, point_formats array<int>, ja3 string, version string, error string"
 
 
 def tls_client_hello(data: bytes) -> dict | None:
-    """Fields of a ClientHello; None for other records."""
+    """Fields of a ClientHello with its fingerprint; None for other records."""
+    out = _client_hello(data)
+    if out is not None:
+        out |= {"ja3": hashlib.md5(ja3_text(out).encode()).hexdigest(), "version": NEGOTIATED.get(out["legacy_version"], "UNKNOWN")}
+    return out
+
+
+def _client_hello(data: bytes) -> dict | None:
     need(data, 0, 5, "record header")
     if data[0] != 22 or data[1] != 3:
         return None
@@ -305,11 +322,13 @@ def dhcp6(data: bytes) -> dict | None:
 
 
 def hpack_static() -> dict[int, tuple[str, str]]:
-    """The first entries of the static table of RFC 7541 that requests use."""
-    # Fixed values.
-    names = [":authority", ":method", ":method", ":path", ":path", ":scheme", ":scheme", ":status", ":status", ":status", ":status", ":status", ":status", ":status"]
-    values = ["", "GET", "POST", "/", "/index.html", "http", "https", "200", "204", "206", "304", "400", "404", "500"]
-    return {i + 1: x for i, x in enumerate(zip(names, values, strict=True))}
+    """The static table of RFC 7541, appendix A."""
+    # Fixed values, in their order.
+    valued = [(":authority", ""), (":method", "GET"), (":method", "POST"), (":path", "/"), (":path", "/index.html"), (":scheme", "http"), (":scheme", "https")]
+    valued += [(":status", x) for x in ("200", "204", "206", "304", "400", "404", "500")]
+    valued += [("accept-charset", ""), ("accept-encoding", "gzip, deflate")]
+    names = "accept-language accept-ranges accept access-control-allow-origin age allow authorization cache-control content-disposition content-encoding content-language content-length content-location content-range content-type cookie date etag expect expires from host if-match if-modified-since if-none-match if-range if-unmodified-since last-modified link location max-forwards proxy-authenticate proxy-authorization range referer refresh retry-after server set-cookie strict-transport-security transfer-encoding user-agent vary via www-authenticate"
+    return dict(enumerate([*valued, *((n, "") for n in names.split())], 1))
 
 
 HTTP2 = "method string, scheme string, authority string, path string, status string, error string"
@@ -500,3 +519,33 @@ def certificate(data: bytes) -> dict | None:
 
 
 DISSECTORS |= {"server": (tls_server_hello, SERVER), "certificate": (certificate, CERTIFICATE)}
+
+
+def dissect_each(df: DataFrame, gates: dict[str, tuple[str, Column]], payload: str = "payload") -> DataFrame:
+    """Adds a struct column for each gate (column name: dissector, condition) in one Arrow pass.
+
+    A row is read by every dissector whose condition holds; the struct is null otherwise.
+    """
+    place, old = df.columns.index(payload), len(df.columns)
+    df = df.withColumns({f"_{name}": F.coalesce(when, F.lit(False)) for name, (_, when) in gates.items()})
+    schema = StructType(df.schema.fields[:old])
+    for name, (kind, _) in gates.items():
+        schema = schema.add(name, _parse_datatype_string(DISSECTORS[kind][1]))
+    arrow = [to_arrow_schema(schema).field(name).type for name in gates]
+    parsers = [DISSECTORS[kind][0] for kind, _ in gates.values()]
+
+    def run(batches):
+        for b in batches:
+            data = b.column(place)
+            columns = list(b.columns[:old])
+            for i, (parse, type_) in enumerate(zip(parsers, arrow, strict=True)):
+                out: list = [None] * b.num_rows
+                for at in np.flatnonzero(b.column(old + i).to_numpy(zero_copy_only=False)).tolist():
+                    try:
+                        out[at] = parse(data[at].as_py() or b"")
+                    except (Bad, IndexError) as e:
+                        out[at] = {"error": str(e)}
+                columns.append(pa.array(out, type=type_))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -44,7 +44,10 @@ RISK_WEIGHTS = {"deprecated_version": 20, "version_downgrade": 25, "weak_cipher"
 
 def name_of(value: Column, names: dict, default) -> Column:
     """Look-up in a literal map; Catalyst folds the map to a constant."""
-    table = F.create_map(*(F.lit(x) for k, v in names.items() for x in (k, v)))
+    if not names:
+        return default if isinstance(default, Column) else F.lit(default)
+    pairs = ", ".join(f"{k}{'L' if wide else ''}, '{v}'" for wide in [max(names) > 0x7FFFFFFF] for k, v in names.items())
+    table = F.expr(f"map({pairs})")  # one text to parse instead of a call for each entry
     return F.coalesce(F.try_element_at(table, value), default if isinstance(default, Column) else F.lit(default))
 
 

@@ -9,18 +9,39 @@ from .decode import flow_id
 
 FIELDS = ("packet_id", "timestamp_us", "event_type", "protocol", "flow_id", "ordinal", "attributes")
 # The place of each kind of event within one packet.
-ORDINALS = {"discovery.device": 0, "flow": 1, "engine.parse_error": 2, "dns": 3, "tls.client_hello": 4, "http.request": 6, "http.response": 7, "quic.sni": 8, "dhcp.message": 9, "icmp.message": 10, "smb.session": 11, "mdns.record": 12}
+ORDINALS = {"discovery.device": 0, "flow": 1, "engine.parse_error": 2, "dns": 3, "tls.client_hello": 4, "tls.server_hello": 5, "http.request": 6, "http.response": 7, "quic.sni": 8, "dhcp.message": 9, "icmp.message": 10, "smb.session": 11, "mdns.record": 12, "engine.capture_error": 13}
 
 
 def attributes(**values) -> Column:
     """A map of strings in key order; absent values are left out."""
+    if not values:
+        return F.expr("cast(map() as map<string, string>)")
     pairs = [F.struct(F.lit(k).alias("key"), (v if isinstance(v, Column) else F.col(v)).cast("string").alias("value")) for k, v in sorted(values.items())]
     return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"].isNotNull()))
 
 
+def _lit(x) -> Column:
+    return F.lit(x) if isinstance(x, str) else x
+
+
 def event(df: DataFrame, event_type: Column | str, protocol: Column | str, ordinal: int, flow: Column | str, **values) -> DataFrame:
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return df.select("packet_id", "timestamp_us", lit(event_type).alias("event_type"), lit(protocol).alias("protocol"), lit(flow).alias("flow_id"), F.lit(ordinal).alias("ordinal"), attributes(**values).alias("attributes"))
+    return df.select("packet_id", "timestamp_us", _lit(event_type).alias("event_type"), _lit(protocol).alias("protocol"), _lit(flow).alias("flow_id"), F.lit(ordinal).alias("ordinal"), attributes(**values).alias("attributes"))
+
+
+def one(when: Column, event_type: Column | str, protocol: str, ordinal: int, flow: Column | str, **values) -> Column:
+    """An event as a struct, null where the condition does not hold."""
+    return F.when(when, F.struct(_lit(event_type).alias("event_type"), F.lit(protocol).alias("protocol"), _lit(flow).alias("flow_id"), F.lit(ordinal).alias("ordinal"), attributes(**values).alias("attributes")))
+
+
+def one_error(reason: str, protocol: str) -> Column:
+    return one(F.col(reason).isNotNull(), "engine.parse_error", protocol, ORDINALS["engine.parse_error"], "", reason=shortened(reason))
+
+
+def spread(df: DataFrame, found: list[Column]) -> DataFrame:
+    """One row for each event that a row has."""
+    if not found:
+        return event(df.limit(0), "", "", 0, "")
+    return df.select("packet_id", "timestamp_us", F.inline(F.array_compact(F.array(*found)))).select(*FIELDS)
 
 
 def flow_events(counted: DataFrame, updates: bool = True) -> DataFrame:
@@ -36,9 +57,18 @@ def device_events(first_seen: DataFrame) -> DataFrame:
     return event(first_seen.withColumnRenamed("frame_no", "packet_id"), "discovery.device", "ARP", ORDINALS["discovery.device"], "", mac="src_mac")
 
 
+def shortened(reason: str) -> Column:
+    return F.when(F.length(reason) > 256, F.concat(F.left(F.col(reason), F.lit(256)), F.lit("...[truncated]"))).otherwise(F.col(reason))
+
+
 def parse_errors(df: DataFrame, protocol: str, reason: str) -> DataFrame:
-    text = F.when(F.length(reason) > 256, F.concat(F.left(F.col(reason), F.lit(256)), F.lit("...[truncated]"))).otherwise(F.col(reason))
-    return event(df.where(F.col(reason).isNotNull()), "engine.parse_error", protocol, ORDINALS["engine.parse_error"], "", reason=text)
+    return event(df.where(F.col(reason).isNotNull()), "engine.parse_error", protocol, ORDINALS["engine.parse_error"], "", reason=shortened(reason))
+
+
+def capture_errors(frames: DataFrame) -> DataFrame:
+    """Rows of a capture that could not be read (column error), at their frame's place."""
+    rows = frames.where("error is not null").select(F.col("frame_no").alias("packet_id"), F.coalesce("timestamp_us", F.lit(0)).cast("long").alias("timestamp_us"), "error", "file")
+    return event(rows, "engine.capture_error", "", ORDINALS["engine.capture_error"], "", reason="error", file="file")
 
 
 def ordered(*parts: DataFrame) -> DataFrame:

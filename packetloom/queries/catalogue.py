@@ -643,3 +643,83 @@ def fingerprint_labels(spark, sf_dir):
 @query("SELECT tick_us, flows, CAST(sum(flows) OVER (ORDER BY tick_us) AS BIGINT) AS total FROM (SELECT CAST(floor(first_seen_us / 60000000) AS BIGINT) * 60000000 AS tick_us, count(*) AS flows FROM (" + sql.GAP + sql.SUMMARY + ") GROUP BY 1)")
 def flows_per_minute(spark, sf_dir):
     return reports.new_per_tick(flows.summaries(gap_sessions(spark, sf_dir)))
+
+
+# The engine's own events, from frames that carry one protocol each
+
+_STREAM = """WITH e AS (SELECT event_id + 1 AS pid, 1704067200000000 + event_id * 250000 AS ts FROM events),
+ p AS (SELECT pid, ts, pid % 9 AS k, '10.' || CAST(pid // 50000 AS VARCHAR) || '.0.1' AS src_ip, CAST(10000 + pid % 50000 AS VARCHAR) AS src_port, '192.168.1.' || CAST(10 + pid % 7 AS VARCHAR) AS dst_ip,
+  CAST([53, 443, 80, 445, 5353, 67, 443, 53, 443][pid % 9 + 1] AS VARCHAR) AS dst_port, CASE WHEN pid % 9 IN (1, 2, 3, 8) THEN 'TCP' ELSE 'UDP' END AS protocol, '02:00:00:00:00:' || lower(lpad(hex(CAST(pid % 50 AS BIGINT)), 2, '0')) AS mac FROM e),
+ f AS (SELECT *, src_ip || ':' || src_port || '-' || dst_ip || ':' || dst_port || '-' || protocol AS flow, CAST(pid AS VARCHAR) AS n, '198.51.100.' || CAST(pid % 250 AS VARCHAR) AS a FROM p),
+ x AS (SELECT min(pid) AS pid, min(ts) AS ts, 0 AS o, 'discovery.device' AS event_type, 'ARP' AS protocol, '' AS flow_id, '{"mac":"' || mac || '"}' AS attributes FROM f GROUP BY mac
+  UNION ALL SELECT pid, ts, 1, 'flow.new', protocol, flow, NULL FROM f
+  UNION ALL SELECT pid, ts, 2, 'engine.parse_error', 'DNS', '', '{"reason":"dns header at offset 0 exceeds 5 bytes"}' FROM f WHERE k = 7
+  UNION ALL SELECT pid, ts, 3, 'dns.response', 'DNS', flow, '{"is_response":"true","query_name":"h' || n || '.example.com","record_type":"A","resolved_ip":"' || a || '","ttl":"60"}' FROM f WHERE k = 0
+  UNION ALL SELECT pid, ts, 4, 'tls.client_hello', 'TLS', flow, '{"alpn":"h2","ja3":"' || md5('771,4865-4866,0-16-10-11-35,29-23,0') || '","session_resumed":"false","sni":"s' || n || '.example","tls_version":"TLS1.2"}' FROM f WHERE k = 1
+  UNION ALL SELECT pid, ts, 5, 'tls.server_hello', 'TLS', flow, '{"alpn":"h2","cipher_suites":"4865","tls_version":"TLS1.3"}' FROM f WHERE k = 8
+  UNION ALL SELECT pid, ts, 6, 'http.request', 'HTTP', flow, '{"host":"a.example","http_version":"HTTP/1.1","method":"GET","uri":"/' || n || '"}' FROM f WHERE k = 2
+  UNION ALL SELECT pid, ts, 8, 'quic.sni', 'QUIC', flow, '{"quic_version":"QUIC v1"}' FROM f WHERE k = 6
+  UNION ALL SELECT pid, ts, 9, 'dhcp.message', 'DHCP', flow, '{"assigned_ip":"' || a || '","client_mac":"02:00:00:00:00:07","hostname":"host' || n || '","msg_type":"ACK","requested_ip":"203.0.113.1","vendor_class":"v"}' FROM f WHERE k = 5
+  UNION ALL SELECT pid, ts, 11, 'smb.session', 'SMB', flow, '{"command":"' || CASE pid % 2 WHEN 0 THEN 'NEGOTIATE' ELSE 'SESSION_SETUP' END || '","dst_ip":"' || dst_ip || '","smb_version":"SMB2","src_ip":"' || src_ip || '","status":"STATUS_SUCCESS"}' FROM f WHERE k = 3
+  UNION ALL SELECT pid, ts, 12, 'mdns.record', 'mDNS', flow, '{"is_response":"false","query_name":"p' || n || '._http._tcp.local","record_type":"PTR","src_ip":"' || src_ip || '"}' FROM f WHERE k = 4)
+"""
+
+
+def _stream(spark, sf_dir):
+    """One frame for each event, of nine kinds of traffic by its number."""
+    pid = F.col("packet_id")
+    e = read(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("packet_id"), (F.lit(1704067200000000) + F.col("event_id") * 250000).alias("timestamp_us")).repartition(spark.sparkContext.defaultParallelism, "packet_id")
+    k, n = pid % 9, pid.cast("string")
+    text = lambda a, b="": F.concat(F.lit(a), n, F.lit(b))
+    ip = F.concat(raw("C63364"), be(pid % 250, 1))
+    ext = F.concat(raw("002B00020304"), raw("00100005" + "0003026832"))
+    hello = F.concat(raw("0303" + "5A" * 32 + "00"), be(F.lit(4865), 2), raw("00"), payloads.counted(ext, 2))
+    kinds = [
+        (53, payloads.dns_response(text("h", ".example.com"), ip, F.lit(60))),
+        (443, payloads.tls_client_hello(text("s", ".example"), F.array(F.lit("h2")), F.lit(False), F.array(F.lit(4865), F.lit(4866)))),
+        (80, payloads.text(text("GET /", " HTTP/1.1\r\nHost: a.example\r\n\r\n"))),
+        (445, payloads.smb2(pid % 2, F.lit(0), F.lit(False))),
+        (5353, F.concat(raw("000000000001000000000000"), payloads.dns_labels(text("p", "._http._tcp.local")), raw("000C0001"))),
+        (67, payloads.dhcp4(F.lit(5), ip, raw("020000000007"), text("host"), raw("CB007101"), F.lit("v"))),
+        (443, payloads.quic_initial(F.lit(1), raw("0102030405060708"), raw("0A"), F.lit(0))),
+        (53, raw("1234818000")),
+        (443, F.concat(raw("160303"), payloads.counted(F.concat(raw("02"), payloads.counted(hello, 3)), 2))),
+    ]
+    port, body = F.lit(0), raw("")
+    for i, (number, data) in enumerate(kinds):
+        port, body = F.when(k == i, number).otherwise(port), F.when(k == i, data).otherwise(body)
+    p = decode.staged(
+        e,
+        src_ip=F.concat(F.lit("10."), F.floor(pid / 50000).cast("string"), F.lit(".0.1")), src_port=(10000 + pid % 50000).cast("int"), dst_ip=F.concat(F.lit("192.168.1."), (10 + pid % 7).cast("string")), dst_port=port.cast("int"),
+        protocol=F.when(k.isin(1, 2, 3, 8), "TCP").otherwise("UDP"), src_mac=F.concat(F.lit("02:00:00:00:00:"), F.lower(F.lpad(F.hex(pid % 50), 2, "0"))), body=body,
+    )
+    return encode_frames(p, F.col("body"))
+
+
+@query(_STREAM + "SELECT row_number() OVER (ORDER BY pid, o) AS event_id, pid AS packet_id, ts AS timestamp_us, event_type, protocol, flow_id, attributes FROM x")
+def engine_stream(spark, sf_dir):
+    out = engine.run(_stream(spark, sf_dir), config.preset("forensic"))
+    return out.select("event_id", "packet_id", "timestamp_us", "event_type", "protocol", "flow_id", F.when(~F.startswith("event_type", F.lit("flow.")), F.to_json("attributes")).alias("attributes"))
+
+
+@query("""SELECT packet_id, CASE r WHEN 1 THEN 'd' || g || '.example.com' WHEN 3 THEN 'lease' || g WHEN 5 THEN 'm' || g || '.local' ELSE 'b' || g || '.example.com' END AS domain
+ FROM (SELECT event_id AS packet_id, event_id % 8 AS r, CAST(event_id // 8 AS VARCHAR) AS g FROM events WHERE event_id > 0) WHERE r % 2 = 1 AND (r <> 1 OR packet_id > 1)""")
+def engine_domains(spark, sf_dir):
+    """Flows are named by DNS answers (those before a bad record too), leases and announcements seen before them."""
+    pid = F.col("packet_id")
+    e = read(spark, sf_dir, "events").where("event_id > 0").select(F.col("event_id").alias("packet_id"), (F.lit(1704067200000000) + F.col("event_id") * 250000).alias("timestamp_us")).repartition(spark.sparkContext.defaultParallelism, "packet_id")
+    r, g = pid % 8, F.floor(pid / 8)
+    last = be(g % 250, 1)
+    text = lambda a, b="": F.concat(F.lit(a), g.cast("string"), F.lit(b))
+    by = lambda *xs: F.element_at(F.array(*xs), (r + 1).cast("int"))
+    address = lambda net: F.concat(F.lit(net), (g % 250).cast("string"))
+    hello = raw("2E")
+    body = F.when(r == 0, payloads.dns_response(text("d", ".example.com"), F.concat(raw("C63364"), last), F.lit(60))).when(r == 2, payloads.dhcp4(F.lit(5), F.concat(raw("CB0071"), last), raw("020000000007"), text("lease"), raw("CB007101"), F.lit("v")))
+    body = body.when(r == 4, payloads.dns_response(text("m", ".local"), F.concat(raw("C00002"), last), F.lit(60))).when(r == 6, payloads.dns_response(text("b", ".example.com"), F.concat(raw("C61200"), last), F.lit(60), raw("C00C00"), 1)).otherwise(hello)
+    here = [F.lit("10.0.0.1")] * 8
+    source = [*here[:4], address("192.0.2."), *here[5:]]
+    target = [here[0], address("198.51.100."), here[2], address("203.0.113."), F.lit("224.0.0.251"), address("192.0.2."), here[6], address("198.18.0.")]
+    ports = [F.lit(x) for x in (53, 7000, 67, 7000, 5353, 7000, 53, 7000)]
+    p = decode.staged(e, src_ip=by(*source), src_port=(10000 + pid % 50000).cast("int"), dst_ip=by(*target), dst_port=by(*ports), protocol=F.lit("UDP"), src_mac=F.lit("02:00:00:00:00:01"), body=body)
+    out = engine.run(encode_frames(p, F.col("body")), config.preset("forensic")).where("event_type in ('flow.new', 'flow.update') and packet_id % 2 = 1 and packet_id > 1")
+    return out.select("packet_id", F.col("attributes")["domain"].alias("domain"))
