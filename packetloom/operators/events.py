@@ -12,12 +12,12 @@ FIELDS = ("packet_id", "timestamp_us", "event_type", "protocol", "flow_id", "ord
 ORDINALS = {"discovery.device": 0, "flow": 1, "engine.parse_error": 2, "dns": 3, "tls.client_hello": 4, "tls.server_hello": 5, "http.request": 6, "http.response": 7, "quic.sni": 8, "dhcp.message": 9, "icmp.message": 10, "smb.session": 11, "mdns.record": 12, "engine.capture_error": 13}
 
 
-def attributes(**values) -> Column:
-    """A map of strings in key order; absent values are left out."""
+def attributes(**values: str) -> Column:
+    """A map of strings in key order from SQL expressions; absent values are left out."""
     if not values:
         return F.expr("cast(map() as map<string, string>)")
-    pairs = [F.struct(F.lit(k).alias("key"), (v if isinstance(v, Column) else F.col(v)).cast("string").alias("value")) for k, v in sorted(values.items())]
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"].isNotNull()))
+    pairs = ", ".join(f"named_struct('key', '{k}', 'value', cast({v} as string))" for k, v in sorted(values.items()))
+    return F.expr(f"map_from_entries(filter(array({pairs}), x -> x.value is not null))")
 
 
 def _lit(x) -> Column:
@@ -57,8 +57,8 @@ def device_events(first_seen: DataFrame) -> DataFrame:
     return event(first_seen.withColumnRenamed("frame_no", "packet_id"), "discovery.device", "ARP", ORDINALS["discovery.device"], "", mac="src_mac")
 
 
-def shortened(reason: str) -> Column:
-    return F.when(F.length(reason) > 256, F.concat(F.left(F.col(reason), F.lit(256)), F.lit("...[truncated]"))).otherwise(F.col(reason))
+def shortened(reason: str) -> str:
+    return f"if(length({reason}) > 256, concat(left({reason}, 256), '...[truncated]'), {reason})"
 
 
 def parse_errors(df: DataFrame, protocol: str, reason: str) -> DataFrame:
@@ -71,15 +71,16 @@ def capture_errors(frames: DataFrame) -> DataFrame:
     return event(rows, "engine.capture_error", "", ORDINALS["engine.capture_error"], "", reason="error", file="file")
 
 
-def ordered(*parts: DataFrame) -> DataFrame:
+def ordered(*parts: DataFrame, top: int | None = None) -> DataFrame:
     """One stream with event_id 1, 2, ...: by packet, place within it, type, attributes.
 
-    The union is computed once, into a table by ranges of packets (see stage.numbered).
+    The union goes into a table by ranges of packets (see stage.numbered); with ``top``, the
+    greatest packet_id, it is computed once, else once more for a sample of its range.
     """
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
-    return numbered(all_, "events", "event_id", "packet_id", ["ordinal", "event_type", "flow_id", F.to_json("attributes"), "timestamp_us"])[0].select("event_id", *FIELDS)
+    return numbered(all_, "events", "event_id", "packet_id", ["ordinal", "event_type", "flow_id", F.to_json("attributes"), "timestamp_us"], top=top)[0].select("event_id", *FIELDS)
 
 
 def ndjson(events: DataFrame) -> DataFrame:

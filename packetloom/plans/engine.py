@@ -127,7 +127,7 @@ def protocol_events(rows: DataFrame, c: Config) -> DataFrame:
     found = []
 
     def add(when, type_, protocol, name, **values):
-        found.append(events.one(F.expr(when), type_, protocol, events.ORDINALS[name], flow_id(), **values))
+        found.append(events.one(F.expr(when), type_, protocol, events.ORDINALS[name], F.col("flow"), **values))
 
     if "dns" in batches:
         add("dns.query_name is not null and dns.error is null", F.when(F.col("dns.is_response"), "dns.response").otherwise("dns.query"), "DNS", "dns", query_name="dns.query_name", record_type="dns.record_type", resolved_ip="dns.resolved_ip", ttl="dns.ttl", is_response="dns.is_response")
@@ -139,8 +139,8 @@ def protocol_events(rows: DataFrame, c: Config) -> DataFrame:
     if "http" in plain:
         add("http.method is not null", "http.request", "HTTP", "http.request", method="http.method", uri="http.uri", http_version="http.version", host="http.host", user_agent="http.user_agent", content_type="http.content_type", content_length="http.content_length")
         add("http.status is not null", "http.response", "HTTP", "http.response", status_code="http.status", http_version="http.version", content_type="http.content_type", content_length="http.content_length")
-        add("http2.method is not null", "http.request", "HTTP", "http.request", method="http2.method", uri="http2.path", http_version=F.lit("HTTP/2"), host="http2.authority")
-        add("http2.status is not null", "http.response", "HTTP", "http.response", status_code="http2.status", http_version=F.lit("HTTP/2"))
+        add("http2.method is not null", "http.request", "HTTP", "http.request", method="http2.method", uri="http2.path", http_version="'HTTP/2'", host="http2.authority")
+        add("http2.status is not null", "http.response", "HTTP", "http.response", status_code="http2.status", http_version="'HTTP/2'")
     if "dhcp" in plain:
         add("dhcp.msg_type is not null", "dhcp.message", "DHCP", "dhcp.message", msg_type="dhcp.msg_type", client_mac="dhcp.client_mac", hostname="dhcp.hostname", assigned_ip="dhcp.assigned_ip", requested_ip="dhcp.requested_ip", vendor_class="dhcp.vendor_class")
         add("dhcp6.msg_type is not null", "dhcp.message", "DHCP", "dhcp.message", msg_type="dhcp6.msg_type", client_mac="dhcp6.client_duid", assigned_ip="dhcp6.assigned_ip")
@@ -152,7 +152,7 @@ def protocol_events(rows: DataFrame, c: Config) -> DataFrame:
         add("mdns.query_name is not null and mdns.error is null", "mdns.record", "mDNS", "mdns.record", query_name="mdns.query_name", is_response="mdns.is_response", record_type="mdns.record_type", src_ip="src_ip")
     if c.parse_errors:
         found += [events.one_error(f"{name}.error", ERRORS[name]) for name in batches]
-    return events.spread(rows, found)
+    return events.spread(rows.withColumn("flow", flow_id()), found)
 
 
 def run(frames: DataFrame, c: Config) -> DataFrame:
@@ -174,4 +174,4 @@ def run(frames: DataFrame, c: Config) -> DataFrame:
     if c.parse_errors:
         parts.append(events.parse_errors(decoded.withColumn("packet_id", F.col("frame_no")), "FRAME", "error"))
         parts.append(events.parse_errors(given_up.withColumn("reason", F.lit("too many bytes out of order")), "TCP", "reason"))
-    return events.ordered(*parts)
+    return events.ordered(*parts, top=decoded.agg(F.max("frame_no")).first()[0] or 0)

@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows of a partition that monotonically_increasing_id counts, fixed by Spark.
-_ROWS = 1 << 33
+#: Ranges for each partition where their bounds are known beforehand.
+RANGES = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,29 +35,36 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str, into: str, by: str, then: list, last=None) -> tuple[DataFrame, DataFrame]:
+def numbered(df: DataFrame, name: str, into: str, by: str, then: list, last=None, top: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Adds ``into``: 1, 2, ... by ``by`` and then ``then``, without a global sort.
 
     Rows are dealt by ranges of ``by``, sorted and written once with their place
     in their partition.  Counts and numbers are both read from those files, so
     they cannot disagree, however a partitioning is sampled or coalesced.  Only one
-    count for each partition goes to the driver.  Rows for which ``last`` holds come
-    after the others of their partition and get no number.  Returns the
-    numbered rows and all rows as written.
+    count for each range goes to the driver.  The ranges come from a sample, or, if the
+    greatest value ``top`` of a ``by`` from 0 on is given, are RANGES equal ones for each partition.
+    Rows for which ``last`` holds come after the others of their partition and get no
+    number.  Returns the numbered rows and all rows as written.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tail = F.lit(False) if last is None else F.coalesce(last, F.lit(True))
-    placed = df.withColumn("_last", tail).repartitionByRange(parts, by).sortWithinPartitions("_last", by, *then)
-    placed = table(placed.withColumn("_place", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_place", 33)
-    sizes = placed.where("not _last").groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    df = df.withColumn("_last", tail)
+    if top is None:
+        dealt, part = df.repartitionByRange(parts, by), F.shiftright("_place", 33)
+    else:
+        width = max(1, -(-(top + 1) // (parts * RANGES)))
+        part = F.floor(F.col(by) / width)
+        dealt = df.repartition(parts, part)
+    # A range is whole in one partition and its rows stand together there.
+    placed = table(dealt.sortWithinPartitions("_last", by, *then).withColumn("_place", F.monotonically_increasing_id()), name)
+    sizes = placed.where("not _last").groupBy(part.alias("_part")).agg(F.count("*").alias("n"), F.min("_place").alias("first")).orderBy("_part").collect()
     before, rows = 0, []
     for r in sizes:
-        rows.append((r["_part"], before))
+        rows.append((r["_part"], before - r["first"]))
         before += r["n"]
     offsets = spark.createDataFrame(rows, "_part long, _before long")
     found = placed.where("not _last").withColumn("_part", part).join(F.broadcast(offsets), "_part", "left")
-    missing = F.raise_error(F.lit("a partition without a count"))
-    number = F.coalesce("_before", missing.cast("long")) + F.pmod("_place", F.lit(_ROWS)) + 1
+    missing = F.raise_error(F.lit("a range without a count"))
+    number = F.coalesce("_before", missing.cast("long")) + F.col("_place") + 1
     return found.withColumn(into, number).drop("_part", "_before", "_place", "_last"), placed.drop("_place", "_last")
