@@ -282,15 +282,6 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
     rank[by_rank] = np.arange(len(by_rank))
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
     shared = spark.sparkContext.broadcast(rank)
-    packed = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
-
-    def shrink(batches):
-        for b in batches:
-            raw, ends = bytes_of(b.column(1))
-            ids = raw.view(dtype)
-            n = np.diff(np.concatenate([[0], ends])) // ids.itemsize
-            control, c, data, d = pack(shared.value[ids], n)
-            yield batch(packed, b.column(0), n, _cut(control, c), _cut(data, d))
 
     def fill(batches):
         from pyspark import TaskContext
@@ -304,20 +295,22 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, block
             return batch(_BLOCKS, [shard], [number], [before], [sum(counts)], [np.array(ids, "<i8").tobytes()], [np.array(counts, "<i8").tobytes()], [b"".join(control)], [b"".join(data)])
 
         for b in batches:
-            ids = ids_of(b.column(0))
-            for i in range(b.num_rows):
-                n = b.column(1)[i].as_py()
+            raw, ends = bytes_of(b.column(1))
+            ids = raw.view(dtype)
+            counts = np.diff(np.concatenate([[0], ends])) // ids.itemsize
+            control, c, data, d = pack(shared.value[ids], counts)
+            for doc, n, x, y in zip(ids_of(b.column(0)).tolist(), counts.tolist(), _cut(control, c), _cut(data, d), strict=True):
                 if held and size + n > block:
                     yield close()
                     number, before, held, size = number + 1, before + size, [], 0
-                held.append((int(ids[i]), n, b.column(2)[i].as_py(), b.column(3)[i].as_py()))
+                held.append((doc, n, x, y))
                 size += n
         if held:
             yield close()
 
     n = spark.conf.get("spark.sql.shuffle.partitions")
-    small = encoded.mapInArrow(lean(shrink, "tokens"), "doc_id long, n long, control binary, data binary")
-    small.repartitionByRange(int(n), "doc_id").sortWithinPartitions("doc_id", "data", "control").mapInArrow(lean(fill, "tokens"), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    # Ranges are sampled from the written ids, so no Python runs for the sample.
+    encoded.repartitionByRange(int(n), "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(lean(fill, "tokens"), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 _DOCS = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
