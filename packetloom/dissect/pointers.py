@@ -395,7 +395,73 @@ def http2(data: bytes) -> dict | None:
     return None
 
 
-DISSECTORS: dict[str, tuple[Callable, str]] = {"dns": (dns, DNS), "tls": (tls_client_hello, TLS), "kerberos": (kerberos, KERBEROS), "ldap": (ldap, LDAP), "dhcp6": (dhcp6, DHCP6), "http2": (http2, HTTP2)}
+QUIC = "sni string, early_data boolean, error string"
+# Versions whose first packets have the layout of RFC 9000, longest connection id, bytes searched for frames.
+QUIC_LAYOUTS, MAX_CONNECTION_ID, MAX_FRAME_BYTES = (0x00000001, 0x6B3343CF, 0xFF00001D, 0xFF00001C, 0xFF00001B), 20, 4096
+
+
+def quic_integer(data: bytes, at: int) -> tuple[int | None, int]:
+    """A variable-length integer and the offset after it; None where the data end before it does."""
+    size = 1 << (data[at] >> 6) if at < len(data) else 1
+    if at + size > len(data):
+        return None, at
+    return int.from_bytes(data[at : at + size]) & (1 << 8 * size - 2) - 1, at + size
+
+
+def quic_initial(data: bytes) -> dict | None:
+    """Server name in the CRYPTO data of an Initial packet, early data of a 0-RTT packet.
+
+    Frames are read as they stand.  Protected ones are not decrypted: they give nothing, or
+    the error of a CRYPTO frame that exceeds its datagram.  Packets cut short give nothing.
+    """
+    if len(data) < 6 or data[0] < 0xC0 or int.from_bytes(data[1:5]) not in QUIC_LAYOUTS:
+        return None
+    kind, at = data[0] >> 4 & 3, 5
+    if kind:
+        return {"early_data": True} if kind == 1 else None
+    for what in ("DCID", "SCID"):
+        if at == len(data):
+            return None
+        if data[at] > MAX_CONNECTION_ID:
+            raise Bad(f"{what} of {data[at]} bytes at offset {at}")
+        need(data, at + 1, data[at], what)
+        at += 1 + data[at]
+    token, at = quic_integer(data, at)
+    if token is None or at + token > len(data):
+        return None
+    length, at = quic_integer(data, at + token)
+    at += 1 + (data[0] & 3)  # the packet number
+    return None if length is None else _crypto(data, at, at + MAX_FRAME_BYTES)
+
+
+def _crypto(data: bytes, at: int, stop: int) -> dict | None:
+    """The first CRYPTO frame; padding and pings are passed over, of other frames one integer."""
+    while at < min(stop, len(data)):
+        kind, at = data[at], at + 1
+        if kind < 2:
+            continue
+        value, at = quic_integer(data, at)
+        if kind == 6 and value is not None:
+            value, at = quic_integer(data, at)
+        if value is None:
+            return None
+        if kind == 6:
+            need(data, at, value, "CRYPTO frame")
+            return {"sni": _bare_hello_name(data[at : at + value])}
+    return None
+
+
+def _bare_hello_name(hello: bytes) -> str | None:
+    """The server name of a ClientHello with or without record header, null if it is cut or odd."""
+    if hello[:1] != b"\x16":
+        hello = b"\x16\x03\x01" + len(hello).to_bytes(2) + hello
+    try:
+        return ((_client_hello(hello) or {}).get("sni")) or None
+    except (Bad, IndexError):
+        return None
+
+
+DISSECTORS: dict[str, tuple[Callable, str]] = {"dns": (dns, DNS), "tls": (tls_client_hello, TLS), "kerberos": (kerberos, KERBEROS), "ldap": (ldap, LDAP), "dhcp6": (dhcp6, DHCP6), "http2": (http2, HTTP2), "quic": (quic_initial, QUIC)}
 
 
 def dissect(df: DataFrame, name: str, payload: str = "payload") -> DataFrame:

@@ -45,6 +45,7 @@ def gates(c: Config) -> tuple[dict[str, tuple[str, Column]], dict[str, Column]]:
         "server": (g.tls, "server", tls & (F.hex(F.substring("payload", 6, 1)) == "02")),
         "http2": (g.http, "http2", h2),
         "dhcp6": (g.dhcp, "dhcp6", is_udp & port_in(DHCP6_PORTS)),
+        "initial": (g.quic, "quic", is_udp & port_in(c.quic_ports) & (F.hex(F.substring("payload", 1, 1)) >= "C0")),
         "kerberos": (g.enterprise, "kerberos", port_in(KERBEROS_PORTS)),
         "ldap": (g.enterprise, "ldap", is_tcp & port_in(LDAP_PORTS)),
     }
@@ -118,7 +119,7 @@ def bindings(rows: DataFrame, c: Config) -> DataFrame:
 
 
 #: Protocol names in parse errors.
-ERRORS = {"dns": "DNS", "mdns": "mDNS", "tls": "TLS", "server": "TLS", "http2": "HTTP", "dhcp6": "DHCPv6", "kerberos": "KERBEROS", "ldap": "LDAP"}
+ERRORS = {"dns": "DNS", "mdns": "mDNS", "tls": "TLS", "server": "TLS", "http2": "HTTP", "dhcp6": "DHCPv6", "initial": "QUIC", "kerberos": "KERBEROS", "ldap": "LDAP"}
 
 
 def protocol_events(rows: DataFrame, c: Config) -> DataFrame:
@@ -135,7 +136,7 @@ def protocol_events(rows: DataFrame, c: Config) -> DataFrame:
         add("tls.sni is not null", "tls.client_hello", "TLS", "tls.client_hello", sni="tls.sni", alpn="tls.alpn", session_resumed="tls.session_resumed", ja3="tls.ja3", tls_version="tls.version")
         add("server.cipher is not null", "tls.server_hello", "TLS", "tls.server_hello", cipher_suites="server.cipher", tls_version="server.version", alpn="server.alpn")
     if "quic" in plain:
-        add("quic.version is not null", "quic.sni", "QUIC", "quic.sni", quic_version="quic.version")
+        add("quic.version is not null", "quic.sni", "QUIC", "quic.sni", sni="initial.sni", quic_version="quic.version")
     if "http" in plain:
         add("http.method is not null", "http.request", "HTTP", "http.request", method="http.method", uri="http.uri", http_version="http.version", host="http.host", user_agent="http.user_agent", content_type="http.content_type", content_length="http.content_length")
         add("http.status is not null", "http.response", "HTTP", "http.response", status_code="http.status", http_version="http.version", content_type="http.content_type", content_length="http.content_length")

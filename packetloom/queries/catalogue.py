@@ -723,3 +723,19 @@ def engine_domains(spark, sf_dir):
     p = decode.staged(e, src_ip=by(*source), src_port=(10000 + pid % 50000).cast("int"), dst_ip=by(*target), dst_port=by(*ports), protocol=F.lit("UDP"), src_mac=F.lit("02:00:00:00:00:01"), body=body)
     out = engine.run(encode_frames(p, F.col("body")), config.preset("forensic")).where("event_type in ('flow.new', 'flow.update') and packet_id % 2 = 1 and packet_id > 1")
     return out.select("packet_id", F.col("attributes")["domain"].alias("domain"))
+
+
+@query("""SELECT event_id + 1 AS packet_id, 'quic.sni' AS event_type, 'QUIC' AS protocol, '{"quic_version":"QUIC v' || CAST(event_id % 2 + 1 AS VARCHAR) || '"' || CASE WHEN event_id % 6 < 2 THEN ',"sni":"q' || CAST(event_id + 1 AS VARCHAR) || '.example"' ELSE '' END || '}' AS attributes FROM events
+ UNION ALL SELECT event_id + 1, 'engine.parse_error', 'QUIC', CASE event_id % 6 WHEN 2 THEN '{"reason":"DCID of 21 bytes at offset 5"}' ELSE '{"reason":"CRYPTO frame at offset 30 exceeds 30 bytes"}' END FROM events WHERE event_id % 6 IN (2, 3)""")
+def engine_quic(spark, sf_dir):
+    """Initial packets with a bare hello and with one in a record, a long connection id, a CRYPTO frame beyond its datagram, no frames."""
+    pid = F.col("packet_id")
+    e = read(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("packet_id"), (F.lit(1704067200000000) + F.col("event_id") * 250000).alias("timestamp_us")).repartition(spark.sparkContext.defaultParallelism, "packet_id")
+    k = (pid + 5) % 6
+    version = F.when(k % 2 == 0, F.lit(1)).otherwise(F.lit(0x6B3343CF)).cast("bigint")
+    hello = payloads.tls_client_hello(F.concat(F.lit("q"), pid.cast("string"), F.lit(".example")), F.array(F.lit("h3")), F.lit(False), F.array(F.lit(4865)))
+    body = F.when(k == 0, payloads.quic_crypto(version, F.substring(hello, 6, 1 << 16))).when(k == 1, payloads.quic_crypto(version, hello))
+    body = body.when(k == 2, payloads.quic_initial(version, raw("11" * 21), raw("0A"), F.lit(0))).when(k == 3, payloads.quic_crypto(version, raw(""), F.lit(1024))).otherwise(payloads.quic_initial(version, raw("01"), raw("0A"), F.lit(0)))
+    p = decode.staged(e, src_ip=F.lit("10.0.0.1"), src_port=(10000 + pid % 50000).cast("int"), dst_ip=F.lit("192.168.1.9"), dst_port=F.lit(443), protocol=F.lit("UDP"), src_mac=F.lit("02:00:00:00:00:01"), body=body)
+    out = engine.run(encode_frames(p, F.col("body")), config.preset("forensic")).where("event_type in ('quic.sni', 'engine.parse_error')")
+    return out.select("packet_id", "event_type", "protocol", F.to_json("attributes").alias("attributes"))

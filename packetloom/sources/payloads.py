@@ -74,6 +74,12 @@ def quic_initial(version: Column, dcid: Column, scid: Column, token_length: Colu
     return F.concat(raw("C3"), be(version, 4), counted(dcid, 1), counted(scid, 1), var)
 
 
+def quic_crypto(version: Column, hello: Column, frame_length: Column | None = None) -> Column:
+    """An Initial packet that is not protected: padding, a ping and a CRYPTO frame, which may claim another length."""
+    frames = F.concat(raw("0000010600"), be((F.octet_length(hello) if frame_length is None else frame_length) + 16384, 2), hello)
+    return F.concat(quic_initial(version, raw("0102030405060708"), raw("0A"), F.lit(0)), be(F.octet_length(frames) + 4 + 16384, 2), raw("00000000"), frames)
+
+
 def asn(tag: str, data: Column) -> Column:
     n = F.octet_length(data)
     return F.concat(raw(tag), F.when(n < 128, be(n, 1)).otherwise(F.concat(raw("82"), be(n, 2))), data)
