@@ -17,6 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("packetloom", description="Packet captures to ordered events.")
     p.add_argument("--pcap", help="capture files (a pattern)")
     p.add_argument("--output", help="folder for the NDJSON files")
+    p.add_argument("--config", help="TOML file with output_dir, which --output overrides")
     p.add_argument("--mode", default="forensic", choices=[*config.PRESETS, *config.ALIASES])
     p.add_argument("--limit", type=int, default=0, help="only the first so many packets")
     p.add_argument("--one-file", action="store_true")
@@ -43,6 +44,11 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     c = configuration(a)
     errors, warnings = config.validate(c)
+    if a.config:
+        try:
+            a.output = a.output or config.settings(a.config).get("output_dir")
+        except ValueError as e:
+            errors.append(str(e))
     for x in warnings:
         print("warning:", x, file=sys.stderr)
     for x in errors:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tomllib
 from dataclasses import asdict, dataclass, field, replace
 
 from ..operators.filters import Filters
@@ -93,3 +94,20 @@ def text(c: Config) -> str:
 def digest(c: Config) -> str:
     """SHA-256 of all fields in a canonical text."""
     return hashlib.sha256(text(c).encode()).hexdigest()
+
+
+def settings(path: str) -> dict[str, str]:
+    """The output_dir of a TOML file, which flags override; no file or an empty value gives nothing.
+
+    Memory is bounded by Spark's own settings, so max_memory_mb and other keys have no effect.
+    """
+    try:
+        with open(path, encoding="utf-8-sig") as f:
+            found = tomllib.loads(f.read()).get("output_dir")
+    except FileNotFoundError:
+        return {}
+    except (tomllib.TOMLDecodeError, UnicodeDecodeError) as e:
+        raise ValueError(f"{path}: {e}") from None
+    if found is not None and not isinstance(found, str):
+        raise ValueError(f"{path}: output_dir is no text")
+    return {"output_dir": found} if found else {}

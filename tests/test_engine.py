@@ -200,6 +200,44 @@ def test_short_payloads_give_errors(spark, data):
     assert tls["error"] if len(data) < 5 else tls is None
 
 
+def test_settings_file(tmp_path, capsys):
+    from packetloom.__main__ import main
+
+    file = tmp_path / "a.toml"
+    assert config.settings(str(file)) == {}
+    file.write_text("\ufeff# comment\noutput_dir = \"out\"\nmax_memory_mb = 5\n", encoding="utf-8")
+    assert config.settings(str(file)) == {"output_dir": "out"}
+    for bad in ("output_dir = ", "output_dir = 5"):
+        file.write_text(bad)
+        with pytest.raises(ValueError, match=r"a\.toml"):
+            config.settings(str(file))
+        assert main(["--dry-run", "--config", str(file)]) == 1
+    assert "error:" in capsys.readouterr().err
+
+
+@pytest.mark.parametrize("hello", [True, False])
+def test_quic_names(hello):
+    name = b"q.example"
+    ext = b"\0\0" + (len(name) + 5).to_bytes(2) + (len(name) + 3).to_bytes(2) + b"\0" + len(name).to_bytes(2) + name
+    body = bytes.fromhex("0303") + bytes(32) + bytes.fromhex("00000213010100") + len(ext).to_bytes(2) + ext
+    shake = (b"\x01" if hello else b"\x02") + len(body).to_bytes(3) + body
+    head = b"\xc0\0\0\0\1" + b"\x01\xaa" + b"\0" + b"\x02\xbb\xbb"
+    frames = b"\x00\x01" + b"\x06\x00" + (0x4000 | len(shake)).to_bytes(2) + shake
+    packet = head + b"\x40\x10" + b"\0" + frames
+    assert pointers.quic_initial(packet) == {"sni": name.decode() if hello else None}
+    assert pointers.quic_initial(b"\xd0" + packet[1:]) == {"early_data": True}
+    assert pointers.quic_initial(b"\xe0" + packet[1:]) is pointers.quic_initial(b"\xc0\0\0\0\x09" + packet[5:]) is None
+    with pytest.raises(pointers.Bad, match="CRYPTO"):
+        pointers.quic_initial(packet[:-1])
+    with pytest.raises(pointers.Bad, match="SCID"):
+        pointers.quic_initial(packet[:7] + b"\x15" + packet[8:])
+    for n in range(6, len(head) + 4):  # cut before the first frame
+        try:
+            assert pointers.quic_initial(packet[:n]) is None
+        except pointers.Bad as e:
+            assert "DCID" in str(e)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from packetloom.__main__ import main
 
