@@ -25,7 +25,9 @@ def decoded_packets(frames: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]
     """(all decoded frames, numbered packets after the filters)."""
     if c.packet_limit:
         frames = frames.where(F.col("frame_no") <= c.packet_limit)
-    packets, decoded = number_frames(decode_frames(frames).drop("frame"))
+    # By the greatest number the ranges are known; a sample would decode all frames once more.
+    top = frames.agg(F.max("frame_no")).first()[0] or 0
+    packets, decoded = number_frames(decode_frames(frames, without=("frame",)), top)
     return decoded, filters.filter_packets(packets.withColumn("payload_len", F.octet_length("payload")), c.filters)
 
 
@@ -168,7 +170,8 @@ def run(frames: DataFrame, c: Config) -> DataFrame:
     counted = flows.running_counters(sessions)
     parts.append(events.device_events(device_first_seen(decoded)))
     rows, given_up = payloads(packets, c)
-    counted = attribution.as_of(counted.withColumn("ip", F.col("dst_ip")), bindings(rows, c)).drop("ip")
+    places = packets.select(F.col("dst_ip").alias("ip"), "packet_id")
+    counted = attribution.as_of(counted.withColumn("ip", F.col("dst_ip")), bindings(rows, c), places=places).drop("ip")
     if c.domain_filter:
         counted = filters.filter_domain(counted, c.domain_filter)
     parts += [events.flow_events(counted, c.flow_updates), protocol_events(rows, c)]

@@ -1,9 +1,12 @@
 """Values and groups that only larger tables have."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom.operators import attribution
 from packetloom.queries import catalogue
 
 
@@ -34,3 +37,26 @@ def test_devices_are_decoded_without_payloads(spark, tmp_path):
     made = next(x for x in plan.splitlines() if "MapInArrow" in x)
     assert "src_mac" in made and "payload" not in made
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) < 10000
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_one_address_is_dealt_by_blocks(spark, monkeypatch, inclusive):
+    monkeypatch.setattr(attribution, "BLOCK", 16)
+    draw = random.Random(7)
+    probes = [(draw.choice(["a", "a", "a", "b", None]), i, i * 3) for i in range(400)]
+    bound = [(draw.choice(["a", "b", "c", None]), draw.randrange(400), f"d{i:02d}") for i in range(40)] + [("a", 390, None)]
+    p, b = spark.createDataFrame(probes, "ip string, packet_id long, x long"), spark.createDataFrame(bound, "ip string, packet_id long, domain string")
+
+    def last(ip, at):
+        return max(((w, d) for k, w, d in bound if k == ip and d is not None and (w < at or inclusive and w == at)), default=(0, None))[1]
+
+    def following(ip, at):
+        return min(((w, d or "", d) for k, w, d in bound if k == ip and w >= at), default=(None, "", None))
+
+    df = attribution.as_of(p, b, inclusive=inclusive)
+    assert {(r["packet_id"], r["ip"], r["x"], r["domain"]) for r in df.collect()} == {(at, ip, x, last(ip, at)) for ip, at, x in probes}
+    windows = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+    assert any("_block" in x for x in windows)
+    if not inclusive:
+        got = {(r["packet_id"], r["ip"], r["x"], r["domain"], r["bound_at"]) for r in attribution.next_binding(p, b).collect()}
+        assert got == {(at, ip, x, following(ip, at)[2], following(ip, at)[0]) for ip, at, x in probes}
