@@ -21,12 +21,13 @@ DHCP4_PORTS, DHCP6_PORTS, SMB_PORTS, MDNS_PORTS, KERBEROS_PORTS, LDAP_PORTS = (6
 BASE = ("packet_id", "timestamp_us", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "payload")
 
 
-def decoded_packets(frames: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
+def decoded_packets(frames: DataFrame, c: Config, top: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(all decoded frames, numbered packets after the filters)."""
     if c.packet_limit:
         frames = frames.where(F.col("frame_no") <= c.packet_limit)
     # By the greatest number the ranges are known; a sample would decode all frames once more.
-    top = frames.agg(F.max("frame_no")).first()[0] or 0
+    if top is None:
+        top = frames.agg(F.max("frame_no")).first()[0] or 0
     packets, decoded = number_frames(decode_frames(frames, without=("frame",)), top)
     return decoded, filters.filter_packets(packets.withColumn("payload_len", F.octet_length("payload")), c.filters)
 
@@ -158,13 +159,16 @@ def protocol_events(rows: DataFrame, c: Config) -> DataFrame:
     return events.spread(rows.withColumn("flow", flow_id()), found)
 
 
-def run(frames: DataFrame, c: Config) -> DataFrame:
-    """Ordered events of a capture; rows with an ``error`` of the capture itself become events too."""
+def run(frames: DataFrame, c: Config, top: int | None = None) -> DataFrame:
+    """Ordered events of a capture; rows with an ``error`` of the capture itself become events too.
+
+    ``top``, the greatest frame_no if it is known, saves a pass over the frames.
+    """
     parts = []
     if "error" in frames.columns:
         parts.append(events.capture_errors(frames))
         frames = frames.where("error is null").drop("error")
-    decoded, packets = decoded_packets(frames, c)
+    decoded, packets = decoded_packets(frames, c, top)
     keyed = flows.with_flow_key(packets.drop("payload"))
     sessions = flows.sessions_by_gap(keyed, c.idle_us) if c.sessions == "gap" else flows.sessions_by_sweep(keyed, c.idle_us, c.sweep_every)
     counted = flows.running_counters(sessions)

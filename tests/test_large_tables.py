@@ -60,3 +60,12 @@ def test_one_address_is_dealt_by_blocks(spark, monkeypatch, inclusive):
     if not inclusive:
         got = {(r["packet_id"], r["ip"], r["x"], r["domain"], r["bound_at"]) for r in attribution.next_binding(p, b).collect()}
         assert got == {(at, ip, x, following(ip, at)[2], following(ip, at)[0]) for ip, at, x in probes}
+
+
+def test_frames_are_decoded_once(spark, tmp_path, monkeypatch):
+    def sampled(*_):
+        raise AssertionError("a range exchange decodes all frames for its sample")
+
+    write_events(spark, tmp_path, 40, [1, 2])
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", sampled)
+    assert catalogue.queries()["engine_events"](spark, str(tmp_path)).where("event_type like 'flow.%'").count() == 40
